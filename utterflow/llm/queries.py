@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .frames import table
 from .host_rules import host_quality
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .oracles import ORACLE_SQL
 from .tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,6 +33,6 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_token_counts, op6_host_quality, op9_mix_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op6_host_quality, op9_mix_sources)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
