@@ -3,6 +3,7 @@
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MATCH = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL = {
     "op2_near_duplicates": rf"""
@@ -24,6 +25,30 @@ WITH RECURSIVE w AS (
 )
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(r, w.doc_id) AS component_id, coalesce(r, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN sized s ON w.doc_id = s.doc_id LEFT JOIN component c ON w.doc_id = c.id
+""",
+    "op10_decontaminate": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_MATCH}') AS w FROM documents
+), b AS (
+  SELECT DISTINCT item_id, regexp_extract_all({_LOWER}, '{_MATCH}') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM win
+), place AS (
+  SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)
+), hit AS (
+  SELECT r, item_id, i, p.size FROM place p JOIN win USING (size, g)
+), words AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r
+), ids AS (
+  SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(ids.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN ids ON d.r = ids.r
 """,
     "op6_host_quality": rf"""
 WITH base AS (

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .frames import table
 from .host_rules import host_quality
 from .mixing import mix
@@ -33,6 +34,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op6_host_quality, op9_mix_sources)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op6_host_quality, op9_mix_sources, op10_decontaminate)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
