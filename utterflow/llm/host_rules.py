@@ -55,23 +55,19 @@ def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, host_col: str, max_host_failure: float = 0.5) -> DataFrame:
-    """Host, n_docs, n_failed, failure_rate (shrunk) and host_rejected; one row per host."""
+    """Host, n_docs, n_failed, failure_rate (shrunk) and host_rejected; one row per host.
+
+    The prior is three numbers over all hosts, whatever their count.
+    """
     by_host = measured.groupBy(host_col).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
     )
     share = F.col("n_failed") / F.col("n_docs")
-    prior = by_host.agg(
-        F.avg(share).alias("mean"), F.var_pop(share).alias("var"), F.avg(F.col("n_docs").cast("double")).alias("size"), F.lit(1).alias("_one")
-    )
-    mean, var = F.col("mean"), F.col("var")
-    weight = F.when(var > 1e-12, F.greatest(mean * (1 - mean) / var - 1, F.lit(0.0))).otherwise(F.col("size"))
-    prior = prior.select("_one", "mean", weight.alias("weight"))
-    rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    # the prior is one row, whatever the input
-    return (
-        by_host.withColumn("_one", F.lit(1)).join(F.broadcast(prior), "_one")
-        .select(host_col, "n_docs", "n_failed", rate.alias("failure_rate"), (rate > max_host_failure).alias("host_rejected"))
-    )
+    mean, var, size = by_host.agg(F.avg(share), F.var_pop(share), F.avg(F.col("n_docs").cast("double"))).first()
+    mean, var, size = mean or 0.0, var or 0.0, size or 0.0
+    weight = max(mean * (1 - mean) / var - 1, 0.0) if var > 1e-12 else size
+    rate = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight))
+    return by_host.select(host_col, "n_docs", "n_failed", rate.alias("failure_rate"), (rate > max_host_failure).alias("host_rejected"))
 
 
 def host_quality(

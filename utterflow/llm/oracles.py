@@ -81,6 +81,17 @@ WITH base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   round(rate, 9) AS host_failure_rate, (NOT base_failed AND NOT rate > 0.5) AS kept
 FROM judged j JOIN verdict v ON j.source IS NOT DISTINCT FROM v.source
+""",
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages
+), r AS (
+  SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY digest, size) ELSE page_id END AS response FROM p
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to
+FROM r
 """,
     "op9_mix_sources": rf"""
 WITH sized AS (

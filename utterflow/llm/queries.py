@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .frames import table
 from .host_rules import host_quality
+from .importance import importance_resample
+from .language import fit_language_filters, identify_languages
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .oracles import ORACLE_SQL
 from .tokens import token_counts
+from .toxicity import fit_toxicity, score_toxicity
+from .warc import archive_round_trip
+
+#: Share of all documents that importance resampling selects.
+KEEP_SHARE = 0.85
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +30,18 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return importance_resample(table(spark, sf_dir, "documents"), good, fraction=KEEP_SHARE)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    weights = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +50,16 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return identify_languages(docs, fit_language_filters(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +68,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op5_token_counts, op6_host_quality, op9_mix_sources, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op3_importance, op4_toxicity, op5_token_counts, op6_host_quality, op7_warc, op8_language, op9_mix_sources, op10_decontaminate)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
