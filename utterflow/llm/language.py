@@ -60,6 +60,14 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+def _count(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of (a, b) and how often each occurs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[first], b[first], np.diff(np.append(first, len(a)))
+
+
 def _slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [(mix(hashes + np.uint64(k)) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(1, HASHES + 1)]
 
@@ -81,9 +89,9 @@ def training_grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, t
             for first, end, data, offsets in chunks(_normal(batch.column(1))):
                 hashes, row = grams(data, offsets)
                 names, code = np.unique(langs[first:end].astype(str), return_inverse=True)
-                pairs = np.unique(np.stack((row.astype(np.int64), hashes.view(np.int64))), axis=1)
-                found, n = np.unique(np.stack((code[pairs[0]].astype(np.int64), pairs[1])), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names[found[0]].tolist(), pa.string()), pa.array(found[1]), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                once, gram = _count(row, hashes)[:2]  # a row counts an n-gram once
+                lang, gram, n = _count(code[once], gram)
+                yield pa.RecordBatch.from_arrays([pa.array(names[lang].tolist(), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from .language import fit_language_filters, identify_languages
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .oracles import ORACLE_SQL
+from .substring_dedup import repeated_spans
 from .tokens import token_counts
 from .toxicity import fit_toxicity, score_toxicity
 from .warc import archive_round_trip
@@ -26,6 +28,10 @@ KEEP_SHARE = 0.85
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_duplicates, op3_importance, op4_toxicity, op5_token_counts, op6_host_quality, op7_warc, op8_language, op9_mix_sources, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_near_duplicates, op3_importance, op4_toxicity, op5_token_counts, op6_host_quality, op7_warc, op8_language, op9_mix_sources, op10_decontaminate)} | {"pipeline": corpus_pipeline.run}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

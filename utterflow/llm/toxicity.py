@@ -1,7 +1,7 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, pairs of neighbours and pairs with one word between
-of a text, hashed to ``DIMENSIONS`` places. Per-coordinate rates let rare features learn
+Features are the distinct words, word stems, pairs of neighbours and pairs with one
+word between of a text, hashed to ``DIMENSIONS`` places. Per-coordinate rates let rare features learn
 fast; L1 keeps most weights at zero, so the weights are few and broadcast.
 
 Cases: a null or empty text has the bias only and gets its score; labels that are null
@@ -25,7 +25,11 @@ from .kernels import ASCII_LOWER, chunks, mix, span_hashes, word_spans
 DIMENSIONS = 1 << 20
 #: The fit's bound: labelled rows with the least hash of the id.
 TRAIN_ROWS = 12_000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.1, 1.0, 1.0, 1.0
+#: A feature takes part if this many rows of the sample have it; others can only be learnt by heart.
+LEAST_ROWS = 10
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 6.0, 1.0
+#: Besides whole words, their first bytes, so that inflected forms share a feature.
+STEMS = (4, 5)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -40,6 +44,10 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIM
         inside = row[gap:] == row[:-gap]
         parts.append(mix(word[:-gap] * np.uint64(2 * gap + 1) + word[gap:])[inside] if len(word) > gap else word[:0])
         rows.append(row[:-gap][inside] if len(word) > gap else row[:0])
+    for length in STEMS:
+        longer = ends - starts > length
+        parts.append(span_hashes(ASCII_LOWER[data], starts[longer], starts[longer] + length) + np.uint64(length))
+        rows.append(row[longer])
     place = (mix(np.concatenate(parts)) & np.uint64(dimensions - 1)).astype(np.int64)
     both = np.unique(np.concatenate(rows) * dimensions + place)
     return both // dimensions, both % dimensions
@@ -86,6 +94,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(o, y, np.append(np.asarray(x.values, np.int64), DIMENSIONS)) for b in batches for o, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))]
         seen.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+        rows_with = np.bincount(np.concatenate([at for _, _, at in seen]) if seen else np.empty(0, np.int64), minlength=DIMENSIONS + 1)
+        seen = [(o, y, at[(rows_with[at] >= LEAST_ROWS) | (at == DIMENSIONS)]) for o, y, at in seen]
         model = Ftrl()
         for _ in range(EPOCHS):
             for _, y, at in seen:
