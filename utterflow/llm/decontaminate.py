@@ -39,8 +39,9 @@ def match_words(text: Column) -> Column:
 
 
 def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``item, words`` of the items with words; rows that repeat an id stay apart."""
-    return items.select(F.col(id_col).alias("item"), match_words(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    """``no, item, words`` of the items with words, numbered; rows that repeat an id stay apart."""
+    some = items.select(F.col(id_col).alias("item"), match_words(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    return saved(some.select(F.monotonically_increasing_id().alias("no"), "*"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -51,39 +52,38 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors(item_words: DataFrame, frequency: DataFrame, window: int, per_window: int = 2) -> DataFrame:
-    """``item, words, at``: the offsets of each window's rarest terms, rarest first; windows with an unseen term have none."""
-    place = item_words.select("item", "words", F.posexplode("words").alias("offset", "term"))
-    place = place.join(frequency, "term", "left").select("item", "words", "offset", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    """``no, at``: the offsets of each window's rarest terms, rarest first; windows with an unseen term have none."""
+    place = item_words.select("no", F.posexplode("words").alias("offset", "term"))
+    place = place.join(frequency, "term", "left").select("no", "offset", F.coalesce("n", F.lit(0)).alias("n"))
     # ties go to the earlier place, so that overlapping windows share anchors
-    ranked = place.groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("offset", "n", "term"))).alias("places"))
-    spans = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
+    ranked = place.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("offset", "n"))).alias("places"))
+    spans = F.sequence(F.lit(0), F.greatest(F.size("places") - window, F.lit(0)))
 
     def pick(start: Column) -> Column:
         inside = F.slice("places", start + 1, window)
         order = F.array_sort(F.transform(inside, lambda p: F.struct(p["n"].alias("n"), p["offset"].alias("offset"))))
         return F.struct(F.get(order, 0)["n"].alias("n"), F.transform(F.slice(order, 1, per_window), lambda p: p["offset"]).alias("at"))
 
-    windows = ranked.select("item", "words", F.explode(F.transform(spans, pick)).alias("w")).where(F.col("w.n") > 0)
-    return windows.select("item", "words", F.col("w.at").alias("at")).distinct()
+    windows = ranked.select("no", F.explode(F.transform(spans, pick)).alias("w")).where(F.col("w.n") > 0)
+    return windows.select("no", F.col("w.at").alias("at")).distinct()
 
 
-def alignments(docs: DataFrame, item_words: DataFrame, window: int, per_window: int = 2) -> DataFrame:
-    """``doc, item, words, start``: places where an item may lie in a document, ``start`` being its first word's."""
+def alignments(docs: DataFrame, item_words: DataFrame, window: int) -> DataFrame:
+    """``doc, no, start``: places where an item may lie in a document, ``start`` being its first word's.
+
+    Lists meet in an aggregation of fixed-width rows: the least and greatest offset
+    that agree on a start. One anchor is enough only for windows of one word.
+    """
     vocabulary = item_words.select(F.explode("words").alias("term")).distinct()
     frequency = saved(postings(docs, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    chosen = saved(anchors(item_words, frequency, window, per_window))
-    places = chosen.select("item", "words", F.explode("at").alias("offset"))
-    places = saved(places.withColumn("term", F.get("words", F.col("offset"))).distinct())
-    index = saved(postings(docs, places.select("term").distinct()))
+    chosen = anchors(item_words, frequency, window)
+    offsets = chosen.select("no", F.explode("at").alias("offset"), (F.size("at") == 1).alias("single")).groupBy("no", "offset").agg(F.max("single").alias("single"))
+    places = saved(offsets.join(item_words, "no").select("no", "offset", "single", F.get("words", F.col("offset")).alias("term")))
     n = places.count()
-    hits = index.join(F.broadcast(places) if n <= BROADCAST_TERMS else places, "term").select(
-        "doc", "item", "words", (F.col("pos") - F.col("offset")).alias("start"), "offset"
-    )
-    agreed = hits.groupBy("doc", "item", "words", "start").agg(F.collect_set("offset").alias("offsets"))
-    sets = chosen.groupBy("item", "words").agg(F.collect_set("at").alias("sets"))
-    agreed = agreed.join(sets, ["item", "words"])
-    whole = F.exists("sets", lambda s: F.size(F.array_except(s, F.col("offsets"))) == 0)
-    return agreed.where(whole).select("doc", "item", "words", "start")
+    index = saved(postings(docs, places.select("term").distinct()))
+    hits = index.join(F.broadcast(places) if n <= BROADCAST_TERMS else places, "term").select("doc", "no", (F.col("pos") - F.col("offset")).alias("start"), "offset", "single")
+    agreed = hits.groupBy("doc", "no", "start").agg(F.min("offset").alias("_a"), F.max("offset").alias("_b"), F.max("single").alias("_one"))
+    return agreed.where((F.col("_a") != F.col("_b")) | F.col("_one")).select("doc", "no", "start")
 
 
 def _occurring(window: int) -> Column:
@@ -107,8 +107,8 @@ def contamination(
     the word positions at which windows of the item start.
     """
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
-    item_words = saved(item_table(items, item_id, item_text))
-    found = alignments(texts, item_words, window).groupBy("doc").agg(F.collect_list(F.struct("item", "words", "start")).alias("found"))
+    item_words = item_table(items, item_id, item_text)
+    found = alignments(texts, item_words, window).join(item_words, "no").groupBy("doc").agg(F.collect_list(F.struct("item", "words", "start")).alias("found"))
     found = found.withColumnRenamed("doc", "_doc")
     joined = texts.join(found, texts["doc"].eqNullSafe(found["_doc"]), "left").select("doc", "found", match_words(F.col("text")).alias("_text"))
     matches = joined.select("doc", F.size("_text").cast("long").alias("n_words"), F.filter(_occurring(window), lambda m: F.size(m["at"]) > 0).alias("matches"))
@@ -136,7 +136,7 @@ def proximity_matches(
     it. Items of fewer distinct terms need all of theirs.
     """
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
-    item_words = saved(item_table(items, item_id, item_text))
+    item_words = item_table(items, item_id, item_text)
     vocabulary = item_words.select(F.explode("words").alias("term")).distinct()
     frequency = saved(postings(texts, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     terms = item_words.select("item", F.explode(F.array_distinct("words")).alias("term")).distinct().join(frequency, "term", "left")
