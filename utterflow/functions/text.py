@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..schemas import BLANK, DELIMITER, UNKNOWN
 
@@ -88,20 +92,40 @@ def tokens(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, " "))
 
 
-def word_edit_distance(ref: Column, hyp: Column) -> Column:
-    """Substitutions, deletions and insertions between the words of two texts.
+def edit_distance(a: Sequence[str], b: Sequence[str]) -> int:
+    """Substitutions, deletions and insertions between two sequences.
 
-    A row of the edit table is an array, folded over the reference: work is the
-    product of the two word counts, inside the row, without Python.
+    A column of the edit table is two integers with a bit per element of ``a``, so a
+    step costs a few operations on whole columns, whatever the length.
     """
-    r, h = tokens(ref), tokens(hyp)
-    first = F.sequence(F.lit(0), F.size(h))
+    m = len(a)
+    if not m or not b:
+        return m or len(b)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << m - 1
+    up, down, distance = full, 0, m
+    for y in b:
+        same = places.get(y, 0)
+        vertical = same | down
+        horizontal = ((same & up) + up ^ up) | same
+        plus, minus = down | full & ~(horizontal | up), up & horizontal
+        distance += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical & full
+    return distance
+
+
+@F.pandas_udf(LongType())
+def _word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(r.split(), h.split()) for r, h in zip(ref, hyp)], dtype="int64")
 
-    def next_row(prev: Column, word: Column) -> Column:
-        pairs = F.transform(h, lambda w, j: F.struct(
-            F.least(F.get(prev, j + 1) + 1, F.get(prev, j) + F.when(w == word, 0).otherwise(1)).alias("c")
-        ))
-        start = F.array(F.get(prev, 0) + 1)
-        return F.aggregate(pairs, start, lambda row, p: F.concat(row, F.array(F.least(p["c"], F.element_at(row, -1) + 1))))
 
-    return F.element_at(F.aggregate(r, first, next_row), -1).cast("bigint")
+def word_edit_distance(ref: Column, hyp: Column) -> Column:
+    """Edit distance between the words of two texts, null counting as empty; in Arrow batches.
+
+    Measured faster than an edit table folded with array functions.
+    """
+    words = lambda c: single_spaced(F.coalesce(c, F.lit("")))
+    return _word_distance(words(ref), words(hyp))

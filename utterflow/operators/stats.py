@@ -40,7 +40,7 @@ def corpus_stats(df: DataFrame, by: Sequence[str] = (), approximate: bool = Fals
         *_lengths("frames", F.col("num_frames"), approximate), F.sum("num_frames").alias("frames_total"), seconds(F.sum("num_frames")).alias("seconds_total"),
         hours(F.sum("num_frames")).alias("hours_total"),
         *_lengths("transcript", text, approximate)[1:],
-        (F.coalesce(F.sum(text), F.lit(0)) / F.count(F.lit(1))).alias("transcript_avg"), F.avg(text).alias("transcript_avg_transcribed"),
+        F.try_divide(F.coalesce(F.sum(text), F.lit(0)), F.count(F.lit(1))).alias("transcript_avg"), F.avg(text).alias("transcript_avg_transcribed"),
         F.coalesce(F.sum(text), F.lit(0)).cast("bigint").alias("transcript_total"),
     )
     per_session = df.select(*by, spk.alias("_s"), session_of(F.col("key")).alias("_session"), part(F.col("key"), 2).alias("_bare"), "gender").groupBy(*by, "_s", "_session", "_bare").agg(

@@ -43,7 +43,7 @@ def dynamic_weights(log: DataFrame, losses: Sequence[str], n: int = 10, temperat
     out = log
     for c in losses:
         past = F.collect_list(F.col(c).cast("double")).over(before)
-        out = out.withColumn(f"_p_{c}", past).withColumn(f"_e_{c}", F.exp(mean(F.slice(f"_p_{c}", n + 1, n)) / mean(F.slice(f"_p_{c}", 1, n)) / temperature))
+        out = out.withColumn(f"_p_{c}", past).withColumn(f"_e_{c}", F.exp(F.try_divide(mean(F.slice(f"_p_{c}", n + 1, n)), mean(F.slice(f"_p_{c}", 1, n))) / temperature))
     total = sum((F.col(f"_e_{c}") for c in losses[1:]), F.col(f"_e_{losses[0]}"))
     full = F.size(f"_p_{losses[0]}") == 2 * n
     weights = {f"weight_{c}": F.when(full, F.col(f"_e_{c}") / total * len(losses)).otherwise(F.lit(1.0)) for c in losses}

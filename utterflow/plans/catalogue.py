@@ -421,7 +421,7 @@ def call_sentences(spark, sf_dir):
 
 @query
 def call_min_sessions(spark, sf_dir):
-    s = _tokens(spark, sf_dir).select((F.col("file_id") % 50).alias("speaker_id"), F.col("file_id").alias("recording_id")).distinct()
+    s = _tokens(spark, sf_dir).select((F.col("file_id") % 20).alias("speaker_id"), F.col("file_id").alias("recording_id")).distinct()
     return calls.min_sessions(s, 3)
 
 

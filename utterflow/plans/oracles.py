@@ -222,7 +222,7 @@ SELECT shard_idx, batch_id, CAST(count(*) AS INTEGER) AS batch_size, string_agg(
     "zip_cycle": """WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
 SELECT step, s_suppkey, p_partkey FROM (SELECT unnest(range(0, 2 * (SELECT count(*) FROM part))) AS step) s JOIN a ON a.i = step % a.n JOIN b ON b.i = step % b.n""",
     "call_sentences": f"""WITH {TOK} SELECT file_id, channel, sentence_no, start_s, end_s, text FROM sent WHERE start_s >= 0 AND end_s - start_s BETWEEN 3 AND 20 AND contains(trim(text), ' ') AND NOT contains(trim(text), '-')""",
-    "call_min_sessions": f"""WITH {TOK}, s AS (SELECT DISTINCT file_id % 50 AS speaker_id, file_id AS recording_id FROM tok) SELECT * FROM s WHERE speaker_id IN (SELECT speaker_id FROM s GROUP BY 1 HAVING count(*) >= 3)""",
+    "call_min_sessions": f"""WITH {TOK}, s AS (SELECT DISTINCT file_id % 20 AS speaker_id, file_id AS recording_id FROM tok) SELECT * FROM s WHERE speaker_id IN (SELECT speaker_id FROM s GROUP BY 1 HAVING count(*) >= 3)""",
     "call_cleaning": f"SELECT conv_id, turn, {_clean_call('text')} AS clean FROM conversations",
     "hub5_normalise": f"SELECT conv_id, turn, sha1({_annotations(chr(114) + 'egexp_replace(text, ' + chr(39) + '[^' + chr(92) + 'x00-' + chr(92) + 'x7F]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}) AS digest FROM conversations",
     "segment_spans": f"""WITH {TOK}, r AS (SELECT file_id, CAST(max(end_s) * 16000 - 4000 AS BIGINT) AS num_frames FROM sent GROUP BY 1), f AS (SELECT s.*, num_frames, CAST(floor(start_s * 16000) AS BIGINT) AS start_frame, CAST(ceil(end_s * 16000) AS BIGINT) AS end_frame FROM sent s JOIN r USING (file_id))
