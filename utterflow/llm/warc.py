@@ -182,8 +182,8 @@ def write_archives(
     archives = max(1, -(-total // ARCHIVE_BYTES))
     samples = [r[0].encode() for r in full.select(F.substring("payload", 1, 100_000)).limit(dictionary_samples).collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary([s for s in samples if s]))
-    # dealt by page id once, which also places the join
-    dealt = full.repartition(archives, "id").join(of_page, "id", "left")
+    # both sides are dealt alike, so the join moves no payload again
+    dealt = full.repartition(archives, "id").join(of_page.repartition(archives, "id"), "id", "left")
     dealt = dealt.select("id", "url", "payload", F.try_element_at("responses", F.sha1(F.encode("payload", "UTF-8"))).alias("response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
