@@ -1,39 +1,17 @@
-"""Materialised intermediate tables in the folder that all executors share."""
+"""Tables and words that the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..materialize import saved, shared_dir
+
 #: Word characters of the corpus contracts: anything but ASCII white space.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="utterflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/utterflow/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written once as Parquet in the shared folder and read back.
-
-    This cuts the lineage: a lost executor costs a reread, never a recomputation,
-    and values that depend on partitioning stay as written.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null and blank texts."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
@@ -42,3 +20,6 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["WHITE", "WORD_BREAK", "saved", "shared_dir", "table", "words"]
