@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal import argmax, center, cosine, length_normalise, norm, to_unit_score
+from ..materialize import saved
 from .ordering import prefix
 
 
@@ -138,7 +139,7 @@ def min_dcf(
 
 def evaluate(trials: DataFrame, embeddings: DataFrame, compat: bool = False, **options) -> DataFrame:
     """One row: eer, mdc, thresholds, counts and status; a missing or repeated embedding leaves no figures (``compat``: -1)."""
-    scores = score_trials(trials, embeddings, **options)
+    scores = saved(score_trials(trials, embeddings, **options))  # two curves are drawn from them
     bad = missing_embeddings(trials, embeddings).agg(F.count(F.lit(1)).alias("n_missing"), F.lit(1).alias("_one"))
     one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731  # frames of one row each
     e, m = eer(scores), min_dcf(scores).drop("status")
