@@ -18,8 +18,19 @@ def words(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, WORD_BREAK))
 
 
+def hash_sample(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows with the least seeded hash of their id, as ``rows`` with ``_order``.
+
+    A threshold on the hash, from the row count, leaves about twice as many before
+    anything is sorted, so no task sees more than that of a table of any size.
+    """
+    hashed = rows.withColumn("_order", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 40)))
+    share = min(1.0, (2 * n + 100) / max(1, rows.count()))
+    return hashed.where(F.col("_order") < int(share * (1 << 40))).orderBy("_order", *rows.columns).limit(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["WHITE", "WORD_BREAK", "saved", "shared_dir", "table", "words"]
+__all__ = ["WHITE", "WORD_BREAK", "hash_sample", "saved", "shared_dir", "table", "words"]

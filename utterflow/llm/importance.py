@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import saved
+from .frames import hash_sample, saved
 from .kernels import ASCII_LOWER, chunks, mix, span_hashes, word_spans
 from .toxicity import _LETTER
 
@@ -45,7 +45,7 @@ def fit_importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", t
     broadcast. Every task counts its own rows, so a bucket is one row a task.
     """
     ids = target.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    ids = saved(ids.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(5)), "_id").limit(TARGET_ROWS))
+    ids = saved(hash_sample(ids, "_id", TARGET_ROWS, 5).select("_id"))
     rows = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left").select(F.col("_id").isNotNull().alias("_target"), text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

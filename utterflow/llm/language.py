@@ -72,14 +72,19 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [(mix(hashes + np.uint64(k)) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(1, HASHES + 1)]
 
 
-def training_grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column) -> DataFrame:
+def training_grams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, rows_of: dict[str, int]) -> DataFrame:
     """``lang, gram, n``: the most common n-grams of each language in its sample, by the rows that have them.
 
     The sample is the ``TRAIN_ROWS`` rows of each language with the least hash of the
-    id; its ids are few enough to broadcast, and texts are not moved.
+    id; a threshold on the hash, from the language's row count, leaves about twice as many
+    before they are ranked. Its ids are few enough to broadcast, and texts are not moved.
     """
     keys = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    first = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id"))
+    share = F.lit(1 << 40)
+    for name, n in rows_of.items():
+        share = F.when(F.col("_lang") == name, F.lit(int(min(1.0, (2 * TRAIN_ROWS + 100) / n) * (1 << 40)))).otherwise(share)
+    keys = keys.withColumn("_order", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 40))).where(F.col("_order") < share)
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "_id"))
     sample = saved(keys.withColumn("_k", first).where(F.col("_k") <= TRAIN_ROWS).select("_id", "_lang").distinct())
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select("_lang", text_col)
 
@@ -130,7 +135,7 @@ def fit_language_filters(docs: DataFrame, train: Column, id_col: str = "doc_id",
     seen = docs.where(train & F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES + 1).collect()
     if len(seen) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    table = training_grams(docs, id_col, text_col, lang_col, train).toPandas()  # at most LANGUAGES x GRAMS rows
+    table = training_grams(docs, id_col, text_col, lang_col, train, {r[0]: r[1] for r in seen}).toPandas()  # at most LANGUAGES x GRAMS rows
     return Filters([r[0] for r in seen], {k: g["gram"].to_numpy(np.int64) for k, g in table.groupby("lang")})
 
 

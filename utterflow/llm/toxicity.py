@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import saved
+from .frames import hash_sample, saved
 from .kernels import ASCII_LOWER, chunks, mix, span_hashes, word_spans
 
 DIMENSIONS = 1 << 20
@@ -79,8 +79,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     the bounded sample.
     """
     sample = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    order = F.xxhash64(F.col("_id").cast("string"), F.lit(11))
-    sample = saved(sample.distinct().withColumn("_order", order).orderBy("_order", "_id", "_label").limit(TRAIN_ROWS))
+    sample = saved(hash_sample(sample.distinct(), "_id", TRAIN_ROWS, 11))
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select("_order", "_label", text_col)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
