@@ -17,6 +17,7 @@ length; columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .near_dedup import set_fingerprints
 
 #: Words on each side among which a cut is the least: paragraphs have REACH + 1 words or more, about 2 REACH + 1 on average.
 REACH, LONGEST = 7, 64
+#: Paragraphs that a task remembers to fold their copies.
+SEEN = 400_000
 #: Bands x rows. Equal paragraphs always meet; a pair of Jaccard 0.8 meets but for 17 in 1,000, one of 0.9 for 13 in 10,000.
 BANDS, ROWS = 4, 2
 
@@ -60,20 +63,65 @@ def paragraph_starts(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
 
 
 def paragraph_bands(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``doc, bands`` of (doc, text): the band keys of all paragraphs of a row, BANDS each, in order."""
+    """``doc, pars, bands`` of (doc, text): paragraphs and their band keys, BANDS each, in order.
+
+    A task writes the bands of equal paragraphs once, so copies are folded before any
+    shuffle. The others, and the one that stands for them, are known to have company and
+    get one key of their own and the number -1 - par.
+    """
     kind = docs.schema["doc"].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for first, end, data, offsets in chunks(batch.column(1)):
-            hashes, bounds, _, _ = word_table(data, offsets)
-            starts, row = paragraph_starts(hashes, bounds)
-            flat, ends = shingle_sets(hashes, np.append(starts, len(hashes)), shingle)
-            keys.append(band_keys(superminhash(flat, ends, BANDS * ROWS), BANDS, ROWS).reshape(-1))
-            sizes.append(np.bincount(row, minlength=end - first) * BANDS)
-        return pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate(keys), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))], ["doc", "bands"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple | None] = {}
+        for batch in batches:
+            docs_ = batch.column(0)
+            for first, end, data, offsets in chunks(batch.column(1)):
+                hashes, bounds, _, _ = word_table(data, offsets)
+                starts, row = paragraph_starts(hashes, bounds)
+                flat, ends = shingle_sets(hashes, np.append(starts, len(hashes)), shingle)
+                number = np.arange(len(starts)) - np.searchsorted(row, row)
+                marks = list(zip(*(f.tolist() for f in set_fingerprints(flat, ends))))
+                names = docs_[first:end].to_pylist()
+                fresh, company = np.ones(len(starts), bool), []
+                for k, mark in enumerate(marks):
+                    if mark not in seen:
+                        if len(seen) < SEEN:
+                            seen[mark] = (names[row[k]], int(number[k]))
+                        continue
+                    fresh[k] = False
+                    company.append((names[row[k]], int(number[k])))
+                    if seen[mark] is not None:
+                        company.append(seen[mark])
+                        seen[mark] = None
+                picked = np.flatnonzero(fresh)
+                sizes = np.diff(ends)[picked]
+                inner = np.concatenate(([0], np.cumsum(sizes)))
+                elements = flat[np.arange(inner[-1]) - np.repeat(inner[:-1] - ends[picked], sizes)]
+                keys = band_keys(superminhash(elements, inner, BANDS * ROWS), BANDS, ROWS).reshape(-1)
+                counts = np.concatenate(([0], np.cumsum(np.bincount(row[picked], minlength=end - first))))
+                pars = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.array(number[picked].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([docs_[first:end], pars, list_array(keys, counts * BANDS)], ["doc", "pars", "bands"])
+                if company:
+                    own = [[-1 - par] for _, par in company]
+                    alone = np.frombuffer(b"".join(hashlib.blake2b(repr(c).encode(), digest_size=8).digest() for c in company), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d for d, _ in company], docs_.type), pa.array(own, pa.list_(pa.int32())), list_array(alone, np.arange(len(company) + 1))], ["doc", "pars", "bands"]
+                    )
+
+    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, pars array<int>, bands array<long>")
 
-    return docs.select("doc", "text").mapInArrow(batches_of(run), f"doc {kind}, bands array<long>")
+
+def paragraphs_with_company(docs: DataFrame, shingle: int) -> DataFrame:
+    """``band, doc, par`` of the paragraphs that share a band with another one, by one sort of the band rows.
+
+    Negative numbers mark paragraphs that a task has found to be copies.
+    """
+    per = F.when(F.get("pars", 0) < 0, 1).otherwise(BANDS)
+    flat = paragraph_bands(docs, shingle).select("doc", "pars", per.alias("per"), F.posexplode("bands").alias("k", "band"))
+    rows = flat.select("band", "doc", F.get("pars", F.expr("cast(k div per as int)")).alias("par"))
+    same = Window.partitionBy("band")
+    lo, hi = F.min(F.struct("doc", "par")).over(same), F.max(F.struct("doc", "par")).over(same)
+    return rows.select("band", "doc", "par", (lo != hi).alias("_shared")).where(F.col("_shared") | (F.col("par") < 0)).drop("_shared")
 
 
 def paragraph_table(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -95,8 +143,10 @@ def paragraph_table(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 number = np.arange(len(starts)) - np.searchsorted(row, row)
                 keep = np.zeros(len(starts), bool)
                 base = np.searchsorted(row, np.arange(end - first))
+                have = np.bincount(row, minlength=end - first)
                 for r in range(end - first):
-                    keep[base[r] + np.asarray(wanted[first + r].values, np.int64)] = True
+                    pars = np.asarray(wanted[first + r].values, np.int64)
+                    keep[base[r] + pars[pars < have[r]]] = True  # of rows that share an id, some have fewer
                 at = np.flatnonzero(keep)
                 if not len(at):
                     continue
@@ -124,13 +174,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     occurrences.
     """
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    band = paragraph_bands(texts, shingle).select("doc", F.posexplode("bands").alias("_k", "band"))
-    band = band.select("band", F.struct("doc", F.floor(F.col("_k") / BANDS).cast("int").alias("par")).alias("id")).distinct()
-    company = saved(buckets_with_company(band))
-    wanted = company.select("id.doc", "id.par").groupBy("doc").agg(F.collect_set("par").alias("pars"))
-    found = saved(paragraph_table(texts.distinct().join(wanted, "doc").select("doc", "text", F.expr("transform(pars, x -> cast(x as bigint))").alias("pars")), shingle))
+    company = saved(paragraphs_with_company(texts, shingle))
+    par = F.when(F.col("par") < 0, -1 - F.col("par")).otherwise(F.col("par")).cast("bigint")
+    wanted = company.select("doc", par.alias("par")).groupBy("doc").agg(F.collect_set("par").alias("pars"))
+    found = saved(paragraph_table(texts.join(wanted, "doc").select("doc", "text", "pars"), shingle))
     # equal paragraphs fold into their class before any pair is looked at
-    of_class = company.select("band", F.col("id.doc").alias("doc"), F.col("id.par").cast("long").alias("par")).join(found.select("doc", "par", "class"), ["doc", "par"])
+    of_class = company.where("par >= 0").select("band", "doc", F.col("par").cast("bigint").alias("par")).join(found.select("doc", "par", "class"), ["doc", "par"])
     between = buckets_with_company(of_class.select("band", F.col("class").alias("id")).distinct())
     sets = found.select(F.col("class").alias("id"), "n", "set").dropDuplicates(["id"])
     links = verified_links(saved(between), lambda ids: sets.join(ids, "id", "left_semi"), percent)
@@ -140,6 +189,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = placed.groupBy("component").agg(F.min(F.struct("doc", "par")).alias("first"))
     repeats = placed.join(first, "component").where((F.col("doc") != F.col("first.doc")) | (F.col("par") != F.col("first.par")))
     order = Window.partitionBy("doc").orderBy("par")
+    repeats = repeats.select("doc", "par", "first_word", "n_words", "first_byte", "end_byte", "first").distinct()
     runs = repeats.withColumn("_run", F.col("par") - F.row_number().over(order))
     spans = runs.groupBy("doc", "_run").agg(
         F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"),
