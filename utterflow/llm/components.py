@@ -14,6 +14,8 @@ from .frames import saved
 #: Members and elements of one block; a verification task holds two blocks.
 BLOCK_MEMBERS = 256
 BLOCK_ELEMENTS = 1_000_000
+#: Elements of the small components that one task call verifies together.
+POOL_ELEMENTS = 500_000
 #: A collision component up to this many members is verified as a whole, a larger one by its buckets.
 WHOLE_MEMBERS = 4_096
 
@@ -65,6 +67,9 @@ def links_of_block(sets: list[np.ndarray], n_first: int, percent: int) -> list[t
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
+    if n == 2 and n_first < 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if 100 * both >= percent * (sizes.sum() - both) and sizes.sum() else []
     owner = np.repeat(np.arange(n), sizes)
     flat = np.concatenate(sets) if n else np.empty(0, np.int64)
     _, column, copies = np.unique(flat, return_inverse=True, return_counts=True)
@@ -108,7 +113,7 @@ def verified_links(company: DataFrame, fetch_sets: Callable[[DataFrame], DataFra
     ``company`` comes from ``buckets_with_company`` and ``fetch_sets`` turns a table of
     distinct ids into ``id, n, set``. Ids whose bands chain together form collision
     components; each is verified in blocks, every pair of blocks in a task of its own, so
-    each set moves a few times and no row stands for a pair. A component of more than
+    each set moves a few times and no row stands for a pair. Small components share calls. A component of more than
     ``WHOLE_MEMBERS`` ids is verified bucket by bucket instead: pairs without a common
     band are no candidates. Only the forest of each block's links is written.
     """
@@ -119,34 +124,42 @@ def verified_links(company: DataFrame, fetch_sets: Callable[[DataFrame], DataFra
     weight = sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
     whole = F.col("members") <= WHOLE_MEMBERS
     key = lambda kind, c: F.xxhash64(F.lit(kind), c)
-    small = sized.join(weight.where(whole), "component").select("id", F.lit(0).alias("kind"), key(0, F.col("component")).alias("key"), "members", "elements")
+    small = sized.join(weight.where(whole), "component").select("id", "n", F.lit(0).alias("kind"), key(0, F.col("component")).alias("key"), "members", "elements")
     large = sized.join(weight.where(~whole).select("component"), "component").select("id", "n")
     in_bucket = company.select("id", "band").join(large, "id")
     bucket = in_bucket.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
-    large = in_bucket.join(bucket, "band").select("id", F.lit(1).alias("kind"), F.col("band").alias("key"), "members", "elements")
+    large = in_bucket.join(bucket, "band").select("id", "n", F.lit(1).alias("kind"), F.col("band").alias("key"), "members", "elements")
     member = small.unionByName(large).where(F.col("members") > 1)
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-    member = member.withColumn("blocks", blocks).withColumn("own", own)
+    member = saved(member.withColumn("blocks", blocks).withColumn("own", own).drop("members", "elements"))
+    # groups of one block share calls; kind 2 says so
+    pools = max(1, -(-(member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // POOL_ELEMENTS))
+    alone = F.col("blocks") == 1
+    member = member.withColumn("part", F.col("key")).withColumns({"kind": F.when(alone, 2).otherwise(F.col("kind")), "key": F.when(alone, F.pmod("key", F.lit(pools))).otherwise(F.col("key"))})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = member.select("id", "kind", "key", "own", other.alias("other")).select(
-        "id", "kind", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second")
+    dealt = member.select("id", "kind", "key", "part", "own", "blocks", other.alias("other")).select(
+        "id", "kind", "key", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second")
     )
     kind_of_id = sets.schema["id"].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("second")
+        group = group.combine_chunks().sort_by([("part", "ascending"), ("second", "ascending")])
         ids = group.column("id").combine_chunks()
         lists = group.column("set").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        n = len(group)
-        diagonal = n and group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        first = 0 if diagonal else int(n - sum(group.column("second").to_numpy()))
-        one_side = not diagonal and first in (0, n)
-        forest = [] if one_side or n < 2 else links_of_block([values[bounds[k] : bounds[k + 1]] for k in range(n)], first, percent)
-        a, b = (pa.array([x[k] for x in forest], pa.int64()) for k in (0, 1))
-        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+        part, second = group.column("part").to_numpy(), group.column("second").to_numpy()
+        diagonal = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(group)]
+        forest = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            first = 0 if diagonal else int(b - a - second[a:b].sum())
+            if b - a > 1 and (diagonal or 0 < first < b - a):
+                found = links_of_block([values[bounds[k] : bounds[k + 1]] for k in range(a, b)], first, percent)
+                forest += [(a + x, a + y) for x, y in found]
+        x, y = (pa.array([f[k] for f in forest], pa.int64()) for k in (0, 1))
+        return pa.table({"a": ids.take(x), "b": ids.take(y)})
 
     return dealt.join(sets, "id").groupBy("kind", "key", "i", "j").applyInArrow(run, f"a {kind_of_id}, b {kind_of_id}")
 
