@@ -171,6 +171,47 @@ def test_paragraph_cuts_depend_on_the_passage():
     assert inner(a, 33) == inner(b, 71) and len(inner(a, 33)) > 2
 
 
+def earlier_windows(rows, width=20):
+    """Words, by id, in a window of ``width`` words that an earlier place has; a window over its own first occurrence doesn't count."""
+    first, out = {}, collections.defaultdict(set)
+    for i, t in sorted(rows):
+        w = WORD.findall(lower(t))
+        for k in range(len(w) - width + 1):
+            d, p = first.setdefault(tuple(w[k : k + width]), (i, k))
+            if d != i or k >= p + width:
+                out[i] |= set(range(k, k + width))
+    return out
+
+
+def test_substring_spans_hold_all_repeated_words(spark, docs):
+    """Exact passages of 51 to 60 words inside two documents go whole, edited ones all but the words beside the edit."""
+    rnd = random.Random(21)
+    rows, cut, edit = [], {}, {}
+    for k in range(300):
+        n, at = rnd.randint(51, 60), rnd.randrange(60)
+        p = prose(rnd, n if k % 3 else 60).split()
+        a, b = prose(rnd, rnd.randint(10, 90)).split(), prose(rnd, rnd.randint(10, 90)).split()
+        rows.append((k, " ".join([*a, *p, *prose(rnd, 30).split()])))
+        q = [*p[:at], "changed", *p[at + 1 :]] if k % 3 == 0 else p
+        rows.append((1000 + k, " ".join([*b, *q, *prose(rnd, 30).split()])))
+        (cut if k % 3 else edit)[1000 + k] = (len(b), len(b) + len(q), len(b) + at)
+    rows += [(5000, "over and " * 50), (5001, "a b c d e f g h i j k l m n o p q r s t " * 3)]
+    spans = collections.defaultdict(set)
+    for s in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        spans[s.doc_id] |= set(range(s.first_word, s.first_word + s.n_words))
+        assert s.kept_doc_ids and s.n_words >= 20
+    assert all(set(range(a, b)) <= spans[i] for i, (a, b, _) in cut.items())
+    assert all(spans[i] & set(range(a, b)) for i, (a, b, _) in edit.items())
+    want = earlier_windows(rows)
+    assert all(w <= spans[i] for i, w in want.items())
+    assert not {i for i in spans if i < 1000}
+    want = earlier_windows([(r[0], r[1]) for r in hard_rows()])
+    spans = collections.defaultdict(set)
+    for s in substring_dedup.repeated_spans(docs).collect():
+        spans[s.doc_id] |= set(range(s.first_word, s.first_word + s.n_words))
+    assert all(w <= spans[i] for i, w in want.items())
+
+
 # --- 3
 
 def test_importance(spark, docs):

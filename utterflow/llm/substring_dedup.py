@@ -5,13 +5,19 @@ neighbours, so the cuts inside a passage depend on the passage alone and a passa
 lies anywhere in two documents gives equal paragraphs in both. Paragraphs that share a band of
 their signatures are verified on their exact shingle sets, and components of
 near-duplicate paragraphs keep their first occurrence (least document id, then place).
-The others are removed where a run of neighbouring paragraphs, all of them repeats,
-has ``min_words`` words or more; shorter runs, such as common lines, stay.
+Cuts lie apart from the borders of a passage, so paragraphs alone miss the words beside
+them. Therefore each window of ``min_words`` words that an earlier place has too is a
+repeat as well. Windows are found by seeds, the least short window inside each: a passage
+brings its seeds along, and only windows whose seed occurs twice are compared, all of them.
+Words in repeated paragraphs or windows are removed where they run for ``min_words``
+words or more; shorter runs, such as common lines, stay. A passage with edits whose
+Jaccard is 0.8 has an exact run of 24 words or more, so it gives a span too; words beside
+an edit stay where neither a paragraph nor a window holds them.
 
 Cases: a null or blank text has no paragraphs; a text of fewer words than a shingle is one
 paragraph, of one shingle; equal texts repeat each other as a whole; rows that repeat a
 document id are told apart by their text only and equal ones are one; rows with a null
-id are left alone; an empty table gives an empty result. Whole texts are taken, of any
+id are left alone; a window that overlaps its own first occurrence is no repeat; an empty table gives an empty result. Whole texts are taken, of any
 length; columns besides id and text are ignored.
 """
 
@@ -25,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..materialize import release
+from ..operators.ordering import prefix
 from .components import batches_of, buckets_with_company, connected_components, verified_links
 from .frames import saved
 from .kernels import band_keys, chunks, list_array, shingle_sets, superminhash, window_hashes, word_table
@@ -36,6 +44,8 @@ REACH, LONGEST = 7, 64
 SEEN = 400_000
 #: Bands x rows. Equal paragraphs always meet; a pair of Jaccard 0.8 meets but for 17 in 1,000, one of 0.9 for 13 in 10,000.
 BANDS, ROWS = 4, 2
+#: Words of a seed.
+SEED = 8
 
 
 def paragraph_starts(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +177,100 @@ def paragraph_table(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.select("doc", "text", "pars").mapInArrow(run, schema)
 
 
+def window_seeds(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every window of ``width`` words, and its seed: the least hash of the windows of SEED words inside."""
+    grams = window_hashes(hashes, min(SEED, width))
+    n = max(0, len(hashes) - width + 1)
+    seed = grams[:n].copy()
+    for k in range(1, width - min(SEED, width) + 1):
+        np.minimum(seed, grams[k : k + n], out=seed)
+    at = np.arange(n)
+    row = np.searchsorted(bounds, at, "right") - 1
+    at = at[at + width <= bounds[row + 1]]
+    return at, seed[at]
+
+
+def seed_table(docs: DataFrame, width: int) -> DataFrame:
+    """``doc, seeds`` of (doc, text): the seeds of the windows in order, once for each place."""
+    kind = docs.schema["doc"].dataType.simpleString()
+    most = width - min(SEED, width) + 1  # windows that one place can be the seed of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(1)):
+                hashes, bounds, _, _ = word_table(data, offsets)
+                at, seed = window_seeds(hashes, bounds, width)
+                row = np.searchsorted(bounds, at, "right") - 1
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+                starts = np.flatnonzero(fresh)
+                copies = 1 + (np.diff(np.append(starts, len(at))) > most)
+                starts = np.repeat(starts, copies)
+                counts = np.concatenate(([0], np.cumsum(np.bincount(row[starts], minlength=end - first))))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], list_array(seed[starts], counts)], ["doc", "seeds"])
+
+    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, seeds array<long>")
+
+
+def window_table(docs: DataFrame, width: int) -> DataFrame:
+    """``idx, first_word, first_byte, end_byte, window`` of (idx, text, seeds), arrays: the windows whose seed is listed."""
+    names = ["idx", "first_word", "first_byte", "end_byte", "window"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2)
+            for first, end, data, offsets in chunks(batch.column(1)):
+                hashes, bounds, word_start, word_end = word_table(data, offsets)
+                at, seed = window_seeds(hashes, bounds, width)
+                base = np.searchsorted(at, bounds)
+                keep = np.zeros(len(at), bool)
+                for r in range(end - first):
+                    own = wanted[first + r].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    keep[base[r] : base[r + 1]] = np.isin(seed[base[r] : base[r + 1]], own)
+                at = at[keep]
+                row = np.searchsorted(bounds, at, "right") - 1
+                counts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=end - first))))
+                zero = offsets[row]
+                places = (at - bounds[row], word_start[at] - zero, word_end[at + width - 1] - zero)
+                columns = [*(c.astype(np.int32) for c in places), window_hashes(hashes, width)[at]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], *(list_array(c, counts) for c in columns)], names)
+
+    schema = "idx long, first_word array<int>, first_byte array<int>, end_byte array<int>, window array<long>"
+    return docs.select("idx", "text", "seeds").mapInArrow(run, schema)
+
+
+def repeated_windows(texts: DataFrame, order: DataFrame, width: int) -> DataFrame:
+    """``idx, first_word, n_words, first_byte, end_byte, kept`` of the windows of (doc, text) that an earlier place has.
+
+    ``order`` numbers the ids (doc, idx), so that a place is one number. First occurrences
+    come from partial aggregation and are joined back, so no group of equal windows has to
+    meet in one task.
+    """
+    seeds = saved(seed_table(texts, width)).select("doc", F.explode("seeds").alias("seed"))
+    shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    wanted = saved(seeds.join(shared, "seed", "left_semi").groupBy("doc").agg(F.collect_set("seed").alias("seeds")))
+    found = saved(window_table(texts.join(wanted.join(order, "doc"), "doc"), width))
+    release(texts.sparkSession)
+    flat = found.select("idx", F.explode(F.arrays_zip("first_word", "first_byte", "end_byte", "window")).alias("w"))
+    pair = lambda high, low: F.shiftleft(F.col(high).cast("bigint"), 32) + F.col(low)
+    flat = flat.select("w.window", pair("idx", "w.first_word").alias("place"), pair("w.first_byte", "w.end_byte").alias("bytes"))
+    first = flat.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("_last"))
+    first = saved(first.where(F.col("first") != F.col("_last")).drop("_last"))
+    release(texts.sparkSession)
+    high, low = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    # in one document the two don't overlap
+    later = flat.join(first, "window").where((high("place") != high("first")) | (F.col("place") >= F.col("first") + width))
+    return later.select(
+        high("place").alias("idx"), low("place").alias("first_word"), F.lit(width).cast("bigint").alias("n_words"),
+        high("bytes").alias("first_byte"), low("bytes").alias("end_byte"), high("first").alias("kept"),
+    )
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 20, shingle: int = 5) -> DataFrame:
     """One row per removable span: id, first_word, n_words, first_byte, end_byte, n_paragraphs, kept_doc_ids.
 
-    Bytes are of the text in UTF-8. ``kept_doc_ids`` are the documents that keep the first
+    Bytes are of the text in UTF-8; ``n_paragraphs`` counts the repeated paragraphs, 0 where
+    only windows repeat. ``kept_doc_ids`` are the documents that keep the first
     occurrences.
     """
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
@@ -188,18 +288,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = saved(placed)
     first = placed.groupBy("component").agg(F.min(F.struct("doc", "par")).alias("first"))
     repeats = placed.join(first, "component").where((F.col("doc") != F.col("first.doc")) | (F.col("par") != F.col("first.par")))
-    order = Window.partitionBy("doc").orderBy("par")
-    repeats = repeats.select("doc", "par", "first_word", "n_words", "first_byte", "end_byte", "first").distinct()
-    runs = repeats.withColumn("_run", F.col("par") - F.row_number().over(order))
-    spans = runs.groupBy("doc", "_run").agg(
-        F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"),
-        F.count(F.lit(1)).alias("n_paragraphs"), F.array_sort(F.collect_set("first.doc")).alias("kept_doc_ids"),
+    ids = saved(prefix(texts.select("doc").distinct(), [F.col("doc")]))
+    kept = ids.select(F.col("doc").alias("_kept"), F.col("idx").alias("kept"))
+    repeats = repeats.join(ids, "doc").join(kept, F.col("first.doc") == F.col("_kept")).select("idx", "first_word", "n_words", "first_byte", "end_byte", "kept").distinct()
+    repeats = saved(repeats.withColumn("paragraph", F.lit(1)))
+    release(docs.sparkSession)
+    parts = repeats.unionByName(repeated_windows(texts, ids, min_words).withColumn("paragraph", F.lit(0)))
+    # words that overlap or touch are one run
+    end, order = F.col("first_word") + F.col("n_words"), Window.partitionBy("idx").orderBy("first_word", "n_words")
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = parts.withColumn("_new", F.coalesce((F.col("first_word") > before).cast("int"), F.lit(1)))
+    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("idx", "_run").agg(
+        F.min("first_word").alias("first_word"), (F.max(end) - F.min("first_word")).alias("n_words"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"),
+        F.sum("paragraph").alias("n_paragraphs"), F.collect_set("kept").alias("_of"),
     )
-    return spans.where(F.col("n_words") >= min_words).drop("_run").withColumnRenamed("doc", id_col)
+    spans = saved(spans.where(F.col("n_words") >= min_words))
+    names = spans.select("idx", "_run", F.explode("_of").alias("kept")).join(kept, "kept").groupBy("idx", "_run").agg(F.array_sort(F.collect_list("_kept")).alias("kept_doc_ids"))
+    spans = spans.join(names, ["idx", "_run"]).join(ids, "idx")
+    return spans.select(F.col("doc").alias(id_col), "first_word", "n_words", "first_byte", "end_byte", "n_paragraphs", "kept_doc_ids")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the bytes of all spans cut out of their texts; other columns and rows as they are."""
+    """``docs`` with the bytes of all spans cut out of their texts; other columns and rows as they are. Ids must tell rows apart."""
     cuts = spans.groupBy(F.col(id_col).alias("_cut")).agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("_spans"))
     joined = docs.join(cuts, docs[id_col] == cuts["_cut"], "left").drop("_cut")
     names = docs.columns
