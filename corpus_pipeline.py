@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept and returns documents; the last one returns the
 mix, with the words that it takes of each document.
+
+Cases: rows with a null id, and rows that repeat one, are documents of their own in every
+stage; where a stage keeps the first of several, those with the least id come first, null
+last, and rows of one id go by their text's MD5.
 """
 
 from __future__ import annotations
@@ -15,36 +19,53 @@ from utterflow.llm.host_rules import host_quality
 from utterflow.llm.mixing import mix
 from utterflow.llm.near_dedup import near_duplicates
 from utterflow.llm.substring_dedup import remove_spans, repeated_spans
+from utterflow.operators.ordering import prefix
+
+#: Tells the rows of a stage apart.
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with KEY, unique, never null, in the order of the ids: the id itself if that will do, else a saved row number."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    if ids.where("doc_id is null or _n > 1").isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id"))
+    placed = docs.withColumn("_at", F.monotonically_increasing_id())
+    return saved(prefix(placed, [F.col("doc_id").asc_nulls_last(), F.md5("text"), F.col("_at")], name=KEY).drop("_at"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host is not rejected."""
-    kept = host_quality(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    docs = keyed(docs)
+    kept = host_quality(docs, id_col=KEY).where("kept").select(KEY)
+    return docs.join(kept, KEY, "left_semi").drop(KEY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate group."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    docs = keyed(docs)
+    kept = near_duplicates(docs, id_col=KEY).where("kept").select(KEY)
+    return docs.join(kept, KEY, "left_semi").drop(KEY)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document before them has; those left without a word go."""
-    cut = remove_spans(docs, repeated_spans(docs))
+    docs = keyed(docs)
+    cut = remove_spans(docs, repeated_spans(docs, id_col=KEY), id_col=KEY).drop(KEY)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    docs = keyed(docs)
+    hit = contamination(docs, table(spark, sf_dir, "benchmark"), doc_id=KEY).where("contaminated").select(KEY)
+    return docs.join(hit, KEY, "left_anti").drop(KEY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents of which words are taken, with size, source_size, target and taken."""
-    taken = mix(docs).where("taken > 0")
-    return docs.join(taken, "doc_id")
+    docs = keyed(docs)
+    return docs.join(mix(docs, id_col=KEY).where("taken > 0"), KEY).drop(KEY)
 
 
 STAGES = [

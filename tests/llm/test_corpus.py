@@ -512,6 +512,23 @@ def test_pipeline_stages(spark, con):
             assert all(r.taken > 0 for r in after.values())
 
 
+def test_pipeline_null_and_repeated_ids(spark):
+    """Every row is a document of its own, whatever its id."""
+    rnd = random.Random(22)
+    a, b, c, d, e, f, g, h, p = (prose(rnd, 60) for _ in range(9))
+    rows = [(None, a), (None, b), (7, c), (7, d), (7, d), (8, "too short"), (8, e), (1, f"{f} {p}"), (9, f"{p} {g}"), (9, "éö " + h)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], DOCS)
+    want = {"quality_rules": [a, b, c, d, d, e, f"{f} {p}", f"{p} {g}", "éö " + h], "near_dedup": [a, b, c, d, e, f"{f} {p}", f"{p} {g}", "éö " + h]}
+    want["substring_dedup"] = want["decontaminate"] = want["mix_sources"] = [a, b, c, d, e, f"{f} {p}", g, "éö " + h]
+    ids = {t: i for i, t in rows} | {g: 9}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = frames.saved(stage(spark, docs, SMALL))
+        got = docs.collect()
+        assert sorted(r.text.strip() for r in got) == sorted(want[name]), name
+        assert all(r.doc_id == ids[r.text.strip()] for r in got) and corpus_pipeline.KEY not in docs.columns
+    assert all(r.taken == r["size"] == len(r.text.split()) for r in got)
+
+
 def test_hot_group_of_copies(spark):
     """A third of all rows equal, on many partitions."""
     rnd = random.Random(13)
