@@ -76,7 +76,7 @@ STAGES = [
     ("mix_sources", mix_sources),
 ]
 
-#: No single SQL statement holds the substring stage; tests hold run() against a brute-force version.
+#: No single SQL statement holds the substring stage; tests hold single stages, not run(), against plain definitions.
 ORACLE_SQL = None
 
 
