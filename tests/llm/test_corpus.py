@@ -109,20 +109,38 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
 
 
-def test_blocks_find_all_links(spark, monkeypatch):
-    monkeypatch.setattr(components, "BLOCK_MEMBERS", 4)
-    monkeypatch.setattr(components, "WHOLE_MEMBERS", 6)
-    rnd = random.Random(3)
-    base = prose(rnd, 60).split()
+def edited(rnd, base, most, n, first=0):
+    """``n`` rows, each ``base`` with up to ``most`` words changed."""
     rows = []
-    for i in range(60):
+    for i in range(n):
         w = list(base)
-        for _ in range(rnd.randint(0, 4)):
+        for _ in range(rnd.randint(0, most)):
             w[rnd.randrange(len(w))] = f"y{rnd.randint(0, 9999)}"
-        rows.append((i, " ".join(w)))
+        rows.append((first + i, " ".join(w)))
+    return rows
+
+
+def test_all_links_of_large_groups(spark):
+    """Groups of near copies around the limit: chains, members that no hub reaches, and links between such members."""
+    rnd = random.Random(3)
+    rows = [r for g in range(4) for r in edited(rnd, prose(rnd, 60).split(), 3 + g, 150, 1000 * g)]
+    half = prose(rnd, 50)  # shared by texts that are no copies of each other
+    rows += [(9000 + i, f"{half} {prose(rnd, 50)}") for i in range(60)]
     want = grouped(sets_of(rows), 85)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert {r.doc_id: r.component_id for r in got.collect()} == want and len(set(want.values())) > 1
+    assert {r.doc_id: r.component_id for r in got.collect()} == want and len(set(want.values())) > 70
+
+
+def test_links_without_help_of_bands(spark):
+    """All members share one band, so each pair must be linked, compared or ruled out."""
+    rnd = random.Random(31)
+    rows = [r for g in range(3) for r in edited(rnd, prose(rnd, 40).split(), 6, 40, 100 * g)]
+    sets, want = sets_of(rows), grouped(sets_of(rows), 80)
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets.values())))}
+    table = spark.createDataFrame([(i, len(x), [number[e] for e in x]) for i, x in sets.items()], "id bigint, n bigint, set array<bigint>")
+    company = spark.createDataFrame([(1, i, 0) for i in sets], "band bigint, id bigint, center bigint")
+    got = {r.id: r.component for r in components.linked_components(company, lambda ids: table.join(ids, "id", "left_semi"), 80).collect()}
+    assert {i: got.get(i, i) for i in sets} == want and len(set(want.values())) > 10
 
 
 def test_components_of_chains(spark):
@@ -159,7 +177,7 @@ def test_substring_spans_cover_shared_passages(spark, docs):
 
 def test_paragraph_cuts_depend_on_the_passage():
     rnd = random.Random(6)
-    passage = prose(rnd, 120)
+    passage = prose(rnd, 240)
 
     def cuts(text):
         data = text.encode()
@@ -167,10 +185,105 @@ def test_paragraph_cuts_depend_on_the_passage():
         return substring_dedup.paragraph_starts(h, b)[0].tolist()
 
     a, b = cuts(f"{prose(rnd, 33)} {passage}"), cuts(f"{prose(rnd, 71)} {passage}")
-    inner = lambda c, k: [x - k for x in c if k + 8 <= x < k + 112]
+    inner = lambda c, k: [x - k for x in c if k + 16 <= x < k + 224]
     assert inner(a, 33) == inner(b, 71) and len(inner(a, 33)) > 2
 
 
+def plain_spans(rows, percent=80, min_words=20, seed=10, reach=7, gap=6):
+    """Removable (first word, words, kept ids) by id, by the stated rules, with nothing but loops over words."""
+    words, cuts = {}, {}
+    for i, t in rows:
+        data = (t or "").encode()
+        h, b, *_ = kernels.word_table(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        words[i] = [int(x) for x in h]
+        cuts[i] = [*substring_dedup.paragraph_starts(h, b)[0].tolist(), len(h)] if len(h) else [0]
+    rank = lambda w: int(kernels.window_hashes(np.array(w, np.uint64), len(w))[0])
+    first, seeds = {}, {}
+    for i in sorted(words):
+        h = [rank(words[i][k : k + seed]) for k in range(len(words[i]) - seed + 1)]
+        seeds[i] = sorted({min(range(k, k + reach + 1), key=lambda x: (h[x], x)) for k in range(len(h) - reach)})
+        for k in seeds[i]:
+            first.setdefault(tuple(words[i][k : k + seed]), (i, k))
+    parts = []
+    for i in words:
+        lines = collections.defaultdict(list)
+        for k in seeds[i]:
+            d, p = first[tuple(words[i][k : k + seed])]
+            if d != i or k >= p + seed:
+                lines[d, k - p].append(k)
+        runs = collections.defaultdict(list)
+        for (d, shift), at in lines.items():
+            start = at[0]
+            for k, after in zip(at, [*at[1:], 10**9]):
+                if after - k > seed:
+                    a, b, stop = start, k + seed, k + seed
+                    while start - a < reach and a and a - shift and words[i][a - 1] == words[d][a - shift - 1]:
+                        a -= 1
+                    while b - stop < reach and b < len(words[i]) and b - shift < len(words[d]) and words[i][b] == words[d][b - shift]:
+                        b += 1
+                    runs[d].append((a, b, a - shift))
+                    start = after
+        for d, found in runs.items():
+            parts += [(i, a, b, d) for a, b, _ in found]
+            found.sort()
+            parts += [(i, b, c, d) for (a, b, p), (c, _, q) in zip(found, found[1:]) if 1 <= c - b <= gap and 0 <= q - (p + b - a) <= gap]
+    pars = [(i, a, b, frozenset(tuple(words[i][k : k + 5]) for k in range(a, max(a + 1, b - 4))) if b - a >= 5 else frozenset([tuple(words[i][a:b])])) for i in words for a, b in zip(cuts[i], cuts[i][1:])]
+    ids = {x: sorted(k for k, p in enumerate(pars) if p[3] == x) for x in {p[3] for p in pars}}
+    group = grouped(dict(enumerate(ids)), percent)
+    together = collections.defaultdict(list)
+    for k, x in enumerate(ids):
+        together[group[k]].append(x)
+    for classes in together.values():
+        if len(classes) > 1:
+            members = sorted(pars[k][:3] for x in classes for k in ids[x])
+            parts += [(*m, members[0][0]) for m in members[1:]]
+    out = []
+    for i, a, b, d in sorted(parts):
+        if out and out[-1][0] == i and a <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], b)
+            out[-1][3].add(d)
+        else:
+            out.append([i, a, b, {d}])
+    return sorted((i, a, b - a, sorted(d)) for i, a, b, d in out if b - a >= min_words)
+
+
+def test_substring_spans_equal_plain_rules(spark, docs):
+    rows = [(i, t) for i, t, *_ in hard_rows() if len(t or "") < 100_000]
+    rnd = random.Random(23)
+    long_ = prose(rnd, 300).split()
+    rows += edited(rnd, long_, 8, 12, 200) + [(300, "over and " * 50), (301, "same " * 300), (302, " ".join(long_[100:180] * 3)), (303, " ".join(long_[:16]))]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = plain_spans(rows)
+    assert sorted((r.doc_id, r.first_word, r.n_words, r.kept_doc_ids) for r in got) == want and len(want) > 30
+    assert any(r.n_paragraphs for r in got)
+    # ids that don't tell rows apart, or are no numbers, give the same spans
+    names = [(f"d{i:04}" if i != 31 else None, t) for i, t in rows] + [("d0000", rows[0][1])]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(names, "doc_id string, text string")).collect()
+    order = sorted(range(len(names)), key=lambda k: (names[k][0] is None, names[k][0], k))
+    want = plain_spans([(n, names[k][1]) for n, k in enumerate(order)])
+    shown = sorted((names[order[i]][0] or "", a, n, sorted({names[order[d]][0] or "" for d in of})) for i, a, n, of in want)
+    assert sorted((r.doc_id or "", r.first_word, r.n_words, sorted({k or "" for k in r.kept_doc_ids})) for r in got) == shown
+
+
+def test_substring_recall_of_edited_passages(spark):
+    """Share of the words of 100-word passages with edits that spans hold."""
+    for edits, least in ((0, 1.0), (1, 0.95), (2, 0.9)):
+        rnd, rows, place = random.Random(edits), [], {}
+        for k in range(100):
+            p = prose(rnd, 100).split()
+            rows.append((k, " ".join([prose(rnd, rnd.randint(10, 90)), *p, prose(rnd, 30)])))
+            before = rnd.randint(10, 90)
+            for e in rnd.sample(range(100), edits):
+                p[e] = f"changed{e}"
+            rows.append((1000 + k, " ".join([prose(rnd, before), *p, prose(rnd, 30)])))
+            place[1000 + k] = set(range(before, before + 100))
+        found = collections.defaultdict(set)
+        for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+            found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+        assert set(found) == set(place)
+        assert sum(len(found[i] & place[i]) for i in place) >= least * 100 * len(place)
+
+
 def earlier_windows(rows, width=20):
     """Words, by id, in a window of ``width`` words that an earlier place has; a window over its own first occurrence doesn't count."""
     first, out = {}, collections.defaultdict(set)

@@ -1,24 +1,15 @@
-"""Connected components and blocked all-pairs verification over distributed edges."""
+"""Connected components, and the groups that exact Jaccard links among sets that share a band."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import saved
 
-#: Members and elements of one block; a verification task holds two blocks.
-BLOCK_MEMBERS = 256
-BLOCK_ELEMENTS = 1_000_000
-#: Elements of the small components that one task call verifies together.
-POOL_ELEMENTS = 500_000
-#: A collision component up to this many members is verified as a whole, a larger one by its buckets.
-WHOLE_MEMBERS = 4_096
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every node of ``edges`` (a, b); the component is its least id.
@@ -27,12 +18,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     their neighbourhood, so a component becomes a star around its least node in a
     number of rounds logarithmic in its size. Least neighbours come from partial
     aggregation, and a node with very many neighbours is a skewed join that Spark can
-    split. Rounds are written tables; only their row count and checksum reach the driver.
+    split. Rounds are written tables; they end when the edges are stars.
     """
     up = lambda df, a, b: df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = saved(up(edges.where(F.col("a") != F.col("b")), F.col("a"), F.col("b")).distinct())
-    state = _state(now)
-    while state[0]:
+    while not _all_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -40,128 +30,96 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(floor, "u")
         small = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = saved(small.distinct())
-        before, state = state, _state(now)
-        if state == before:
-            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum((F.xxhash64("u", "v") % 1_000_000_007))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node, or only edges from greater ones."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def buckets_with_company(band_rows: DataFrame) -> DataFrame:
     """``band, id, center`` for the rows of (band, id) whose band has two ids or more; center is its least id."""
     shared = band_rows.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("_last"))
-    return band_rows.join(shared.where(F.col("center") != F.col("_last")).drop("_last"), "band")
+    # written first, so that Spark can split a hot band's rows in the join
+    return band_rows.join(saved(shared.where(F.col("center") != F.col("_last")).drop("_last")), "band")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those rows of ``pairs`` (a, b, ...) whose sets (id, n, set) have an exact Jaccard of ``percent`` / 100 or more."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("set").alias("_sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("set").alias("_sb"))
+    both = F.size(F.array_intersect("_sa", "_sb"))
+    alike = 100 * both >= percent * (F.col("_na") + F.col("_nb") - both)
+    close = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
+    return pairs.join(left, "a").join(right, "b").where(close).where(alike).select(*pairs.columns).distinct()
 
 
-def links_of_block(sets: list[np.ndarray], n_first: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with ``n_first`` > 0, only links across that boundary count.
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, id, n``: the elements of each set's prefix that another set has too.
 
-    Elements in one set only can't be shared, so they take part in the sizes alone.
-    The others become columns of a 0/1 matrix, taken a few thousand at a time; its
-    product with its transpose holds all intersections.
+    Elements are ordered from rare to common among ``sets`` (row, id, n, set). Two sets of
+    Jaccard t share one of the n - ceil(t n) + 1 rarest elements of each, so pairs without
+    such an element need no comparison.
     """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if n == 2 and n_first < 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (sizes.sum() - both) and sizes.sum() else []
-    owner = np.repeat(np.arange(n), sizes)
-    flat = np.concatenate(sets) if n else np.empty(0, np.int64)
-    _, column, copies = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = copies[column] > 1
-    columns = np.cumsum(copies > 1) - 1
-    owner, column = owner[shared], columns[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    split = n_first or n
-    other = slice(n_first, n) if n_first else slice(0, n)
-    common = np.zeros((split, n - n_first if n_first else n), np.float32)
-    total = int(column[-1]) + 1 if len(column) else 0
-    for at in range(0, total, 4096):
-        a, b = np.searchsorted(column, (at, at + 4096))
-        dense = np.zeros((n, min(4096, total - at)), np.float32)
-        dense[owner[a:b], column[a:b] - at] = 1
-        common += dense[:split] @ dense[other].T
-    inter = np.rint(common).astype(np.int64)
-    union = sizes[:split, None] + sizes[other][None, :] - inter
-    x, y = np.nonzero((100 * inter >= percent * union) & (union > 0))
-    y = y + n_first
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    forest = []
-    for i, j in zip(x.tolist(), y.tolist()):
-        if i != j and (a := root(i)) != (b := root(j)):
-            parent[a] = b
-            forest.append((i, j))
-    return forest
-
-
-def verified_links(company: DataFrame, fetch_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Edges (a, b) that span all links of exact Jaccard ``percent`` / 100 or more among ids that share a band.
+    flat = saved(sets.select("row", "id", "n", F.explode("set").alias("key")))
+    often = saved(flat.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = flat.join(often, "key").groupBy("row", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    first = F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int"))
+    return shared.select("id", "n", F.explode(first).alias("e")).select(F.col("e.key").alias("key"), "id", "n").distinct()
+
+
+def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``id, component`` of the ids that exact links of Jaccard ``percent`` / 100 or more join, among ids that share a band.
 
     ``company`` comes from ``buckets_with_company`` and ``fetch_sets`` turns a table of
-    distinct ids into ``id, n, set``. Ids whose bands chain together form collision
-    components; each is verified in blocks, every pair of blocks in a task of its own, so
-    each set moves a few times and no row stands for a pair. Small components share calls. A component of more than
-    ``WHOLE_MEMBERS`` ids is verified bucket by bucket instead: pairs without a common
-    band are no candidates. Only the forest of each block's links is written.
+    distinct ids into ``id, n, set``. No group is expanded into its pairs. First, every id
+    is compared with one hub, the least centre of its bands. Bands that then hold several
+    components are live; their ids meet again under the rare elements that a link requires
+    (``prefix_keys``). Under each such key, members become hubs from the highest to the
+    lowest level, a level being half as likely as the one below it: a round compares the
+    hubs of one level with the members of other components, joins what is linked, and
+    retires the hubs. So a group of near copies costs a few comparisons for each member,
+    and members that no hub has reached are compared with each other in the last rounds.
+    Every pair that shares a band is linked, or compared, or can't be similar.
     """
-    star = company.where(F.col("id") != F.col("center")).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    groups = saved(connected_components(star))
-    sets = saved(fetch_sets(groups.select("id")))
-    sized = sets.select("id", "n").join(groups, "id")
-    weight = sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
-    whole = F.col("members") <= WHOLE_MEMBERS
-    key = lambda kind, c: F.xxhash64(F.lit(kind), c)
-    small = sized.join(weight.where(whole), "component").select("id", "n", F.lit(0).alias("kind"), key(0, F.col("component")).alias("key"), "members", "elements")
-    large = sized.join(weight.where(~whole).select("component"), "component").select("id", "n")
-    in_bucket = company.select("id", "band").join(large, "id")
-    bucket = in_bucket.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
-    large = in_bucket.join(bucket, "band").select("id", "n", F.lit(1).alias("kind"), F.col("band").alias("key"), "members", "elements")
-    member = small.unionByName(large).where(F.col("members") > 1)
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-    member = saved(member.withColumn("blocks", blocks).withColumn("own", own).drop("members", "elements"))
-    # groups of one block share calls; kind 2 says so
-    pools = max(1, -(-(member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // POOL_ELEMENTS))
-    alone = F.col("blocks") == 1
-    member = member.withColumn("part", F.col("key")).withColumns({"kind": F.when(alone, 2).otherwise(F.col("kind")), "key": F.when(alone, F.pmod("key", F.lit(pools))).otherwise(F.col("key"))})
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = member.select("id", "kind", "key", "part", "own", "blocks", other.alias("other")).select(
-        "id", "kind", "key", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second")
-    )
-    kind_of_id = sets.schema["id"].dataType.simpleString()
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("part", "ascending"), ("second", "ascending")])
-        ids = group.column("id").combine_chunks()
-        lists = group.column("set").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        part, second = group.column("part").to_numpy(), group.column("second").to_numpy()
-        diagonal = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(group)]
-        forest = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            first = 0 if diagonal else int(b - a - second[a:b].sum())
-            if b - a > 1 and (diagonal or 0 < first < b - a):
-                found = links_of_block([values[bounds[k] : bounds[k + 1]] for k in range(a, b)], first, percent)
-                forest += [(a + x, a + y) for x, y in found]
-        x, y = (pa.array([f[k] for f in forest], pa.int64()) for k in (0, 1))
-        return pa.table({"a": ids.take(x), "b": ids.take(y)})
-
-    return dealt.join(sets, "id").groupBy("kind", "key", "i", "j").applyInArrow(run, f"a {kind_of_id}, b {kind_of_id}")
+    sets = saved(fetch_sets(company.select("id").distinct()).withColumn("row", F.monotonically_increasing_id()))
+    hub = company.groupBy("id").agg(F.min("center").alias("b")).where(F.col("id") != F.col("b"))
+    found = saved(similar_pairs(hub.select(F.col("id").alias("a"), "b"), sets, percent))
+    now = saved(connected_components(found))
+    live = company.select("band", "id").join(now, "id", "left").select("band", "id", _own().alias("component"))
+    live = live.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    ids = saved(company.join(saved(live.select("band")), "band", "left_semi").select("id").distinct())
+    if ids.isEmpty():
+        return now
+    level = F.floor(-F.log2((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) + 1) / float(1 << 40))).cast("int")
+    rows = saved(prefix_keys(sets.join(ids, "id", "left_semi"), percent).withColumn("level", level))
+    while True:
+        rows = rows.join(now, "id", "left").select("key", "id", "n", "level", _own().alias("component"))
+        keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("top")).where("lo <> hi")
+        rows = saved(rows.join(saved(keys.select("key", "top")), "key"))
+        if rows.isEmpty():
+            return now
+        hubs = rows.where("level = top").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
+        near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+        new = (F.col("component") != F.col("cb")) & ((F.col("level") < F.col("top")) | (F.col("id") < F.col("b")))
+        pairs = rows.join(hubs, "key").where(near & new).select(F.col("id").alias("a"), "b", F.col("component").alias("ca"), "cb").distinct()
+        merged = similar_pairs(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = saved(connected_components(merged).select(F.col("id").alias("component"), F.col("component").alias("_to")))
+        if not merged.isEmpty():
+            moved = now.join(merged, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+            fresh = merged.join(now, merged["component"] == now["id"], "left_anti").select(F.col("component").alias("id"), F.col("_to").alias("component"))
+            now = saved(moved.unionByName(fresh))
+        rows = rows.where("level < top").select("key", "id", "n", "level")
+
+
+def _own() -> Column:
+    return F.coalesce("component", "id")
 
 
 def batches_of(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import batches_of, buckets_with_company, connected_components, verified_links
+from .components import batches_of, buckets_with_company, linked_components
 from .frames import saved
 from .kernels import band_keys, chunks, list_array, mix, shingle_sets, superminhash, word_table
 
@@ -75,18 +75,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with equal sets fold into one class first, by partial aggregation, so a group
     of exact copies of any size costs one member. Classes that share a band are
-    candidates; all candidates are verified on their full sets, in blocks.
+    candidates; links are confirmed on full sets.
     """
     sketch = saved(sketches(docs, id_col, text_col, shingle))
     some = sketch.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = some.groupBy("fa", "fb", "n_shingles").agg(F.min("id").alias("rep"))
-    member = saved(some.join(classes, ["fa", "fb", "n_shingles"]).select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
+    classes = some.groupBy("fa", "fb", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    # written first, so that Spark can split the rows of a large group of copies
+    member = some.join(saved(classes), ["fa", "fb", "n_shingles"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "bands")
+    member = saved(member.withColumn("bands", F.when(F.col("id") == F.col("rep"), F.col("bands"))))
     bands = member.where(F.col("id") == F.col("rep")).select("id", F.explode("bands").alias("band")).distinct()
     company = saved(buckets_with_company(bands))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # of rows that repeat an id, the sets of all are verified under that id
-    links = verified_links(company, lambda ids: text_sets(texts.join(ids, "id", "left_semi"), shingle), percent)
-    linked = connected_components(links).withColumnRenamed("id", "rep")
+    linked = linked_components(company, lambda ids: text_sets(texts.join(ids, "id", "left_semi"), shingle), percent).withColumnRenamed("id", "rep")
     found = member.select("id", "rep").distinct().join(linked, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     found = found.groupBy("id").agg(F.min("component").alias("component"))
     out = sketch.select("id", "n_shingles").join(found, "id", "left")

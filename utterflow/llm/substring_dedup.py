@@ -1,51 +1,56 @@
-"""Substring deduplication: content-defined paragraphs, MinHash banding, exact Jaccard, components.
+"""Substring deduplication: repeated passages by content-defined seeds, edited paragraphs by MinHash banding.
 
 A text is cut into paragraphs where the hash of a word pair is the least among its
-neighbours, so the cuts inside a passage depend on the passage alone and a passage that
-lies anywhere in two documents gives equal paragraphs in both. Paragraphs that share a band of
-their signatures are verified on their exact shingle sets, and components of
-near-duplicate paragraphs keep their first occurrence (least document id, then place).
-Cuts lie apart from the borders of a passage, so paragraphs alone miss the words beside
-them. Therefore each window of ``min_words`` words that an earlier place has too is a
-repeat as well. Windows are found by seeds, the least short window inside each: a passage
-brings its seeds along, and only windows whose seed occurs twice are compared, all of them.
-Words in repeated paragraphs or windows are removed where they run for ``min_words``
-words or more; shorter runs, such as common lines, stay. A passage with edits whose
-Jaccard is 0.8 has an exact run of 24 words or more, so it gives a span too; words beside
-an edit stay where neither a paragraph nor a window holds them.
-
-Cases: a null or blank text has no paragraphs; a text of fewer words than a shingle is one
-paragraph, of one shingle; equal texts repeat each other as a whole; rows that repeat a
-document id are told apart by their text only and equal ones are one; rows with a null
-id are left alone; a window that overlaps its own first occurrence is no repeat; an empty table gives an empty result. Whole texts are taken, of any
-length; columns besides id and text are ignored.
+neighbours, so the cuts inside a passage depend on the passage alone. Paragraphs whose
+signatures share a band are verified on their exact sets of ``shingle`` words, and of each
+component of paragraphs of Jaccard ``percent`` / 100 or more the first one stays (least
+document, then place).
+
+Paragraphs alone miss the words beside the borders of a passage and short stretches between
+edits. So seeds find exact repeats: a seed is the least of REACH + 1 successive stretches of
+SEED words, so a passage of SEED + REACH words or more brings seeds along wherever it lies.
+Seeds that an earlier place has too, on one alignment, form runs, and runs grow word by word
+on both sides while the words of both places agree, up to REACH words. Two runs with the
+same earlier document and at most GAP words between them, in both documents, are bridged:
+their edit distance is at most a fifth of their length. Repeated words are removable where
+they run for ``min_words`` words or more; shorter runs, such as common lines, stay. Every
+word of a repeated passage of SEED + REACH words is covered, but for up to REACH words at a
+border beside a seed that a third, earlier document has in other company.
+
+Cases: a null or blank text has no seeds and no paragraphs; a text of fewer words than a
+shingle is one paragraph, of one shingle; equal texts repeat each other as a whole; rows
+that repeat an id, and rows with a null id, are documents of their own (null last); a
+stretch that overlaps its own first place is no repeat; an empty table gives an empty
+result. Whole texts are taken, of up to 2^27 words, and more raise an error; columns
+besides id and text are ignored. Hashes of 64 bits stand for stretches, and for words
+beside a run.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..materialize import release
-from ..operators.ordering import prefix
-from .components import batches_of, buckets_with_company, connected_components, verified_links
-from .frames import saved
+from .components import batches_of, buckets_with_company, linked_components
+from .frames import free_name, numbered, saved, unique_ids
 from .kernels import band_keys, chunks, list_array, shingle_sets, superminhash, window_hashes, word_table
 from .near_dedup import set_fingerprints
 
-#: Words on each side among which a cut is the least: paragraphs have REACH + 1 words or more, about 2 REACH + 1 on average.
-REACH, LONGEST = 7, 64
-#: Paragraphs that a task remembers to fold their copies.
-SEEN = 400_000
-#: Bands x rows. Equal paragraphs always meet; a pair of Jaccard 0.8 meets but for 17 in 1,000, one of 0.9 for 13 in 10,000.
-BANDS, ROWS = 4, 2
-#: Words of a seed.
-SEED = 8
+#: Words of a seed; a seed is the least of REACH + 1 successive ones; words between two runs that are bridged.
+SEED, REACH, GAP = 10, 7, 6
+#: Words on each side among which a cut is the least: paragraphs have about 2 HALF + 1 words.
+HALF, LONGEST = 15, 128
+#: Bands x rows. A pair of paragraphs of Jaccard 0.8 shares none in 6 of 1,000 cases, one of 0.9 in 2 of 10,000.
+BANDS, ROWS = 5, 2
+#: Bits of a word's place in its text; a document's number stands above them.
+BITS = 27
+
+SEED_ROW, BAND_ROW, PARAGRAPH_ROW = 0, 1, 2
 
 
 def paragraph_starts(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +59,13 @@ def paragraph_starts(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
     pair = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     pair[: max(0, n - 1)] = window_hashes(hashes, 2)
     cut = np.ones(n, bool)
-    for k in range(1, REACH + 1):
+    for k in range(1, HALF + 1):
         cut[k:] &= pair[k:] < pair[:-k]
         cut[:-k] &= pair[:-k] <= pair[k:]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     place = np.arange(n) - bounds[:-1][row]
     left = bounds[1:][row] - np.arange(n)
-    cut &= (place >= REACH) & (left > REACH)
+    cut &= (place >= HALF) & (left > HALF)
     cut[bounds[:-1][np.diff(bounds) > 0]] = True
     starts = np.flatnonzero(cut)
     sizes = np.diff(np.append(starts, n))
@@ -72,247 +77,260 @@ def paragraph_starts(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
     return starts, row[starts]
 
 
-def paragraph_bands(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``doc, pars, bands`` of (doc, text): paragraphs and their band keys, BANDS each, in order.
+def seed_places(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the seeds: the leftmost least of every REACH + 1 successive stretches of SEED words."""
+    grams = window_hashes(hashes, SEED)
+    n = max(0, len(grams) - REACH)
+    least = grams[:n].copy()
+    for k in range(1, REACH + 1):
+        np.minimum(least, grams[k : k + n], out=least)
+    where = np.zeros(n, np.int64)
+    for k in range(REACH, -1, -1):
+        where[grams[k : k + n] == least] = k
+    at = np.arange(n)
+    row = np.searchsorted(bounds, at, "right") - 1
+    inside = at + REACH + SEED <= bounds[row + 1]
+    chosen = np.zeros(len(grams), bool)
+    chosen[(at + where)[inside]] = True
+    at = np.flatnonzero(chosen)
+    return at, grams[at]
 
-    A task writes the bands of equal paragraphs once, so copies are folded before any
-    shuffle. The others, and the one that stands for them, are known to have company and
-    get one key of their own and the number -1 - par.
-    """
-    kind = docs.schema["doc"].dataType.simpleString()
 
+def set_classes(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set."""
+    a, b = set_fingerprints(flat, ends)
+    return a ^ (b << 1)
+
+
+def marks(texts: DataFrame, shingle: int) -> DataFrame:
+    """``kind, key, value, n`` of (num, text), flat rows.
+
+    A seed gives (hash, place), a band of a paragraph (band, class), a paragraph (class,
+    place) and its number of words; a place is a document's number and a word's.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], tuple | None] = {}
         for batch in batches:
-            docs_ = batch.column(0)
+            nums = batch.column(0).to_numpy(zero_copy_only=False)
             for first, end, data, offsets in chunks(batch.column(1)):
                 hashes, bounds, _, _ = word_table(data, offsets)
+                if len(hashes) and np.diff(bounds).max() >= 1 << BITS:
+                    raise ValueError(f"a text has {np.diff(bounds).max()} words; up to 2^{BITS} are handled")
+                base = (nums[first:end] << BITS) - bounds[:-1]
+                at, seed = seed_places(hashes, bounds)
+                seed_row = np.searchsorted(bounds, at, "right") - 1
                 starts, row = paragraph_starts(hashes, bounds)
-                flat, ends = shingle_sets(hashes, np.append(starts, len(hashes)), shingle)
-                number = np.arange(len(starts)) - np.searchsorted(row, row)
-                marks = list(zip(*(f.tolist() for f in set_fingerprints(flat, ends))))
-                names = docs_[first:end].to_pylist()
-                fresh, company = np.ones(len(starts), bool), []
-                for k, mark in enumerate(marks):
-                    if mark not in seen:
-                        if len(seen) < SEEN:
-                            seen[mark] = (names[row[k]], int(number[k]))
-                        continue
-                    fresh[k] = False
-                    company.append((names[row[k]], int(number[k])))
-                    if seen[mark] is not None:
-                        company.append(seen[mark])
-                        seen[mark] = None
-                picked = np.flatnonzero(fresh)
-                sizes = np.diff(ends)[picked]
+                limits = np.append(starts, len(hashes))
+                flat, ends = shingle_sets(hashes, limits, shingle)
+                name = set_classes(flat, ends)
+                # equal paragraphs of a chunk have one signature
+                _, once = np.unique(name, return_index=True)
+                sizes = np.diff(ends)[once]
                 inner = np.concatenate(([0], np.cumsum(sizes)))
-                elements = flat[np.arange(inner[-1]) - np.repeat(inner[:-1] - ends[picked], sizes)]
-                keys = band_keys(superminhash(elements, inner, BANDS * ROWS), BANDS, ROWS).reshape(-1)
-                counts = np.concatenate(([0], np.cumsum(np.bincount(row[picked], minlength=end - first))))
-                pars = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.array(number[picked].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([docs_[first:end], pars, list_array(keys, counts * BANDS)], ["doc", "pars", "bands"])
-                if company:
-                    own = [[-1 - par] for _, par in company]
-                    alone = np.frombuffer(b"".join(hashlib.blake2b(repr(c).encode(), digest_size=8).digest() for c in company), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([d for d, _ in company], docs_.type), pa.array(own, pa.list_(pa.int32())), list_array(alone, np.arange(len(company) + 1))], ["doc", "pars", "bands"]
-                    )
-
-    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, pars array<int>, bands array<long>")
-
-
-def paragraphs_with_company(docs: DataFrame, shingle: int) -> DataFrame:
-    """``band, doc, par`` of the paragraphs that share a band with another one, by one sort of the band rows.
-
-    Negative numbers mark paragraphs that a task has found to be copies.
-    """
-    per = F.when(F.get("pars", 0) < 0, 1).otherwise(BANDS)
-    flat = paragraph_bands(docs, shingle).select("doc", "pars", per.alias("per"), F.posexplode("bands").alias("k", "band"))
-    rows = flat.select("band", "doc", F.get("pars", F.expr("cast(k div per as int)")).alias("par"))
-    same = Window.partitionBy("band")
-    lo, hi = F.min(F.struct("doc", "par")).over(same), F.max(F.struct("doc", "par")).over(same)
-    return rows.select("band", "doc", "par", (lo != hi).alias("_shared")).where(F.col("_shared") | (F.col("par") < 0)).drop("_shared")
+                elements = flat[np.arange(inner[-1]) - np.repeat(inner[:-1] - ends[once], sizes)]
+                bands = band_keys(superminhash(elements, inner, BANDS * ROWS), BANDS, ROWS).reshape(-1).view(np.int64)
+                parts = (
+                    (SEED_ROW, seed.view(np.int64), base[seed_row] + at, np.zeros(len(at), np.int32)),
+                    (BAND_ROW, bands, np.repeat(name[once], BANDS), np.zeros(len(bands), np.int32)),
+                    (PARAGRAPH_ROW, name, base[row] + starts, np.diff(limits).astype(np.int32)),
+                )
+                for kind, key, value, n in parts:
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(value), pa.array(n)], ["kind", "key", "value", "n"])
 
+    return texts.select("num", "text").mapInArrow(run, "kind tinyint, key long, value long, n int")
 
-def paragraph_table(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``doc, par, first_word, n_words, first_byte, end_byte, class, n, set`` of the paragraphs listed in ``pars`` of (doc, text, pars).
-
-    ``class`` is a 128-bit fingerprint of the shingle set; a paragraph that runs to the
-    end of its text says so in ``last``.
-    """
-    kind = docs.schema["doc"].dataType.simpleString()
-    names = ["doc", "par", "first_word", "n_words", "first_byte", "end_byte", "class", "n", "set"]
 
+def paragraph_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``id, n, set``: class and shingles of the paragraphs that start at the words ``starts`` of (text, starts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2)
-            for first, end, data, offsets in chunks(batch.column(1)):
-                hashes, bounds, word_start, word_end = word_table(data, offsets)
-                starts, row = paragraph_starts(hashes, bounds)
+            wanted = batch.column(1)
+            for first, end, data, offsets in chunks(batch.column(0)):
+                hashes, bounds, _, _ = word_table(data, offsets)
+                starts, _ = paragraph_starts(hashes, bounds)
                 limits = np.append(starts, len(hashes))
-                number = np.arange(len(starts)) - np.searchsorted(row, row)
-                keep = np.zeros(len(starts), bool)
-                base = np.searchsorted(row, np.arange(end - first))
-                have = np.bincount(row, minlength=end - first)
-                for r in range(end - first):
-                    pars = np.asarray(wanted[first + r].values, np.int64)
-                    keep[base[r] + pars[pars < have[r]]] = True  # of rows that share an id, some have fewer
-                at = np.flatnonzero(keep)
-                if not len(at):
-                    continue
+                own = np.concatenate([np.asarray(wanted[first + r].values, np.int64) + bounds[r] for r in range(end - first)])
+                at = np.searchsorted(starts, own)
                 sizes = limits[at + 1] - limits[at]
                 inner = np.concatenate(([0], np.cumsum(sizes)))
-                picked = hashes[np.arange(inner[-1]) - np.repeat(inner[:-1] - limits[at], sizes)]
-                flat, ends = shingle_sets(picked, inner, shingle)
-                fa, fb = set_fingerprints(flat, ends)
-                raw = np.stack((fa, fb), axis=1).tobytes()
-                marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                zero = offsets[row[at]]
-                columns = [number[at], limits[at] - bounds[row[at]], sizes, word_start[limits[at]] - zero, word_end[limits[at + 1] - 1] - zero]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + row[at])), *(pa.array(c.astype(np.int64)) for c in columns), marks, pa.array(np.diff(ends)), list_array(flat, ends)], names
-                )
+                flat, ends = shingle_sets(hashes[np.arange(inner[-1]) - np.repeat(inner[:-1] - limits[at], sizes)], inner, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(set_classes(flat, ends)), pa.array(np.diff(ends)), list_array(flat, ends)], ["id", "n", "set"])
 
-    schema = f"doc {kind}, par long, first_word long, n_words long, first_byte long, end_byte long, class binary, n long, set array<long>"
-    return docs.select("doc", "text", "pars").mapInArrow(run, schema)
+    return texts.select("text", "starts").mapInArrow(run, "id long, n long, set array<long>")
 
 
-def window_seeds(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of every window of ``width`` words, and its seed: the least hash of the windows of SEED words inside."""
-    grams = window_hashes(hashes, min(SEED, width))
-    n = max(0, len(hashes) - width + 1)
-    seed = grams[:n].copy()
-    for k in range(1, width - min(SEED, width) + 1):
-        np.minimum(seed, grams[k : k + n], out=seed)
-    at = np.arange(n)
-    row = np.searchsorted(bounds, at, "right") - 1
-    at = at[at + width <= bounds[row + 1]]
-    return at, seed[at]
+def _doc(place: str | Column) -> Column:
+    return F.shiftright(place, BITS)
 
 
-def seed_table(docs: DataFrame, width: int) -> DataFrame:
-    """``doc, seeds`` of (doc, text): the seeds of the windows in order, once for each place."""
-    kind = docs.schema["doc"].dataType.simpleString()
-    most = width - min(SEED, width) + 1  # windows that one place can be the seed of
+def _word(place: str | Column) -> Column:
+    return (F.col(place) if isinstance(place, str) else place).bitwiseAND(F.lit((1 << BITS) - 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in chunks(batch.column(1)):
-                hashes, bounds, _, _ = word_table(data, offsets)
-                at, seed = window_seeds(hashes, bounds, width)
-                row = np.searchsorted(bounds, at, "right") - 1
-                fresh = np.ones(len(at), bool)
-                fresh[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
-                starts = np.flatnonzero(fresh)
-                copies = 1 + (np.diff(np.append(starts, len(at))) > most)
-                starts = np.repeat(starts, copies)
-                counts = np.concatenate(([0], np.cumsum(np.bincount(row[starts], minlength=end - first))))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], list_array(seed[starts], counts)], ["doc", "seeds"])
 
-    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, seeds array<long>")
+def similar_paragraphs(texts: DataFrame, found: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """``start, stop, kept`` (places): paragraphs in a component of several classes, and the component's first."""
+    company = saved(buckets_with_company(found.where(F.col("kind") == BAND_ROW).select(F.col("key").alias("band"), F.col("value").alias("id")).distinct()))
+    paragraphs = found.where(F.col("kind") == PARAGRAPH_ROW).select(F.col("key").alias("id"), F.col("value").alias("start"), "n")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        one = paragraphs.join(saved(ids), "id", "left_semi").groupBy("id").agg(F.min("start").alias("start"))
+        wanted = one.groupBy(_doc("start").alias("num")).agg(F.collect_list(_word("start")).alias("starts"))
+        return paragraph_sets(texts.join(wanted, "num"), shingle)
+
+    linked = saved(linked_components(company, fetch, percent))
+    release(texts.sparkSession)
+    placed = saved(paragraphs.join(linked, "id").select("component", "start", (F.col("start") + F.col("n")).alias("stop")))
+    kept = saved(placed.groupBy("component").agg(F.min("start").alias("kept")))
+    return placed.join(kept, "component").where(F.col("start") != F.col("kept")).select("start", "stop", "kept")
+
 
+def seed_runs(found: DataFrame) -> DataFrame:
+    """``start, stop, kept`` (places): the runs of seeds that an earlier place has, on one alignment each.
 
-def window_table(docs: DataFrame, width: int) -> DataFrame:
-    """``idx, first_word, first_byte, end_byte, window`` of (idx, text, seeds), arrays: the windows whose seed is listed."""
-    names = ["idx", "first_word", "first_byte", "end_byte", "window"]
+    First places come from partial aggregation and are joined back, so no group of equal
+    seeds has to meet in one task.
+    """
+    seeds = found.where(F.col("kind") == SEED_ROW).select("key", F.col("value").alias("place"))
+    first = seeds.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("_last"))
+    first = saved(first.where(F.col("first") != F.col("_last")).drop("_last"))
+    later = seeds.join(first, "key").select("place", (F.col("place") - F.col("first")).alias("shift"), "first")
+    later = later.where((F.col("shift") > 0) & ((_doc("place") != _doc("first")) | (F.col("shift") >= SEED)))
+    # alignments keep to one document by its number, and a run never leaves a document
+    line = Window.partitionBy(_doc("place"), "shift").orderBy("place")
+    new = F.coalesce((F.col("place") - F.lag("place").over(line) > SEED).cast("int"), F.lit(1))
+    runs = later.select("place", "shift", new.alias("_new")).withColumn("_run", F.sum("_new").over(line))
+    runs = runs.groupBy(_doc("place").alias("_doc"), "shift", "_run").agg(F.min("place").alias("start"), (F.max("place") + SEED).alias("stop"))
+    return runs.select("start", "stop", (F.col("start") - F.col("shift")).alias("kept"))
+
+
+def surroundings(texts: DataFrame) -> DataFrame:
+    """``side, place, stop, words, first_bytes, end_bytes`` of the places listed in ``asked`` (side, a, b) of (num, text, asked).
+
+    Side 0 is a run from word a to word b: the hashes of REACH words before a, going left,
+    and of as many from b on, and the bytes at which the words from a to the left start, and
+    those from b - 1 to the right end. Sides 1 and 2 are words of the earlier place that are to be compared:
+    those before a, and those from a on. Where a text ends, words are -1, or -2 for side 0.
+    """
+    step = np.arange(REACH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2)
+            asked = batch.column(2)
             for first, end, data, offsets in chunks(batch.column(1)):
                 hashes, bounds, word_start, word_end = word_table(data, offsets)
-                at, seed = window_seeds(hashes, bounds, width)
-                base = np.searchsorted(at, bounds)
-                keep = np.zeros(len(at), bool)
-                for r in range(end - first):
-                    own = wanted[first + r].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    keep[base[r] : base[r + 1]] = np.isin(seed[base[r] : base[r + 1]], own)
-                at = at[keep]
-                row = np.searchsorted(bounds, at, "right") - 1
-                counts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=end - first))))
-                zero = offsets[row]
-                places = (at - bounds[row], word_start[at] - zero, word_end[at + width - 1] - zero)
-                columns = [*(c.astype(np.int32) for c in places), window_hashes(hashes, width)[at]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], *(list_array(c, counts) for c in columns)], names)
-
-    schema = "idx long, first_word array<int>, first_byte array<int>, end_byte array<int>, window array<long>"
-    return docs.select("idx", "text", "seeds").mapInArrow(run, schema)
-
-
-def repeated_windows(texts: DataFrame, order: DataFrame, width: int) -> DataFrame:
-    """``idx, first_word, n_words, first_byte, end_byte, kept`` of the windows of (doc, text) that an earlier place has.
-
-    ``order`` numbers the ids (doc, idx), so that a place is one number. First occurrences
-    come from partial aggregation and are joined back, so no group of equal windows has to
-    meet in one task.
-    """
-    seeds = saved(seed_table(texts, width)).select("doc", F.explode("seeds").alias("seed"))
-    shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    wanted = saved(seeds.join(shared, "seed", "left_semi").groupBy("doc").agg(F.collect_set("seed").alias("seeds")))
-    found = saved(window_table(texts.join(wanted.join(order, "doc"), "doc"), width))
-    release(texts.sparkSession)
-    flat = found.select("idx", F.explode(F.arrays_zip("first_word", "first_byte", "end_byte", "window")).alias("w"))
-    pair = lambda high, low: F.shiftleft(F.col(high).cast("bigint"), 32) + F.col(low)
-    flat = flat.select("w.window", pair("idx", "w.first_word").alias("place"), pair("w.first_byte", "w.end_byte").alias("bytes"))
-    first = flat.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("_last"))
-    first = saved(first.where(F.col("first") != F.col("_last")).drop("_last"))
+                items = asked.slice(first, end - first)
+                counts = np.diff(items.offsets.to_numpy())
+                items = items.flatten()
+                row = np.repeat(np.arange(end - first), counts)
+                side, a, b = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                low, high = bounds[row], bounds[row + 1]
+                left, right = low + a, low + np.where(side == 0, b, a)
+                none = np.where(side == 0, -2, -1)[:, None]
+
+                def around(at: np.ndarray) -> np.ndarray:
+                    inside = (at >= low[:, None]) & (at < high[:, None])
+                    return np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)].view(np.int64), none)
+
+                before, after = around(left[:, None] - 1 - step), around(right[:, None] + step)
+                zero = offsets[row][:, None]
+                far = np.concatenate((step, [REACH]))
+                firsts = word_start[np.clip(left[:, None] - far, low[:, None], high[:, None] - 1)] - zero
+                ends = word_end[np.clip(right[:, None] - 1 + far, low[:, None], high[:, None] - 1)] - zero
+                run_ = side == 0
+                words = np.where(run_[:, None], np.concatenate((before, after), axis=1), np.concatenate((np.where((side == 1)[:, None], before, after),) * 2, axis=1))
+                sizes = np.where(run_, 2 * REACH, REACH)
+                base = batch.column(0).to_numpy(zero_copy_only=False)[first:end][row] << BITS
+                short = lambda x, n: list_array(x[np.arange(x.shape[1]) < n[:, None]], np.concatenate(([0], np.cumsum(n))))
+                bytes_ = np.where(run_, REACH + 1, 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(side.astype(np.int8)), pa.array(base + a), pa.array(base + b), short(words, sizes), short(firsts, bytes_), short(ends, bytes_)],
+                    ["side", "place", "stop", "words", "first_bytes", "end_bytes"],
+                )
+
+    return texts.select("num", "text", "asked").mapInArrow(run, "side tinyint, place long, stop long, words array<long>, first_bytes array<long>, end_bytes array<long>")
+
+
+def grown(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` (start, stop, kept, paragraph) with runs of seeds grown to the words that agree, and ``first_byte`` and ``end_byte``."""
+    own = runs.select(F.lit(0).cast("tinyint").alias("side"), F.col("start").alias("place"), "stop")
+    seeds = runs.where("not paragraph")
+    place = lambda side, c: seeds.select(F.lit(side).cast("tinyint").alias("side"), c.alias("place"), c.alias("stop"))
+    kept_stop = F.col("kept") + F.col("stop") - F.col("start")
+    asked = own.unionByName(place(1, F.col("kept"))).unionByName(place(2, kept_stop)).distinct()
+    asked = asked.groupBy(_doc("place").alias("num")).agg(F.collect_list(F.struct("side", _word("place").alias("a"), _word("stop").alias("b"))).alias("asked"))
+    around = saved(surroundings(texts.join(asked, "num")))
     release(texts.sparkSession)
-    high, low = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    # in one document the two don't overlap
-    later = flat.join(first, "window").where((high("place") != high("first")) | (F.col("place") >= F.col("first") + width))
-    return later.select(
-        high("place").alias("idx"), low("place").alias("first_word"), F.lit(width).cast("bigint").alias("n_words"),
-        high("bytes").alias("first_byte"), low("bytes").alias("end_byte"), high("first").alias("kept"),
+    mine = around.where("side = 0").select(F.col("place").alias("start"), "stop", F.col("words").alias("_mine"), "first_bytes", "end_bytes")
+    left = around.where("side = 1").select(F.col("place").alias("kept"), F.col("words").alias("_left"))
+    right = around.where("side = 2").select(F.col("place").alias("_kept_stop"), F.col("words").alias("_right"))
+    same = lambda a, b: F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x == y), False), F.lit(0)) - 1, F.lit(REACH))
+    joined = runs.withColumn("_kept_stop", F.when(~F.col("paragraph"), kept_stop)).join(mine, ["start", "stop"])
+    joined = joined.join(left, "kept", "left").join(right, "_kept_stop", "left")
+    back = F.when(F.col("paragraph"), 0).otherwise(same(F.slice("_mine", 1, REACH), F.col("_left"))).cast("int")
+    on = F.when(F.col("paragraph"), 0).otherwise(same(F.slice("_mine", REACH + 1, REACH), F.col("_right"))).cast("int")
+    joined = joined.select("*", back.alias("_back"), on.alias("_on"))
+    return joined.select(
+        (F.col("start") - F.col("_back")).alias("start"), (F.col("stop") + F.col("_on")).alias("stop"), (F.col("kept") - F.col("_back")).alias("kept"), "paragraph",
+        F.get("first_bytes", F.col("_back")).alias("first_byte"), F.get("end_bytes", F.col("_on")).alias("end_byte"),
+    )
+
+
+def bridges(runs: DataFrame) -> DataFrame:
+    """The stretches of at most GAP words between two runs of one document with one earlier document, where it has as few."""
+    exact = runs.where("not paragraph").select("start", "stop", "first_byte", "end_byte", "kept", (F.col("kept") + F.col("stop") - F.col("start")).alias("kept_stop"))
+    pair = Window.partitionBy(_doc("start"), _doc("kept")).orderBy("start", "stop", "kept")
+    before = {c: F.lag(c).over(pair).alias(f"_{c}") for c in ("stop", "kept_stop", "end_byte")}
+    gaps = exact.select("*", *before.values())
+    between = lambda a, b: F.col(a) - F.col(b)
+    near = between("start", "_stop").between(1, GAP) & between("kept", "_kept_stop").between(0, GAP)
+    return gaps.where(near).select(
+        F.col("_stop").alias("start"), F.col("start").alias("stop"), F.col("_kept_stop").alias("kept"), F.lit(False).alias("paragraph"), F.col("_end_byte").alias("first_byte"), F.col("first_byte").alias("end_byte"),
     )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 20, shingle: int = 5) -> DataFrame:
     """One row per removable span: id, first_word, n_words, first_byte, end_byte, n_paragraphs, kept_doc_ids.
 
-    Bytes are of the text in UTF-8; ``n_paragraphs`` counts the repeated paragraphs, 0 where
-    only windows repeat. ``kept_doc_ids`` are the documents that keep the first
-    occurrences.
+    Bytes are of the text in UTF-8; ``n_paragraphs`` counts the similar paragraphs, 0 where
+    the span is an exact repeat or bridges some. ``kept_doc_ids`` are the documents that
+    keep the earlier places.
     """
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    company = saved(paragraphs_with_company(texts, shingle))
-    par = F.when(F.col("par") < 0, -1 - F.col("par")).otherwise(F.col("par")).cast("bigint")
-    wanted = company.select("doc", par.alias("par")).groupBy("doc").agg(F.collect_set("par").alias("pars"))
-    found = saved(paragraph_table(texts.join(wanted, "doc").select("doc", "text", "pars"), shingle))
-    # equal paragraphs fold into their class before any pair is looked at
-    of_class = company.where("par >= 0").select("band", "doc", F.col("par").cast("bigint").alias("par")).join(found.select("doc", "par", "class"), ["doc", "par"])
-    between = buckets_with_company(of_class.select("band", F.col("class").alias("id")).distinct())
-    sets = found.select(F.col("class").alias("id"), "n", "set").dropDuplicates(["id"])
-    links = verified_links(saved(between), lambda ids: sets.join(ids, "id", "left_semi"), percent)
-    linked = connected_components(links).select(F.col("id").alias("class"), F.col("component"))
-    placed = found.drop("set", "n").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")).drop("class")
-    placed = saved(placed)
-    first = placed.groupBy("component").agg(F.min(F.struct("doc", "par")).alias("first"))
-    repeats = placed.join(first, "component").where((F.col("doc") != F.col("first.doc")) | (F.col("par") != F.col("first.par")))
-    ids = saved(prefix(texts.select("doc").distinct(), [F.col("doc")]))
-    kept = ids.select(F.col("doc").alias("_kept"), F.col("idx").alias("kept"))
-    repeats = repeats.join(ids, "doc").join(kept, F.col("first.doc") == F.col("_kept")).select("idx", "first_word", "n_words", "first_byte", "end_byte", "kept").distinct()
-    repeats = saved(repeats.withColumn("paragraph", F.lit(1)))
+    texts, plain = _numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
+    found = saved(marks(texts, shingle))
+    similar = similar_paragraphs(texts, found, percent, shingle).withColumn("paragraph", F.lit(True))
+    runs = saved(seed_runs(found).withColumn("paragraph", F.lit(False)).unionByName(similar).distinct())
+    release(docs.sparkSession)
+    parts = saved(grown(texts, runs))
     release(docs.sparkSession)
-    parts = repeats.unionByName(repeated_windows(texts, ids, min_words).withColumn("paragraph", F.lit(0)))
+    parts = parts.unionByName(bridges(parts))
     # words that overlap or touch are one run
-    end, order = F.col("first_word") + F.col("n_words"), Window.partitionBy("idx").orderBy("first_word", "n_words")
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = parts.withColumn("_new", F.coalesce((F.col("first_word") > before).cast("int"), F.lit(1)))
-    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("idx", "_run").agg(
-        F.min("first_word").alias("first_word"), (F.max(end) - F.min("first_word")).alias("n_words"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"),
-        F.sum("paragraph").alias("n_paragraphs"), F.collect_set("kept").alias("_of"),
+    order = Window.partitionBy(_doc("start")).orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lined = parts.withColumn("_new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    lined = lined.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = lined.groupBy(_doc("start").alias("num"), "_run").agg(
+        _word(F.min("start")).alias("first_word"), (F.max("stop") - F.min("start")).alias("n_words"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"),
+        F.sum(F.col("paragraph").cast("long")).alias("n_paragraphs"), F.collect_set(_doc("kept")).alias("_of"),
     )
-    spans = saved(spans.where(F.col("n_words") >= min_words))
-    names = spans.select("idx", "_run", F.explode("_of").alias("kept")).join(kept, "kept").groupBy("idx", "_run").agg(F.array_sort(F.collect_list("_kept")).alias("kept_doc_ids"))
-    spans = spans.join(names, ["idx", "_run"]).join(ids, "idx")
-    return spans.select(F.col("doc").alias(id_col), "first_word", "n_words", "first_byte", "end_byte", "n_paragraphs", "kept_doc_ids")
+    spans = spans.where(F.col("n_words") >= min_words).drop("_run")
+    columns = ["first_word", "n_words", "first_byte", "end_byte", "n_paragraphs"]
+    if plain:
+        kind = docs.schema[id_col].dataType
+        return spans.select(F.col("num").cast(kind).alias(id_col), *columns, F.array_sort("_of").cast(f"array<{kind.simpleString()}>").alias("kept_doc_ids"))
+    spans, ids = saved(spans), saved(texts.select("num", "doc"))
+    names = spans.select("num", "first_word", F.explode("_of").alias("_kept")).join(ids.select(F.col("num").alias("_kept"), F.col("doc").alias("_name")), "_kept")
+    names = names.groupBy("num", "first_word").agg(F.array_sort(F.collect_set("_name")).alias("kept_doc_ids"))
+    return spans.join(names, ["num", "first_word"]).join(ids, "num").select(F.col("doc").alias(id_col), *columns, "kept_doc_ids")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the bytes of all spans cut out of their texts; other columns and rows as they are. Ids must tell rows apart."""
-    cuts = spans.groupBy(F.col(id_col).alias("_cut")).agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("_spans"))
-    joined = docs.join(cuts, docs[id_col] == cuts["_cut"], "left").drop("_cut")
+    """``docs`` with the bytes of all spans cut out of their texts; other columns and rows as they are. Ids must tell rows apart.
+
+    Rows without a span, also those with a null text or id, stay as they are.
+    """
+    cut, list_ = free_name(docs, "_cut"), free_name(docs, "_spans")
+    cuts = spans.groupBy(F.col(id_col).alias(cut)).agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias(list_))
+    joined = docs.join(cuts, docs[id_col] == cuts[cut], "left").drop(cut)
     names = docs.columns
     text_at = names.index(text_col)
 
@@ -330,3 +348,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
         return pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(batches_of(run), docs.schema)
+
+
+def _numbered(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """(num, doc, text) of (doc, text), and whether ``num`` is the id itself; numbers follow the order of the ids."""
+    if texts.schema["doc"].dataType.typeName() in ("byte", "short", "integer", "long") and unique_ids(texts, "doc"):
+        low, high = texts.agg(F.min("doc"), F.max("doc")).first()
+        if low is None or (low >= 0 and high < 1 << (63 - BITS)):
+            return texts.select(F.col("doc").cast("long").alias("num"), "doc", "text"), True
+    return numbered(texts, "doc", "text", "num"), False
