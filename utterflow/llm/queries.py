@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
@@ -28,6 +28,11 @@ KEEP_SHARE = 0.85
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _remainder(divisor: int, held: int) -> Column:
+    """Whether the id's crc32 leaves ``held``; a null id does not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == held, F.lit(False))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = _remainder(5, 0)
     weights = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
     return score_toxicity(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -62,7 +67,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = _remainder(3, 1)
     return identify_languages(docs, fit_language_filters(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

@@ -14,6 +14,7 @@ names. Whole texts are counted, of any length.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from .kernels import chunks, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
+#: Bytes of a pre-token from which on its merges are followed place by place; the counts are the same.
+LONG = 256
 #: Entries of a worker's table of counted pre-tokens; it is emptied when full.
 CACHE_ENTRIES = 1 << 19
 
@@ -82,10 +85,13 @@ class Vocabulary:
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Symbols left of each byte span after all merges."""
         out = np.zeros(len(starts), np.int64)
+        for k in np.flatnonzero(ends - starts > LONG):
+            out[k] = self.count_long(self.of_byte[data[starts[k] : ends[k]]])
+        short = np.flatnonzero(ends - starts <= LONG)
+        starts, sizes = starts[short], (ends - starts)[short].astype(np.int64)
         if not len(starts):
             return out
-        sizes = (ends - starts).astype(np.int64)
-        sequence = np.repeat(np.arange(len(starts)), sizes)
+        sequence = np.repeat(short, sizes)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         symbol = self.of_byte[data[np.arange(sizes.sum()) - np.repeat(first - starts, sizes)]]
         none = len(self.rank)
@@ -101,17 +107,78 @@ class Vocabulary:
             out[sequence[heads[over]]] = lengths[over]
             least = np.repeat(lowest, lengths)
             hit = (rank == least) & (least < none)
-            # of pairs that overlap, as in a run of one symbol, every second one from the left
-            places = np.flatnonzero(hit)
-            run = np.concatenate(([True], np.diff(places) != 1)) if len(places) else np.zeros(0, bool)
-            offset = np.arange(len(places)) - np.maximum.accumulate(np.where(run, np.arange(len(places)), 0)) if len(places) else places
-            places = places[offset % 2 == 0]
+            places = _every_second(np.flatnonzero(hit))
             symbol[places] = self.merged[rank[places]]
             keep = least < none
             keep[places + 1] = False
             symbol, sequence = symbol[keep], sequence[keep]
         return out
 
+    def count_long(self, symbol: np.ndarray) -> int:
+        """Symbols left of one long sequence.
+
+        Ranks are taken in order as above, but a round touches only the places of its own
+        rank and their neighbours, which are linked: the work follows the merges and not
+        the rounds times the length.
+        """
+        n, none = len(symbol), len(self.rank)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n: behind the end
+        symbol, rank = np.append(symbol, 0), np.full(n + 1, none, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def enter(places: np.ndarray) -> None:
+            """Rank the pairs that begin at ``places`` anew and queue them."""
+            has = after[places] < n
+            rank[places] = none
+            places = places[has]
+            rank[places] = self.ranks(symbol[places], symbol[after[places]])
+            places = places[rank[places] < none]
+            places = places[np.argsort(rank[places], kind="stable")]
+            of = rank[places]
+            cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1])))
+            for r, part in zip(of[cuts].tolist(), np.split(places, cuts[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(part)
+
+        enter(np.arange(n))
+        gone = 0
+        while order:
+            r = heapq.heappop(order)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[rank[places] == r]
+            places = places[_every_second_linked(places, after)]
+            if not len(places):
+                continue
+            right = after[places]
+            symbol[places] = self.merged[r]
+            rank[right] = none
+            behind = after[right]
+            after[places] = behind
+            inner = behind < n
+            before[behind[inner]] = places[inner]
+            gone += len(places)
+            left = before[places]
+            enter(np.unique(np.concatenate((places, left[left >= 0]))))
+        return n - gone
+
+
+def _every_second(places: np.ndarray) -> np.ndarray:
+    """Of pairs that overlap, as in a run of one symbol, every second one from the left."""
+    return places[_every_second_linked(places, None)]
+
+
+def _every_second_linked(places: np.ndarray, after: np.ndarray | None) -> np.ndarray:
+    """Which of the sorted ``places`` to take so that none is the next one's left neighbour."""
+    if not len(places):
+        return np.zeros(0, bool)
+    follows = places[:-1] + 1 if after is None else after[places[:-1]]
+    run = np.concatenate(([True], places[1:] != follows))
+    index = np.arange(len(places))
+    return (index - np.maximum.accumulate(np.where(run, index, 0))) % 2 == 0
+
 
 def pretoken_starts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Byte positions at which pre-tokens begin; ``offsets`` bound independent segments."""

@@ -5,8 +5,9 @@ word between of a text, hashed to ``DIMENSIONS`` places. Per-coordinate rates le
 fast; L1 keeps most weights at zero, so the weights are few and broadcast.
 
 Cases: a null or empty text has the bias only and gets its score; labels that are null
-are no training rows; of rows that repeat an id each is used and scored; without
-training rows, all scores are 0.5 at most; an empty table gives an empty result. Whole
+are no training rows; of rows that repeat an id each is used and scored; rows that tie in the sample's order
+go by label, then features; without training rows, all scores are 0.5; an empty table gives an
+empty result. Whole
 texts are taken; columns besides id, text and label are ignored.
 """
 
@@ -25,9 +26,8 @@ from .kernels import ASCII_LOWER, chunks, mix, span_hashes, word_spans
 DIMENSIONS = 1 << 20
 #: The fit's bound: labelled rows with the least hash of the id.
 TRAIN_ROWS = 12_000
-#: A feature takes part if this many rows of the sample have it; others can only be learnt by heart.
-LEAST_ROWS = 10
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 6.0, 1.0
+#: L1 is for each row of the sample, as the gradients that it is held against add up over rows.
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 5e-4, 1.0
 #: Besides whole words, their first bytes, so that inflected forms share a feature.
 STEMS = (4, 5)
 
@@ -54,14 +54,15 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIM
 
 
 class Ftrl:
-    """FTRL-proximal state of a logistic regression with 0/1 features."""
+    """FTRL-proximal state of a logistic regression with 0/1 features, for a sample of ``rows``."""
 
-    def __init__(self, dimensions: int = DIMENSIONS):
+    def __init__(self, rows: int, dimensions: int = DIMENSIONS):
         self.z, self.n = np.zeros(dimensions + 1), np.zeros(dimensions + 1)
+        self.l1 = L1 * rows
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def update(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
@@ -93,9 +94,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(o, y, np.append(np.asarray(x.values, np.int64), DIMENSIONS)) for b in batches for o, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))]
         seen.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
-        rows_with = np.bincount(np.concatenate([at for _, _, at in seen]) if seen else np.empty(0, np.int64), minlength=DIMENSIONS + 1)
-        seen = [(o, y, at[(rows_with[at] >= LEAST_ROWS) | (at == DIMENSIONS)]) for o, y, at in seen]
-        model = Ftrl()
+        model = Ftrl(len(seen))
         for _ in range(EPOCHS):
             for _, y, at in seen:
                 model.update(at, y)
