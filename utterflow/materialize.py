@@ -39,3 +39,11 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of what ``saved`` has cut off now, not when the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``saved`` returned, once everything that was made from it has been saved as well."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
