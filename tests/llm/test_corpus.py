@@ -178,7 +178,7 @@ def test_substring_spans_cover_shared_passages(spark, docs):
 
 def test_paragraph_cuts_depend_on_the_passage():
     rnd = random.Random(6)
-    passage = prose(rnd, 240)
+    passage = prose(rnd, 480)
 
     def cuts(text):
         data = text.encode()
@@ -186,11 +186,11 @@ def test_paragraph_cuts_depend_on_the_passage():
         return substring_dedup.paragraph_starts(h, b)[0].tolist()
 
     a, b = cuts(f"{prose(rnd, 33)} {passage}"), cuts(f"{prose(rnd, 71)} {passage}")
-    inner = lambda c, k: [x - k for x in c if k + 16 <= x < k + 224]
+    inner = lambda c, k: [x - k for x in c if k + 32 <= x < k + 448]
     assert inner(a, 33) == inner(b, 71) and len(inner(a, 33)) > 2
 
 
-def plain_spans(rows, percent=80, min_words=20, seed=10, reach=7, gap=6):
+def plain_spans(rows, percent=80, min_words=20, seed=10, reach=10, gap=6):
     """Removable (first word, words, kept ids) by id, by the stated rules, with nothing but loops over words."""
     words, cuts = {}, {}
     for i, t in rows:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .frames import saved
 
+#: Levels of hubs that one round takes.
+LEVELS = 3
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every node of ``edges`` (a, b); the component is its least id.
@@ -60,18 +63,22 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, id, n``: the elements of each set's prefix that another set has too.
+    """``key, id, n, rest``: the elements of each set's prefix that a set of another component has too.
 
-    Elements are ordered from rare to common among ``sets`` (row, id, n, set). Two sets of
-    Jaccard t share one of the n - ceil(t n) + 1 rarest elements of each, so pairs without
-    such an element need no comparison.
+    Elements are ordered from those of one component, then from rare to common among ``sets``
+    (row, id, component, n, set). Two sets of Jaccard t share one of the n - ceil(t n) + 1
+    first elements of each, so pairs of two components without such an element need no
+    comparison. ``rest`` counts the elements from the key on that another component has: two
+    sets whose first common element is the key share no more than the lesser ``rest``.
     """
-    flat = saved(sets.select("row", "id", "n", F.explode("set").alias("key")))
-    often = saved(flat.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    flat = saved(sets.select("row", "id", "component", "n", F.explode("set").alias("key")))
+    often = flat.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    often = saved(often.where("lo <> hi").select("key", "df"))
     shared = flat.join(often, "key").groupBy("row", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    length = F.size("shared") - F.ceil(F.col("n") * percent / 100) + 1
     first = F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int"))
-    return shared.select("id", "n", F.explode(first).alias("e")).select(F.col("e.key").alias("key"), "id", "n").distinct()
+    placed = shared.select("id", "n", F.size("shared").alias("m"), F.posexplode(first).alias("at", "e"))
+    return placed.select(F.col("e.key").alias("key"), "id", "n", (F.col("m") - F.col("at")).alias("rest")).distinct()
 
 
 def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -83,8 +90,9 @@ def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], Data
     components are live; their ids meet again under the rare elements that a link requires
     (``prefix_keys``). Under each such key, members become hubs from the highest to the
     lowest level, a level being half as likely as the one below it: a round compares the
-    hubs of one level with the members of other components, joins what is linked, and
-    retires the hubs. So a group of near copies costs a few comparisons for each member,
+    hubs of LEVELS levels with the members of other components, joins what is linked, and
+    retires the hubs. Pairs with too few elements left from the key on are passed over; their
+    first common element decides. So a group of near copies costs a few comparisons for each member,
     and members that no hub has reached are compared with each other in the last rounds.
     Every pair that shares a band is linked, or compared, or can't be similar.
     """
@@ -98,16 +106,18 @@ def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], Data
     if ids.isEmpty():
         return now
     level = F.floor(-F.log2((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) + 1) / float(1 << 40))).cast("int")
-    rows = saved(prefix_keys(sets.join(ids, "id", "left_semi"), percent).withColumn("level", level))
+    known = ids.join(now, "id", "left").select("id", _own().alias("component"))
+    rows = saved(prefix_keys(sets.join(known, "id"), percent).withColumn("level", level))
     while True:
-        rows = rows.join(now, "id", "left").select("key", "id", "n", "level", _own().alias("component"))
+        rows = rows.join(now, "id", "left").select("key", "id", "n", "rest", "level", _own().alias("component"))
         keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("top")).where("lo <> hi")
         rows = saved(rows.join(saved(keys.select("key", "top")), "key"))
         if rows.isEmpty():
             return now
-        hubs = rows.where("level = top").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-        near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-        new = (F.col("component") != F.col("cb")) & ((F.col("level") < F.col("top")) | (F.col("id") < F.col("b")))
+        hub = F.col("level") > F.col("top") - LEVELS
+        hubs = rows.where(hub).select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rest_b"), F.col("level").alias("level_b"), F.col("component").alias("cb"))
+        near = 100 * F.least("rest", "rest_b") >= percent * (F.col("n") + F.col("nb") - F.least("rest", "rest_b"))
+        new = (F.col("component") != F.col("cb")) & ((F.col("level") < F.col("level_b")) | ((F.col("level") == F.col("level_b")) & (F.col("id") < F.col("b"))))
         pairs = rows.join(hubs, "key").where(near & new).select(F.col("id").alias("a"), "b", F.col("component").alias("ca"), "cb").distinct()
         merged = similar_pairs(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = saved(connected_components(merged).select(F.col("id").alias("component"), F.col("component").alias("_to")))
@@ -115,7 +125,7 @@ def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], Data
             moved = now.join(merged, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
             fresh = merged.join(now, merged["component"] == now["id"], "left_anti").select(F.col("component").alias("id"), F.col("_to").alias("component"))
             now = saved(moved.unionByName(fresh))
-        rows = rows.where("level < top").select("key", "id", "n", "level")
+        rows = rows.where(~hub).select("key", "id", "n", "rest", "level")
 
 
 def _own() -> Column:

@@ -35,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..materialize import release
+from ..materialize import discard, release
 from .components import batches_of, buckets_with_company, linked_components
 from .frames import free_name, numbered, saved, unique_ids
 from .kernels import band_keys, chunks, list_array, shingle_sets, superminhash, window_hashes, word_table
 from .near_dedup import set_fingerprints
 
 #: Words of a seed; a seed is the least of REACH + 1 successive ones; words between two runs that are bridged.
-SEED, REACH, GAP = 10, 7, 6
+SEED, REACH, GAP = 10, 10, 6
 #: Words on each side among which a cut is the least: paragraphs have about 2 HALF + 1 words.
-HALF, LONGEST = 15, 128
+HALF, LONGEST = 31, 256
 #: Bands x rows. A pair of paragraphs of Jaccard 0.8 shares none in 6 of 1,000 cases, one of 0.9 in 2 of 10,000.
 BANDS, ROWS = 5, 2
 #: Bits of a word's place in its text; a document's number stands above them.
@@ -193,6 +193,7 @@ def seed_runs(found: DataFrame) -> DataFrame:
     seeds = found.where(F.col("kind") == SEED_ROW).select("key", F.col("value").alias("place"))
     first = seeds.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("_last"))
     first = saved(first.where(F.col("first") != F.col("_last")).drop("_last"))
+    release(found.sparkSession)
     later = seeds.join(first, "key").select("place", (F.col("place") - F.col("first")).alias("shift"), "first")
     later = later.where((F.col("shift") > 0) & ((_doc("place") != _doc("first")) | (F.col("shift") >= SEED)))
     # alignments keep to one document by its number, and a run never leaves a document
@@ -299,6 +300,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = saved(marks(texts, shingle))
     similar = similar_paragraphs(texts, found, percent, shingle).withColumn("paragraph", F.lit(True))
     runs = saved(seed_runs(found).withColumn("paragraph", F.lit(False)).unionByName(similar).distinct())
+    discard(found)
     release(docs.sparkSession)
     parts = saved(grown(texts, runs))
     release(docs.sparkSession)
