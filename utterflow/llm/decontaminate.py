@@ -25,8 +25,8 @@ from .frames import saved
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _BREAK_CHARS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Anchor terms up to this many are broadcast (some tens of MB at most); more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
+#: Anchor terms are broadcast if their rows and characters come to this many bytes at most; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def match_words(text: Column) -> Column:
@@ -44,11 +44,16 @@ def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return saved(some.select(F.monotonically_increasing_id().alias("no"), "*"))
 
 
+def _bounded(terms: DataFrame) -> DataFrame:
+    """``terms`` (term, ...), to be broadcast if their measured size allows."""
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0]
+    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, doc, pos`` of every training token that is among ``terms`` (one column)."""
     tokens = docs.select(F.col("doc"), F.posexplode(match_words(F.col("text"))).alias("pos", "term"))
-    n = terms.count()
-    return tokens.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "term", "left_semi")
+    return tokens.join(_bounded(terms), "term", "left_semi")
 
 
 def anchors(item_words: DataFrame, frequency: DataFrame, window: int, per_window: int = 2) -> DataFrame:
@@ -79,22 +84,22 @@ def alignments(docs: DataFrame, item_words: DataFrame, window: int) -> DataFrame
     chosen = anchors(item_words, frequency, window)
     offsets = chosen.select("no", F.explode("at").alias("offset"), (F.size("at") == 1).alias("single")).groupBy("no", "offset").agg(F.max("single").alias("single"))
     places = saved(offsets.join(item_words, "no").select("no", "offset", "single", F.get("words", F.col("offset")).alias("term")))
-    n = places.count()
     index = saved(postings(docs, places.select("term").distinct()))
-    hits = index.join(F.broadcast(places) if n <= BROADCAST_TERMS else places, "term").select("doc", "no", (F.col("pos") - F.col("offset")).alias("start"), "offset", "single")
+    hits = index.join(_bounded(places), "term").select("doc", "no", (F.col("pos") - F.col("offset")).alias("start"), "offset", "single")
     agreed = hits.groupBy("doc", "no", "start").agg(F.min("offset").alias("_a"), F.max("offset").alias("_b"), F.max("single").alias("_one"))
     return agreed.where((F.col("_a") != F.col("_b")) | F.col("_one")).select("doc", "no", "start")
 
 
 def _occurring(window: int) -> Column:
-    """Starts, in the document, of the windows of ``a`` (words, start) that occur there."""
-    def starts(a: Column) -> Column:
+    """Item, window size and the starts, in the document, of the windows of each of ``found`` (item, words, starts) that occur there."""
+    def at(a: Column, start: Column) -> Column:
         size = F.least(F.size(a["words"]), F.lit(window))
-        first, last = F.greatest(F.lit(0), -a["start"]), F.least(F.size(a["words"]), F.size("_text") - a["start"]) - size
+        first, last = F.greatest(F.lit(0), -start), F.least(F.size(a["words"]), F.size("_text") - start) - size
         span = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        same = lambda k: F.slice("_text", a["start"] + k + 1, size) == F.slice(a["words"], k + 1, size)
-        return F.transform(F.filter(span, same), lambda k: a["start"] + k)
+        same = lambda k: F.slice("_text", start + k + 1, size) == F.slice(a["words"], k + 1, size)
+        return F.transform(F.filter(span, same), lambda k: start + k)
 
+    starts = lambda a: F.flatten(F.transform(a["starts"], lambda start: at(a, start)))
     return F.transform("found", lambda a: F.struct(a["item"].alias("item"), F.least(F.size(a["words"]), F.lit(window)).alias("size"), starts(a).alias("at")))
 
 
@@ -108,7 +113,8 @@ def contamination(
     """
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
     item_words = item_table(items, item_id, item_text)
-    found = alignments(texts, item_words, window).join(item_words, "no").groupBy("doc").agg(F.collect_list(F.struct("item", "words", "start")).alias("found"))
+    starts = alignments(texts, item_words, window).groupBy("doc", "no").agg(F.collect_list("start").alias("starts"))
+    found = starts.join(item_words, "no").groupBy("doc").agg(F.collect_list(F.struct("item", "words", "starts")).alias("found"))
     found = found.withColumnRenamed("doc", "_doc")
     joined = texts.join(found, texts["doc"].eqNullSafe(found["_doc"]), "left").select("doc", "found", match_words(F.col("text")).alias("_text"))
     matches = joined.select("doc", F.size("_text").cast("long").alias("n_words"), F.filter(_occurring(window), lambda m: F.size(m["at"]) > 0).alias("matches"))
@@ -130,24 +136,26 @@ def proximity_matches(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
     n_terms: int = 3, span: int = 20,
 ) -> DataFrame:
-    """Document id, item id and ``pos`` where an item's ``n_terms`` rarest terms, all seen in training, lie within ``span`` words, in any order.
+    """Document id, item id, ``first_pos`` and ``n_places``: the places of an item's rarest term that have its next rarest within ``span`` words.
 
-    ``pos`` is the first word of such a stretch, at a place of the rarest term or before
-    it. Items of fewer distinct terms need all of theirs.
+    The item's ``n_terms`` rarest distinct terms in the training text, ties by the term, must
+    all be closer than ``span`` words to the place, on either side. Items of fewer distinct terms need
+    all of theirs, and items with a term that no document has match nowhere. Postings meet
+    in stretches of ``span`` words, so the work follows the postings. A null text has no words,
+    rows that repeat a document id are one document, and so are items; empty tables give an empty result.
     """
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
     item_words = item_table(items, item_id, item_text)
     vocabulary = item_words.select(F.explode("words").alias("term")).distinct()
     frequency = saved(postings(texts, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    terms = item_words.select("item", F.explode(F.array_distinct("words")).alias("term")).distinct().join(frequency, "term", "left")
+    terms = item_words.select("item", F.explode("words").alias("term")).distinct().join(frequency, "term", "left")
     order = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))), 1, n_terms)
     rare = terms.groupBy("item").agg(order.alias("rare")).where(F.get("rare", 0)["n"] > 0)
     rare = saved(rare.select("item", F.size("rare").alias("needed"), F.posexplode("rare").alias("k", "r")).select("item", "needed", "k", "r.term"))
     index = saved(postings(texts, rare.select("term").distinct()))
-    lists = index.join(rare, "term").select("doc", "item", "needed", "k", "pos")
-    near = lists.where(F.col("k") == 0).select("doc", "item", "needed", F.explode(F.sequence(F.greatest(F.col("pos") - span + 1, F.lit(0)), "pos")).alias("from"))
-    rest = lists.where(F.col("k") > 0).select("doc", "item", "k", F.explode(F.sequence(F.greatest(F.col("pos") - span + 1, F.lit(0)), "pos")).alias("from"))
-    agreed = near.distinct().join(rest, ["doc", "item", "from"], "left").groupBy("doc", "item", "needed", "from").agg(F.count_distinct("k").alias("others"))
-    agreed = agreed.where(F.col("others") == F.col("needed") - 1).groupBy("doc", "item").agg(F.collect_list("from").alias("starts"))
-    first = F.filter(F.array_sort("starts"), lambda x: ~F.array_contains("starts", x - 1))
-    return agreed.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.explode(first).alias("pos"))
+    lists = index.join(_bounded(rare), "term").select("doc", "item", "needed", "k", "pos", F.expr(f"pos div {span}").alias("part"))
+    anchor = lists.where("k = 0").select("doc", "item", "needed", "pos", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
+    rest = lists.where("k > 0").select(F.col("doc").alias("_doc"), F.col("item").alias("_item"), "k", F.col("pos").alias("at"), F.col("part").alias("_part"))
+    met = anchor["doc"].eqNullSafe(rest["_doc"]) & anchor["item"].eqNullSafe(rest["_item"]) & (anchor["part"] == rest["_part"]) & (F.abs(F.col("at") - F.col("pos")) < span)
+    near = anchor.join(rest, met, "left").groupBy("doc", "item", "needed", "pos").agg(F.count_distinct("k").alias("others")).where("others = needed - 1")
+    return near.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.min("pos").cast("bigint").alias("first_pos"), F.count(F.lit(1)).alias("n_places"))

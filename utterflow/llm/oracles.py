@@ -49,6 +49,26 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(ids.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN ids ON d.r = ids.r
+""",
+    "benchmark_proximity": rf"""
+WITH tok AS (
+  SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '{_MATCH}') AS w FROM documents)
+), freq AS (
+  SELECT term, count(*) AS n FROM tok GROUP BY term
+), term AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_MATCH}')) AS term FROM benchmark
+), ranked AS (
+  SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), term) AS k,
+    count(*) OVER (PARTITION BY item_id) AS total, min(coalesce(n, 0)) OVER (PARTITION BY item_id) AS fewest
+  FROM term LEFT JOIN freq USING (term)
+), posting AS (
+  SELECT doc_id, item_id, k, least(total, 3) AS needed, pos FROM tok JOIN ranked USING (term) WHERE k <= 3 AND fewest > 0
+), near AS (
+  SELECT a.doc_id, a.item_id, a.pos FROM posting a
+  LEFT JOIN posting b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.k > 1 AND abs(b.pos - a.pos) < 20
+  WHERE a.k = 1 GROUP BY a.doc_id, a.item_id, a.pos, a.needed HAVING count(DISTINCT b.k) = a.needed - 1
+)
+SELECT doc_id, item_id, CAST(min(pos) AS BIGINT) AS first_pos, count(*) AS n_places FROM near GROUP BY doc_id, item_id
 """,
     "op6_host_quality": rf"""
 WITH base AS (

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontaminate import contamination
+from .decontaminate import contamination, proximity_matches
 from .frames import table
 from .host_rules import host_quality
 from .importance import importance_resample
@@ -79,6 +79,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_near_duplicates, op3_importance, op4_toxicity, op5_token_counts, op6_host_quality, op7_warc, op8_language, op9_mix_sources, op10_decontaminate)} | {"pipeline": corpus_pipeline.run}
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_near_duplicates, op3_importance, op4_toxicity, op5_token_counts, op6_host_quality, op7_warc, op8_language, op9_mix_sources, op10_decontaminate, benchmark_proximity)} | {"pipeline": corpus_pipeline.run}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

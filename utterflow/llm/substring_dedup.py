@@ -22,8 +22,8 @@ shingle is one paragraph, of one shingle; equal texts repeat each other as a who
 that repeat an id, and rows with a null id, are documents of their own (null last); a
 stretch that overlaps its own first place is no repeat; an empty table gives an empty
 result. Whole texts are taken, of up to 2^27 words, and more raise an error; columns
-besides id and text are ignored. Hashes of 64 bits stand for stretches, and for words
-beside a run.
+besides id and text are ignored. Hashes of 64 bits stand for stretches, and of 31 bits
+for the words beside a run.
 """
 
 from __future__ import annotations
@@ -205,12 +205,12 @@ def seed_runs(found: DataFrame) -> DataFrame:
 
 
 def surroundings(texts: DataFrame) -> DataFrame:
-    """``side, place, stop, words, first_bytes, end_bytes`` of the places listed in ``asked`` (side, a, b) of (num, text, asked).
+    """``side, place, stop, words`` of the places listed in ``asked`` (side, a, b) of (num, text, asked).
 
     Side 0 is a run from word a to word b: the hashes of REACH words before a, going left,
-    and of as many from b on, and the bytes at which the words from a to the left start, and
-    those from b - 1 to the right end. Sides 1 and 2 are words of the earlier place that are to be compared:
-    those before a, and those from a on. Where a text ends, words are -1, or -2 for side 0.
+    and of as many from b on. Sides 1 and 2 are words of the earlier place that are to be
+    compared: those before a, and those from a on. Where a text ends, words are -1, or -2 for
+    side 0.
     """
     step = np.arange(REACH)
 
@@ -218,135 +218,153 @@ def surroundings(texts: DataFrame) -> DataFrame:
         for batch in batches:
             asked = batch.column(2)
             for first, end, data, offsets in chunks(batch.column(1)):
-                hashes, bounds, word_start, word_end = word_table(data, offsets)
+                hashes, bounds, _, _ = word_table(data, offsets)
+                short = ((hashes ^ (hashes >> np.uint64(32))) & np.uint64(0x7FFFFFFF)).astype(np.int32)
                 items = asked.slice(first, end - first)
                 counts = np.diff(items.offsets.to_numpy())
                 items = items.flatten()
                 row = np.repeat(np.arange(end - first), counts)
                 side, a, b = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
                 low, high = bounds[row], bounds[row + 1]
-                left, right = low + a, low + np.where(side == 0, b, a)
-                none = np.where(side == 0, -2, -1)[:, None]
+                own = side == 0
 
                 def around(at: np.ndarray) -> np.ndarray:
                     inside = (at >= low[:, None]) & (at < high[:, None])
-                    return np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)].view(np.int64), none)
-
-                before, after = around(left[:, None] - 1 - step), around(right[:, None] + step)
-                zero = offsets[row][:, None]
-                far = np.concatenate((step, [REACH]))
-                firsts = word_start[np.clip(left[:, None] - far, low[:, None], high[:, None] - 1)] - zero
-                ends = word_end[np.clip(right[:, None] - 1 + far, low[:, None], high[:, None] - 1)] - zero
-                run_ = side == 0
-                words = np.where(run_[:, None], np.concatenate((before, after), axis=1), np.concatenate((np.where((side == 1)[:, None], before, after),) * 2, axis=1))
-                sizes = np.where(run_, 2 * REACH, REACH)
+                    return np.where(inside, short[np.clip(at, 0, len(short) - 1)], np.where(own, -2, -1)[:, None]).astype(np.int32)
+
+                before, after = around((low + a)[:, None] - 1 - step), around((low + np.where(own, b, a))[:, None] + step)
+                words = np.concatenate((np.where((side == 2)[:, None], after, before), after), axis=1)
+                sizes = np.where(own, 2 * REACH, REACH)
                 base = batch.column(0).to_numpy(zero_copy_only=False)[first:end][row] << BITS
-                short = lambda x, n: list_array(x[np.arange(x.shape[1]) < n[:, None]], np.concatenate(([0], np.cumsum(n))))
-                bytes_ = np.where(run_, REACH + 1, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(side.astype(np.int8)), pa.array(base + a), pa.array(base + b), short(words, sizes), short(firsts, bytes_), short(ends, bytes_)],
-                    ["side", "place", "stop", "words", "first_bytes", "end_bytes"],
-                )
+                lists = list_array(words[np.arange(2 * REACH) < sizes[:, None]], np.concatenate(([0], np.cumsum(sizes))))
+                yield pa.RecordBatch.from_arrays([pa.array(side.astype(np.int8)), pa.array(base + a), pa.array(base + b), lists], ["side", "place", "stop", "words"])
 
-    return texts.select("num", "text", "asked").mapInArrow(run, "side tinyint, place long, stop long, words array<long>, first_bytes array<long>, end_bytes array<long>")
+    return texts.select("num", "text", "asked").mapInArrow(run, "side tinyint, place long, stop long, words array<int>")
 
 
 def grown(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """``runs`` (start, stop, kept, paragraph) with runs of seeds grown to the words that agree, and ``first_byte`` and ``end_byte``."""
-    own = runs.select(F.lit(0).cast("tinyint").alias("side"), F.col("start").alias("place"), "stop")
-    seeds = runs.where("not paragraph")
-    place = lambda side, c: seeds.select(F.lit(side).cast("tinyint").alias("side"), c.alias("place"), c.alias("stop"))
+    """``runs`` (start, stop, kept) grown, on both sides, to the words that agree."""
     kept_stop = F.col("kept") + F.col("stop") - F.col("start")
-    asked = own.unionByName(place(1, F.col("kept"))).unionByName(place(2, kept_stop)).distinct()
+    place = lambda side, a, b: runs.select(F.lit(side).cast("tinyint").alias("side"), a.alias("place"), b.alias("stop"))
+    asked = place(0, F.col("start"), F.col("stop")).unionByName(place(1, F.col("kept"), F.col("kept"))).unionByName(place(2, kept_stop, kept_stop)).distinct()
     asked = asked.groupBy(_doc("place").alias("num")).agg(F.collect_list(F.struct("side", _word("place").alias("a"), _word("stop").alias("b"))).alias("asked"))
     around = saved(surroundings(texts.join(asked, "num")))
     release(texts.sparkSession)
-    mine = around.where("side = 0").select(F.col("place").alias("start"), "stop", F.col("words").alias("_mine"), "first_bytes", "end_bytes")
+    mine = around.where("side = 0").select(F.col("place").alias("start"), "stop", F.col("words").alias("_mine"))
     left = around.where("side = 1").select(F.col("place").alias("kept"), F.col("words").alias("_left"))
     right = around.where("side = 2").select(F.col("place").alias("_kept_stop"), F.col("words").alias("_right"))
     same = lambda a, b: F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x == y), False), F.lit(0)) - 1, F.lit(REACH))
-    joined = runs.withColumn("_kept_stop", F.when(~F.col("paragraph"), kept_stop)).join(mine, ["start", "stop"])
-    joined = joined.join(left, "kept", "left").join(right, "_kept_stop", "left")
-    back = F.when(F.col("paragraph"), 0).otherwise(same(F.slice("_mine", 1, REACH), F.col("_left"))).cast("int")
-    on = F.when(F.col("paragraph"), 0).otherwise(same(F.slice("_mine", REACH + 1, REACH), F.col("_right"))).cast("int")
-    joined = joined.select("*", back.alias("_back"), on.alias("_on"))
-    return joined.select(
-        (F.col("start") - F.col("_back")).alias("start"), (F.col("stop") + F.col("_on")).alias("stop"), (F.col("kept") - F.col("_back")).alias("kept"), "paragraph",
-        F.get("first_bytes", F.col("_back")).alias("first_byte"), F.get("end_bytes", F.col("_on")).alias("end_byte"),
-    )
+    joined = runs.withColumn("_kept_stop", kept_stop).join(mine, ["start", "stop"])
+    joined = joined.join(left, "kept").withColumn("_back", same(F.slice("_mine", 1, REACH), F.col("_left"))).drop("_left")
+    joined = joined.withColumn("_mine", F.slice("_mine", REACH + 1, REACH)).join(right, "_kept_stop").withColumn("_on", same(F.col("_mine"), F.col("_right")))
+    grown_ = joined.select((F.col("start") - F.col("_back")).alias("start"), (F.col("stop") + F.col("_on")).alias("stop"), (F.col("kept") - F.col("_back")).alias("kept"))
+    out = saved(grown_)
+    discard(around)
+    release(texts.sparkSession)
+    return out
 
 
 def bridges(runs: DataFrame) -> DataFrame:
-    """The stretches of at most GAP words between two runs of one document with one earlier document, where it has as few."""
-    exact = runs.where("not paragraph").select("start", "stop", "first_byte", "end_byte", "kept", (F.col("kept") + F.col("stop") - F.col("start")).alias("kept_stop"))
+    """The stretches of at most GAP words between two runs (start, stop, kept) of one document with one earlier document, where it has as few."""
+    exact = runs.select("start", "stop", "kept", (F.col("kept") + F.col("stop") - F.col("start")).alias("kept_stop"))
     pair = Window.partitionBy(_doc("start"), _doc("kept")).orderBy("start", "stop", "kept")
-    before = {c: F.lag(c).over(pair).alias(f"_{c}") for c in ("stop", "kept_stop", "end_byte")}
-    gaps = exact.select("*", *before.values())
-    between = lambda a, b: F.col(a) - F.col(b)
-    near = between("start", "_stop").between(1, GAP) & between("kept", "_kept_stop").between(0, GAP)
-    return gaps.where(near).select(
-        F.col("_stop").alias("start"), F.col("start").alias("stop"), F.col("_kept_stop").alias("kept"), F.lit(False).alias("paragraph"), F.col("_end_byte").alias("first_byte"), F.col("first_byte").alias("end_byte"),
-    )
+    gaps = exact.select("*", F.lag("stop").over(pair).alias("_stop"), F.lag("kept_stop").over(pair).alias("_kept_stop"))
+    near = (F.col("start") - F.col("_stop")).between(1, GAP) & (F.col("kept") - F.col("_kept_stop")).between(0, GAP)
+    return gaps.where(near).select(F.col("_stop").alias("start"), F.col("start").alias("stop"), F.col("_kept_stop").alias("kept"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 20, shingle: int = 5) -> DataFrame:
-    """One row per removable span: id, first_word, n_words, first_byte, end_byte, n_paragraphs, kept_doc_ids.
-
-    Bytes are of the text in UTF-8; ``n_paragraphs`` counts the similar paragraphs, 0 where
-    the span is an exact repeat or bridges some. ``kept_doc_ids`` are the documents that
-    keep the earlier places.
-    """
-    texts, plain = _numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
+def _repeats(texts: DataFrame, percent: int, min_words: int, shingle: int) -> DataFrame:
+    """``num, first_word, n_words, n_paragraphs, of`` of the removable spans of (num, text)."""
     found = saved(marks(texts, shingle))
-    similar = similar_paragraphs(texts, found, percent, shingle).withColumn("paragraph", F.lit(True))
-    runs = saved(seed_runs(found).withColumn("paragraph", F.lit(False)).unionByName(similar).distinct())
+    similar = saved(similar_paragraphs(texts, found, percent, shingle))
+    release(texts.sparkSession)
+    runs = saved(seed_runs(found))
     discard(found)
-    release(docs.sparkSession)
-    parts = saved(grown(texts, runs))
-    release(docs.sparkSession)
-    parts = parts.unionByName(bridges(parts))
+    release(texts.sparkSession)
+    runs = grown(texts, runs)
+    parts = runs.unionByName(bridges(runs)).withColumn("paragraph", F.lit(0)).unionByName(similar.withColumn("paragraph", F.lit(1)))
     # words that overlap or touch are one run
     order = Window.partitionBy(_doc("start")).orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     lined = parts.withColumn("_new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
     lined = lined.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = lined.groupBy(_doc("start").alias("num"), "_run").agg(
-        _word(F.min("start")).alias("first_word"), (F.max("stop") - F.min("start")).alias("n_words"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte"),
-        F.sum(F.col("paragraph").cast("long")).alias("n_paragraphs"), F.collect_set(_doc("kept")).alias("_of"),
+        _word(F.min("start")).alias("first_word"), (F.max("stop") - F.min("start")).alias("n_words"), F.sum("paragraph").alias("n_paragraphs"), F.collect_set(_doc("kept")).alias("of"),
     )
-    spans = spans.where(F.col("n_words") >= min_words).drop("_run")
-    columns = ["first_word", "n_words", "first_byte", "end_byte", "n_paragraphs"]
+    return saved(spans.where(F.col("n_words") >= min_words).drop("_run"))
+
+
+def _with_bytes(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` with first_byte and end_byte, from the texts that have any."""
+    wanted = spans.groupBy("num").agg(F.collect_list(F.struct("first_word", "n_words", "n_paragraphs", "of")).alias("spans"))
+    names = ["num", "first_word", "n_words", "n_paragraphs", "of", "first_byte", "end_byte"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(1)):
+                _, bounds, word_start, word_end = word_table(data, offsets)
+                items = batch.column(2).slice(first, end - first)
+                row = np.repeat(np.arange(end - first), np.diff(items.offsets.to_numpy()))
+                items = items.flatten()
+                at, n = (items.field(k).to_numpy() for k in (0, 1))
+                bytes_ = word_start[bounds[row] + at] - offsets[row], word_end[bounds[row] + at + n - 1] - offsets[row]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), *(items.field(k) for k in range(4)), *map(pa.array, bytes_)], names)
+
+    schema = "num long, first_word long, n_words long, n_paragraphs long, of array<long>, first_byte long, end_byte long"
+    return texts.join(wanted, "num").select("num", "text", "spans").mapInArrow(run, schema)
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 20, shingle: int = 5, with_bytes: bool = True,
+) -> DataFrame:
+    """One row per removable span: id, first_word, n_words, n_paragraphs, kept_doc_ids and, ``with_bytes``, first_byte and end_byte.
+
+    Bytes are of the text in UTF-8 and cost another pass; ``n_paragraphs`` counts the similar
+    paragraphs, 0 where the span is an exact repeat or bridges some. ``kept_doc_ids`` are the
+    documents that keep the earlier places.
+    """
+    texts, plain = _numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
+    spans = _repeats(texts, percent, min_words, shingle)
+    columns = ["first_word", "n_words", "n_paragraphs"] + ["first_byte", "end_byte"] * with_bytes
+    full = _with_bytes(texts, spans) if with_bytes else spans
     if plain:
         kind = docs.schema[id_col].dataType
-        return spans.select(F.col("num").cast(kind).alias(id_col), *columns, F.array_sort("_of").cast(f"array<{kind.simpleString()}>").alias("kept_doc_ids"))
-    spans, ids = saved(spans), saved(texts.select("num", "doc"))
-    names = spans.select("num", "first_word", F.explode("_of").alias("_kept")).join(ids.select(F.col("num").alias("_kept"), F.col("doc").alias("_name")), "_kept")
+        return full.select(F.col("num").cast(kind).alias(id_col), *columns, F.array_sort("of").cast(f"array<{kind.simpleString()}>").alias("kept_doc_ids"))
+    ids = saved(texts.select("num", "doc"))
+    names = spans.select("num", "first_word", F.explode("of").alias("_kept")).join(ids.select(F.col("num").alias("_kept"), F.col("doc").alias("_name")), "_kept")
     names = names.groupBy("num", "first_word").agg(F.array_sort(F.collect_set("_name")).alias("kept_doc_ids"))
-    return spans.join(names, ["num", "first_word"]).join(ids, "num").select(F.col("doc").alias(id_col), *columns, "kept_doc_ids")
+    return full.join(names, ["num", "first_word"]).join(ids, "num").select(F.col("doc").alias(id_col), *columns, "kept_doc_ids")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the bytes of all spans cut out of their texts; other columns and rows as they are. Ids must tell rows apart.
+    """``docs`` with the words of all spans (id, first_word, n_words), and what stands between them, cut out of their texts.
 
-    Rows without a span, also those with a null text or id, stay as they are.
+    Other columns and rows stay as they are, and so do rows without a span, also those with a
+    null text or id. Ids must tell rows apart.
     """
     cut, list_ = free_name(docs, "_cut"), free_name(docs, "_spans")
-    cuts = spans.groupBy(F.col(id_col).alias(cut)).agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias(list_))
+    cuts = spans.groupBy(F.col(id_col).alias(cut)).agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias(list_))
     joined = docs.join(cuts, docs[id_col] == cuts[cut], "left").drop(cut)
     names = docs.columns
     text_at = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(text_at).to_pylist()
-        for k, spans_ in enumerate(batch.column(len(names)).to_pylist()):
-            if spans_ and texts[k]:
-                raw, parts, at = texts[k].encode(), [], 0
-                for s in spans_:
-                    parts.append(raw[at : s["first_byte"]])
-                    at = s["end_byte"]
-                texts[k] = b"".join([*parts, raw[at:]]).decode()
+        lists = batch.column(len(names))
+        texts = batch.column(text_at)
+        at = np.flatnonzero(np.array(lists.is_valid()) & np.array(texts.is_valid()))
+        new = texts.to_pylist()
+        for first, end, data, offsets in chunks(texts.take(pa.array(at))):
+            _, bounds, word_start, word_end = word_table(data, offsets)
+            raw = data.tobytes()
+            for r in range(end - first):
+                parts, done = [], int(offsets[r])
+                for span in lists[int(at[first + r])].as_py():
+                    a = int(bounds[r]) + span["first_word"]
+                    parts.append(raw[done : word_start[a]])
+                    done = int(word_end[a + span["n_words"] - 1])
+                new[at[first + r]] = b"".join([*parts, raw[done : offsets[r + 1]]]).decode()
         columns = batch.columns[: len(names)]
-        columns[text_at] = pa.array(texts, batch.column(text_at).type)
+        columns[text_at] = pa.array(new, texts.type)
         return pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(batches_of(run), docs.schema)

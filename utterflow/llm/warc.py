@@ -19,6 +19,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -33,9 +34,11 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 ZSTD_FRAME = 0xFD2FB528
 #: An empty skippable frame, all ASCII: the text writer's line separator.
 EMPTY_FRAME = b"P*M\x18\x00\x00\x00\x00"
-ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
-RUN_BYTES = 1 << 20
+#: Compressed bytes of a row of the text writer, and rows of an archive: about 16 MB.
+RUN_BYTES, RUNS = 1 << 20, 16
+#: The record id of a row whose page id is null; other ids are percent-encoded after ``urn:page:``.
+NO_PAGE = "<urn:no-page>"
 
 
 class BadArchive(ValueError):
@@ -84,15 +87,16 @@ def record_bytes(page_id: object, url: str | None, payload: bytes, digest: str,
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    target = "".join(c if c.isprintable() and c != " " else "%" + c.encode("utf-8", "replace").hex() for c in url or "")
+    target = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "")
+    name = lambda i: NO_PAGE if i is None else f"<urn:page:{quote(str(i), safe='')}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {name(page_id)}",
         *([f"WARC-Target-URI: {target}"] if target else []),
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
-        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"] if revisit else []),
+        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"] if revisit else []),
         f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -122,7 +126,7 @@ def parse_record(record: bytes) -> tuple[str | None, str, int, str, str | None,
     size = next((int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), -1)
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
     kind = fields["warc-type"]
-    name = lambda urn: urn.removeprefix("<urn:page:").removesuffix(">")
+    name = lambda urn: None if urn == NO_PAGE else unquote(urn.removeprefix("<urn:page:").removesuffix(">"))
     if kind == "response":
         if size != len(payload):
             raise BadArchive(f"the payload has {len(payload)} bytes, not {size}")
@@ -130,9 +134,8 @@ def parse_record(record: bytes) -> tuple[str | None, str, int, str, str | None,
             raise BadArchive("the payload's digest differs")
     elif kind != "revisit" or payload or size < 0 or "warc-refers-to" not in fields:
         raise BadArchive(f"bad record of type {kind}")
-    page = name(fields["warc-record-id"])
     refers = fields.get("warc-refers-to")
-    return None if page == "null" else page, kind, size, digest, refers and name(refers), fields.get("warc-target-uri")
+    return name(fields["warc-record-id"]), kind, size, digest, refers and name(refers), fields.get("warc-target-uri")
 
 
 def read_frames(data: bytes) -> Iterator[bytes]:
@@ -166,46 +169,43 @@ def write_archives(
     """Write a record per row as ``.warc.zst`` text parts under ``path``.
 
     Payload digests find the responses by a partial aggregation of (digest, length,
-    greatest id); payloads move once, dealt by page id into archives of about
-    ``ARCHIVE_BYTES``. The dictionary is trained on a bounded sample,
-    ``dictionary_samples`` pages of at most 100,000 characters.
+    greatest id); payloads move once, to the revisits of their id and digest, in a join whose hot
+    ids Spark can split. A task writes as many archives, of about RUNS * RUN_BYTES, as its rows need. The
+    dictionary is trained on a bounded sample, ``dictionary_samples`` pages of at most
+    100,000 characters.
     """
     spark = pages.sparkSession
     text = F.coalesce(F.col(payload_col), F.lit(""))
+    digest = F.sha1(F.encode("payload", "UTF-8"))
     full = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("payload"))
-    marked = saved(full.select("id", F.sha1(F.encode("payload", "UTF-8")).alias("digest"), F.octet_length("payload").cast("long").alias("size")))
-    large = marked.where(F.col("size") >= min_revisit)
+    large = full.select("id", digest.alias("digest"), F.octet_length("payload").cast("long").alias("size")).where(F.col("size") >= min_revisit)
+    large = saved(large)
     first = large.groupBy("digest", "size").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    revisit = large.join(first, ["digest", "size"]).where(F.col("id") != F.col("response")).select("id", "digest", "response").distinct()
-    of_page = revisit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "response"))).alias("responses"))
-    total = marked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    archives = max(1, -(-total // ARCHIVE_BYTES))
+    revisit = saved(large.join(saved(first), ["digest", "size"]).where(F.col("id") != F.col("response")).select("id", "digest", "response").distinct())
     samples = [r[0].encode() for r in full.select(F.substring("payload", 1, 100_000)).limit(dictionary_samples).collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary([s for s in samples if s]))
-    # both sides are dealt alike, so the join moves no payload again
-    dealt = full.repartition(archives, "id").join(of_page.repartition(archives, "id"), "id", "left")
-    dealt = dealt.select("id", "url", "payload", F.try_element_at("responses", F.sha1(F.encode("payload", "UTF-8"))).alias("response"))
+    dealt = full.withColumn("digest", digest).join(revisit, ["id", "digest"], "left").select("id", "url", "payload", "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = dictionary.value
         coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content) if content else None, write_checksum=True, write_content_size=True)
         pack = lambda parts: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["frames"])
-        parts, size = [skippable_frame(content)] if content else [], 0
-        some = False
+        head = skippable_frame(content) if content else b""
+        parts, size, runs = [], 0, 0
         for batch in batches:
             for page_id, url, payload, response in zip(*(c.to_pylist() for c in batch.columns)):
-                some = True
                 raw = payload.encode()
                 parts.append(coder.compress(record_bytes(page_id, url, raw, hashlib.sha1(raw).hexdigest(), response)))
                 size += len(parts[-1])
                 if size >= RUN_BYTES:
-                    yield pack(parts)
-                    parts, size = [], 0
-        if some and parts:
-            yield pack(parts)
+                    # the writer begins a new archive after every RUNS rows of a task
+                    yield pack([head, *parts] if runs % RUNS == 0 else parts)
+                    parts, size, runs = [], 0, runs + 1
+        if parts:
+            yield pack([head, *parts] if runs % RUNS == 0 else parts)
 
     frames = dealt.mapInArrow(run, "frames binary").select(F.col("frames").cast("string"))
-    frames.write.option("lineSep", EMPTY_FRAME.decode()).text(path)
+    frames.write.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", RUNS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
