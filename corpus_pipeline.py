@@ -50,7 +50,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     goes; of repeated rows of 20 words or more all but the first are left without a word.
     """
     docs, key = keyed(docs)
-    cut = remove_spans(docs, repeated_spans(docs, id_col=key), id_col=key).drop(key)
+    cut = remove_spans(docs, repeated_spans(docs, id_col=key, with_bytes=False), id_col=key).drop(key)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))

@@ -14,7 +14,7 @@ def parse_markup(lines: DataFrame, reversed_ids: DataFrame | None = None) -> Dat
     """Tokens ``file_id, line_no, sentence_no, channel, start_s, dur_s, token`` of markup lines (file_id, line_no, value).
 
     Lines with unreadable times, blank ids or bracketed tokens go. Files in
-    ``reversed_ids`` (file_id), a short list, have their channels swapped.
+    ``reversed_ids`` (file_id) have their channels swapped.
     """
     bits = F.split(F.trim("value"), r"\s+")
     token = F.array_join(F.slice(bits, 4, F.greatest(F.size(bits) - 3, F.lit(0))), " ")
@@ -31,14 +31,14 @@ def parse_markup(lines: DataFrame, reversed_ids: DataFrame | None = None) -> Dat
 
 
 def swap_channels(df: DataFrame, reversed_ids: DataFrame) -> DataFrame:
-    wrong = F.broadcast(reversed_ids.select("file_id", F.lit(True).alias("_wrong")).distinct())  # a hand-made list of calls
+    wrong = reversed_ids.select("file_id", F.lit(True).alias("_wrong")).distinct()
     other = F.when(F.col("channel") == "A", "B").when(F.col("channel") == "B", "A").otherwise(F.col("channel"))
     return df.join(wrong, "file_id", "left").withColumn("channel", F.when(F.col("_wrong"), other).otherwise(F.col("channel"))).drop("_wrong")
 
 
 def swap_speakers(calls: DataFrame, reversed_ids: DataFrame) -> DataFrame:
     """``calls`` (file_id, speaker_a, speaker_b) with the speakers of listed calls exchanged."""
-    wrong = F.broadcast(reversed_ids.select("file_id", F.lit(True).alias("_wrong")).distinct())
+    wrong = reversed_ids.select("file_id", F.lit(True).alias("_wrong")).distinct()
     joined = calls.join(wrong, "file_id", "left")
     a, b = F.col("speaker_a"), F.col("speaker_b")
     return joined.select("file_id", F.when(F.col("_wrong"), b).otherwise(a).alias("speaker_a"), F.when(F.col("_wrong"), a).otherwise(b).alias("speaker_b"))

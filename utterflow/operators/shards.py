@@ -11,7 +11,7 @@ STRATEGIES = ("random", "length_sorted", "single_shard")
 
 
 def plan_shards(df: DataFrame, strategy: str, samples_per_shard: int = 5000, seed: int = 1337, key: str = "key", length: str = "num_frames") -> DataFrame:
-    """``key, shard_idx, partial_shard``: a shard is partial if it holds fewer samples than the fullest."""
+    """``key, shard_idx, partial_shard``: a shard is partial if it holds fewer samples than the fullest, as only the last can."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     if strategy == "single_shard":
@@ -19,9 +19,11 @@ def plan_shards(df: DataFrame, strategy: str, samples_per_shard: int = 5000, see
     else:
         order = hash_order(F.col(key), seed) if strategy == "random" else [F.col(length), F.col(key)]
         placed = prefix(df.select(key, length), order).select(key, F.floor(F.col("idx") / samples_per_shard).cast("bigint").alias("shard_idx"))
-    sizes = placed.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("_n"))
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    return placed.join(sizes, "shard_idx").select(F.col(key).alias("key"), "shard_idx", (F.col("_n") < most).alias("partial_shard"))
+    total = df.count()
+    partial = F.lit(False)
+    if strategy != "single_shard" and total > samples_per_shard and total % samples_per_shard:
+        partial = F.col("shard_idx") == total // samples_per_shard
+    return placed.select(F.col(key).alias("key"), "shard_idx", partial.alias("partial_shard"))
 
 
 def equal_shards_per_worker(shards: DataFrame, workers: int, order: str = "path") -> DataFrame:

@@ -39,6 +39,30 @@ def _quotas(generators: DataFrame, limit: int | None) -> DataFrame:
     return out.where("quota > 0")
 
 
+def _generators(groups: DataFrame, limit: int | None) -> DataFrame:
+    """``a, b, m_b, quota`` of the pairs of groups (class, grp, m) of one class that give pairs of members.
+
+    A pair is a generator, named ``a|b`` with a < b. Pairs are found by the groups' ranks
+    within their class. With more generators than ``limit`` only the greatest-named
+    ``limit`` give a pair, one each, so no others are built.
+    """
+    ranked = saved(prefix(groups, [F.desc("grp")], by=["class"], name="above"))
+    total = ranked.agg(F.sum("above")).first()[0] or 0
+    few = limit is None or total <= limit
+    if few:
+        taken = ranked.withColumn("take", F.col("above"))
+    else:
+        placed = prefix(ranked.where("above > 0"), [F.desc(F.concat("grp", F.lit("|")))], sums=["above"], name="at")
+        taken = placed.withColumn("take", F.least("above", F.lit(limit) - F.col("before_above")))
+    i = F.explode(F.expr("sequence(0L, take - 1)")).alias("above")
+    left = taken.where("take > 0").select("class", F.col("grp").alias("a"), F.col("m").alias("m_a"), i)
+    pairs = left.join(ranked.select("class", "above", F.col("grp").alias("b"), F.col("m").alias("m_b")), ["class", "above"])
+    if not few:
+        return pairs.select("a", "b", "m_b", F.lit(1).alias("quota"))
+    sized = pairs.select("a", "b", "m_b", F.concat_ws("|", "a", "b").alias("generator"), (F.col("m_a") * F.col("m_b")).alias("size"))
+    return _quotas(saved(sized), limit)
+
+
 def _product_pairs(generators: DataFrame, members: DataFrame, same: bool) -> DataFrame:
     """Pairs of the first ``quota`` indices of each generator (a, b, m_b): index i is left ``i div m_b`` and right ``i mod m_b``."""
     i = F.explode(F.expr("sequence(0L, quota - 1)")).alias("i")
@@ -67,10 +91,8 @@ def positive_pairs(df: DataFrame, session_overlap: bool = False, limit: int | No
         left, right = (members.select("grp", F.col("rank").alias(i), F.col("key").alias(k)) for i, k in (("ia", "ka"), ("ib", "kb")))
         return _canonical(index.join(left, ["grp", "ia"]).join(right, ["grp", "ib"]), True)
     members = saved(_members(df, session_of(F.col("key")), seed))
-    sessions = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).withColumn("spk", speaker_of(F.col("grp")))
-    a, b = (sessions.select("spk", F.col("grp").alias(n), F.col("m").alias(f"m_{n}")) for n in "ab")
-    generators = a.join(b, "spk").where("a < b").select("a", "b", "m_b", F.concat_ws("|", "a", "b").alias("generator"), (F.col("m_a") * F.col("m_b")).alias("size"))
-    return _product_pairs(_quotas(saved(generators), limit), members, True)
+    sessions = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).withColumn("class", speaker_of(F.col("grp")))
+    return _product_pairs(_generators(sessions, limit), members, True)
 
 
 def negative_pairs(df: DataFrame, same_sex: bool = True, limit: int | None = None, seed: int = 1337) -> DataFrame:
@@ -78,9 +100,7 @@ def negative_pairs(df: DataFrame, same_sex: bool = True, limit: int | None = Non
     members = saved(_members(df, speaker_of(F.col("key")), seed))
     speakers = df.select(speaker_of(F.col("key")).alias("grp"), "gender").groupBy("grp").agg(F.min("gender").alias("gender"))
     sized = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).join(speakers, "grp").withColumn("class", F.col("gender") if same_sex else F.lit("any"))
-    a, b = (sized.select("class", F.col("grp").alias(n), F.col("m").alias(f"m_{n}")) for n in "ab")
-    generators = a.join(b, "class").where("a < b").select("a", "b", "m_b", F.concat_ws("|", "a", "b").alias("generator"), (F.col("m_a") * F.col("m_b")).alias("size"))
-    return _product_pairs(_quotas(saved(generators), limit), members, False)
+    return _product_pairs(_generators(sized.select("class", "grp", "m"), limit), members, False)
 
 
 def trial_line(trials: DataFrame) -> Column:

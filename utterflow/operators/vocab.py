@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import speaker_number
 from ..functions.text import encode
+from ..materialize import saved
 from ..schemas import BLANK, SPECIAL_TOKENS
 from .ordering import prefix
 
 
 def _characters(df: DataFrame) -> DataFrame:
-    return df.select(F.explode(F.split("transcription", "")).alias("char")).where(F.col("char") != "")
+    """``char, n``: the distinct characters of each transcript and how often it has them."""
+    rows = df.select("transcription", F.explode(F.array_distinct(F.split("transcription", ""))).alias("char")).where(F.col("char") != "")
+    return rows.select("char", (F.length("transcription") - F.length(F.replace("transcription", F.col("char"), F.lit("")))).alias("n"))
 
 
 def _specials(df: DataFrame) -> DataFrame:
@@ -22,14 +25,15 @@ def _specials(df: DataFrame) -> DataFrame:
 
 def char_vocab(df: DataFrame) -> DataFrame:
     """``idx, char``: special tokens, then the distinct characters but the blank by code point."""
-    found = _characters(df).where("char <> ' '").distinct()
+    found = _characters(df).where("char <> ' '").select("char").distinct()
     numbered = prefix(found, [F.col("char")]).select((F.col("idx") + len(SPECIAL_TOKENS)).alias("idx"), "char")
     return _specials(df).unionByName(numbered)
 
 
 def char_distribution(df: DataFrame) -> DataFrame:
     """``char, freq``: shares of all characters; the blank's share is the delimiter's, other special tokens have 0."""
-    counts = _characters(df).groupBy(F.when(F.col("char") == " ", "|").otherwise(F.col("char")).alias("char")).agg(F.count(F.lit(1)).alias("n"))
+    counts = _characters(df).groupBy(F.when(F.col("char") == " ", "|").otherwise(F.col("char")).alias("char")).agg(F.sum("n").alias("n"))
+    counts = saved(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     absent = _specials(df).select("char", F.lit(0).cast("bigint").alias("n")).join(counts.select("char"), "char", "left_anti")
     return counts.unionByName(absent).select("char", (F.col("n") / F.lit(float(total or 1))).alias("freq"))
@@ -77,14 +81,8 @@ def vocabulary_json(vocab: DataFrame) -> DataFrame:
 
 
 def speaker_map_json(speakers: DataFrame) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("idx", "speaker_id", "gender")))
-    one = speakers.agg(rows.alias("r"))
-    return one.select(F.to_json(F.struct(
-        F.transform("r", lambda s: s["speaker_id"]).alias("speakers"),
-        F.map_from_entries(F.transform("r", lambda s: F.struct(s["speaker_id"], s["idx"]))).alias("speaker_to_idx"),
-        F.map_from_entries(F.transform("r", lambda s: F.struct(s["idx"].cast("string"), s["speaker_id"]))).alias("idx_to_speaker"),
-        F.map_from_entries(F.transform("r", lambda s: F.struct(s["speaker_id"], s["gender"]))).alias("gender"),
-    )).alias("value"))
+    """``value``: a JSON line with idx, speaker_id and gender for every speaker."""
+    return speakers.select(F.to_json(F.struct("idx", "speaker_id", "gender")).alias("value"))
 
 
 def distribution_json(distribution: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text import clean_annotations, clean_call
 from ..materialize import saved, shared_dir
 from ..operators import asr, batching, calls, manifest, scoring, shards, splits, stats, telemetry, trials, vocab
 from ..streaming import streams
-from . import derived
+from . import derived, formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,7 +374,7 @@ def chunk_contiguous(spark, sf_dir):
 
 @query
 def batch_fixed(spark, sf_dir):
-    u = derived.utterances(spark, sf_dir).withColumn("shard_idx", F.pmod(F.col("num_frames") / 160, F.lit(5)).cast("bigint"))
+    u = derived.utterances(spark, sf_dir).withColumn("shard_idx", F.expr("cast(substring_index(key, '/', -1) as bigint) div 256"))
     return batching.batch_fixed(u.select("key", "shard_idx"), 16, drop_last=True)
 
 
@@ -546,4 +546,6 @@ def stream_windows(spark, sf_dir):
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "metric", F.round("mean", 6).alias("mean"), "n")
 
 
+QUERIES.update(formats.QUERIES)
+
 __all__ = ["QUERIES"]

@@ -17,7 +17,7 @@ EMB = """emb AS (
     CASE WHEN label % 2 = 0 THEN 'm' ELSE 'f' END AS gender, embedding, label, vec_id
   FROM embeddings
 )"""
-TEL = "tel AS (SELECT CAST(user_id % 4 AS VARCHAR) AS run, event_id AS step, event_type AS metric, value, ts FROM events)"
+TEL = "tel AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS step, event_type AS metric, value, ts FROM events)"
 REC = """rec AS (
   SELECT key || '#' || p AS key, language_tag, w[p * 20 + 1:p * 20 + 20] AS w
   FROM (SELECT key, language_tag, string_split(transcription, ' ') AS w, unnest(range(0, CAST(floor((len(string_split(transcription, ' ')) - 1) / 20) AS BIGINT) + 1)) AS p FROM utt)
@@ -129,6 +129,7 @@ def _annotations(text: str) -> str:
     return f"trim({out})"
 
 
+_ASCII_TEXT = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
 _REC_ERRORS = f"WITH {UTT}, {REC}, e AS (SELECT language_tag, key, len(w) AS n, len(list_filter(range(0, len(w)), lambda i: i % 7 = 6)) AS d FROM rec)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -214,7 +215,7 @@ SELECT emb.key AS sample_id, coalesce(indices, '') AS indices, coalesce(trim(tex
     "chunk_random": f"""WITH {EMB}, r AS (SELECT *, CAST('0x' || substr(md5(key || '|0|0'), 1, 8) AS BIGINT) % 45 AS s FROM emb)
 SELECT key, CAST(0 AS BIGINT) AS chunk_idx, CAST(20 AS BIGINT) AS num_frames, round(CAST(embedding[s + 1] AS DOUBLE), 6) AS first, round(CAST(embedding[s + 20] AS DOUBLE), 6) AS last FROM r""",
     "chunk_contiguous": f"WITH {EMB} SELECT key, c AS chunk_idx, CAST(20 AS BIGINT) AS num_frames, round(CAST(embedding[c * 20 + 1] AS DOUBLE), 6) AS first, round(CAST(embedding[c * 20 + 20] AS DOUBLE), 6) AS last FROM (SELECT key, embedding, unnest(range(0, 3)) AS c FROM emb)",
-    "batch_fixed": f"""WITH {UTT}, b AS (SELECT key, CAST(num_frames // 160 % 5 AS BIGINT) AS shard_idx FROM utt), r AS (SELECT key, shard_idx, (row_number() OVER (PARTITION BY shard_idx ORDER BY key) - 1) // 16 AS batch_id, count(*) OVER (PARTITION BY shard_idx) AS n FROM b)
+    "batch_fixed": f"""WITH {UTT}, b AS (SELECT key, CAST(doc_id // 256 AS BIGINT) AS shard_idx FROM utt), r AS (SELECT key, shard_idx, (row_number() OVER (PARTITION BY shard_idx ORDER BY key) - 1) // 16 AS batch_id, count(*) OVER (PARTITION BY shard_idx) AS n FROM b)
 SELECT key, shard_idx, CAST(batch_id AS BIGINT) AS batch_id FROM r WHERE (batch_id + 1) * 16 <= n""",
     "batch_padded": f"""WITH {EMB}, s AS (SELECT key, vec_id % 4 AS shard_idx, least(len(embedding), 5 + len(embedding) % 7 + vec_id % 4) AS n, label FROM emb),
 b AS (SELECT *, CAST((row_number() OVER (PARTITION BY shard_idx ORDER BY key) - 1) // 8 AS BIGINT) AS batch_id FROM s)
@@ -224,7 +225,7 @@ SELECT step, s_suppkey, p_partkey FROM (SELECT unnest(range(0, 2 * (SELECT count
     "call_sentences": f"""WITH {TOK} SELECT file_id, channel, sentence_no, start_s, end_s, text FROM sent WHERE start_s >= 0 AND end_s - start_s BETWEEN 3 AND 20 AND contains(trim(text), ' ') AND NOT contains(trim(text), '-')""",
     "call_min_sessions": f"""WITH {TOK}, s AS (SELECT DISTINCT file_id % 20 AS speaker_id, file_id AS recording_id FROM tok) SELECT * FROM s WHERE speaker_id IN (SELECT speaker_id FROM s GROUP BY 1 HAVING count(*) >= 3)""",
     "call_cleaning": f"SELECT conv_id, turn, {_clean_call('text')} AS clean FROM conversations",
-    "hub5_normalise": f"SELECT conv_id, turn, sha1({_annotations(chr(114) + 'egexp_replace(text, ' + chr(39) + '[^' + chr(92) + 'x00-' + chr(92) + 'x7F]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}) AS digest FROM conversations",
+    "hub5_normalise": f"SELECT conv_id, turn, sha1({_annotations(_ASCII_TEXT)}) AS digest FROM conversations",
     "segment_spans": f"""WITH {TOK}, r AS (SELECT file_id, CAST(max(end_s) * 16000 - 4000 AS BIGINT) AS num_frames FROM sent GROUP BY 1), f AS (SELECT s.*, num_frames, CAST(floor(start_s * 16000) AS BIGINT) AS start_frame, CAST(ceil(end_s * 16000) AS BIGINT) AS end_frame FROM sent s JOIN r USING (file_id))
 SELECT file_id, channel, sentence_no, start_frame, end_frame, start_frame >= 0 AND end_frame > start_frame AND end_frame <= num_frames AS inside FROM f""",
     "file_triplets": """SELECT p_partkey AS file_id, p_partkey || '.wav' AS wav, p_partkey || '.txt' AS txt, p_partkey || '.mrk' AS mrk FROM part WHERE p_size % 5 <> 0""",
@@ -245,3 +246,72 @@ SELECT run, step, round(CASE WHEN n = 10 THEN 2 * exp(ra / 2) / (exp(ra / 2) + e
     "stream_dedupe": f"WITH {UTT} SELECT speaker_id, count(*) AS count FROM utt GROUP BY speaker_id",
     "stream_windows": f"WITH {TEL} SELECT strftime(ts, '%Y-%m-%d') AS day, metric, round(avg(value), 6) AS mean, count(*) AS n FROM tel GROUP BY ALL",
 }
+
+
+_TASK = """sam AS (
+  SELECT key, vec_id // 256 AS shard_idx, 'vc1/id' || label AS speaker_id, label, gender, embedding, translate(substr(md5(key), 1, CAST(vec_id % 20 + 1 AS BIGINT)), '0123456789', 'ghijklmnop') AS transcription FROM emb
+), ranked AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY shard_idx ORDER BY md5(key || '|0|1337'), key) - 1) // 8 AS BIGINT) AS batch_id FROM sam
+)"""
+_TASK_CODES = """chars AS (SELECT key, unnest(string_split(transcription, '')) AS char FROM sam),
+voc AS (SELECT char, 4 + row_number() OVER (ORDER BY char) AS idx FROM (SELECT DISTINCT char FROM chars)),
+code AS (SELECT key, sum(idx) AS codes FROM chars JOIN voc USING (char) GROUP BY key)"""
+_TASK_LABELS = "lab AS (SELECT speaker_id, row_number() OVER (ORDER BY CAST(regexp_extract(speaker_id, '/(?:id)?(\\d+)$', 1) AS BIGINT), speaker_id) - 1 AS label_idx FROM (SELECT DISTINCT speaker_id FROM sam))"
+_BATCH_HEAD = "shard_idx, batch_id, CAST(count(*) AS INTEGER) AS batch_size, md5(string_agg(key, ',' ORDER BY key)) AS keys"
+_TEXT = "CAST(max(length(transcription)) AS INTEGER) AS text_width, CAST(sum(codes) AS BIGINT) AS code_sum"
+
+ORACLE_SQL |= {
+    "manifest_files": f"WITH {UTT} SELECT * EXCLUDE (doc_id) FROM utt",
+    "manifest_required": f"WITH {UTT} SELECT 'required_gender' AS rule, key FROM utt WHERE num_frames % 3200 = 0",
+    "clean_transcripts": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^ ''a-z]', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""",
+    "shard_plan_file": ORACLE_SQL["shard_random"],
+    "trials_file": f"""WITH {EMB}, {_both('emb', '(SELECT count(*) FROM emb)')} SELECT "left", "right", same_speaker FROM t""",
+    "trials_file_bad_lines": "SELECT 'vc1/' || p_partkey || ' vc1/' || p_size || ' ' || (p_partkey % 3) AS value FROM part WHERE p_partkey % 3 = 2",
+    "trials_converted": """SELECT 'vc1/id' || p_partkey || '/x' AS "left", 'vc1/id' || p_size || '/y' AS "right", p_partkey % 2 = 1 AS same_speaker FROM part
+UNION ALL SELECT 'sre08/unk/unk/s' || p_partkey, 'sre08/unk/unk/s' || p_size, p_partkey % 2 = 1 FROM part""",
+    "split_complement": f"WITH {UTT}, {_split('utt', 'speaker_id', '0.13', 1337)} SELECT key FROM utt JOIN flag ON speaker_id = g WHERE NOT is_split",
+    "shard_samples": f"""WITH {UTT}, p AS (SELECT *, CAST((row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1) // 128 AS BIGINT) AS shard_idx, count(*) OVER () AS total FROM utt)
+SELECT key, shard_idx, total > 128 AND total % 128 <> 0 AND shard_idx = total // 128 AS partial_shard, num_frames, speaker_id, md5(transcription) AS content, transcription FROM p""",
+    "shard_samples_of_speakers": f"""WITH {UTT}, p AS (SELECT *, (row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1) // 128 AS shard_idx, count(*) OVER () AS total FROM utt)
+SELECT key, gender FROM p WHERE gender = 'm' AND NOT (total > 128 AND total % 128 <> 0 AND shard_idx = total // 128)""",
+    "shard_list": f"""WITH {UTT}, n AS (SELECT count(*) AS total FROM utt)
+SELECT 'train.' || lpad(CAST(i AS VARCHAR), 6, '0') || CASE WHEN total > 128 AND total % 128 <> 0 AND i = total // 128 THEN '.partial' ELSE '' END || '.tar' AS name FROM (SELECT total, unnest(range(0, (total + 127) // 128)) AS i FROM n)""",
+    "librispeech_speakers": """SELECT CAST(s_suppkey AS INTEGER) AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 'train' AS subset, CAST(s_suppkey % 40 + 0.5 AS DOUBLE) AS minutes, s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0""",
+    "voxceleb_metadata": """SELECT 'id' || c_custkey AS voxceleb_id, c_name AS vggface_id, CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'f' END AS gender, CAST(c_nationkey AS VARCHAR) AS nationality, 'dev' AS "set", 'vox1' AS dataset FROM customer""",
+    "caller_table": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS pin, 'v0' AS target, CAST(c_nationkey AS VARCHAR) AS speaker_partition FROM customer",
+    "reference_segments": """SELECT CAST(conv_id + 0.5 AS DOUBLE) AS start_s, CAST(conv_id + turn + 1.25 AS DOUBLE) AS end_s, CASE WHEN role = 'user' THEN 'A' ELSE 'B' END AS channel, md5(text) || ': ' || turn AS text FROM conversations""",
+    "id_list": "SELECT CAST(p_partkey AS INTEGER) AS file_id FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0",
+    "transcript_json": f"WITH {UTT} SELECT key, transcription AS text, language_tag AS language FROM utt",
+    "result_series": "SELECT CAST(n_nationkey / 32 AS DOUBLE) AS eer, n_name AS weights, CAST(n_regionkey AS INTEGER) AS layer FROM nation",
+    "speaker_map_lines": f"WITH {UTT} SELECT {_SPEAKERS} AS idx, speaker_id, min(gender) AS gender FROM utt GROUP BY speaker_id",
+    "text_defaults": """SELECT doc_id, md5(CASE WHEN doc_id % 3 <> 0 THEN coalesce(text, 'none') ELSE 'none' END) AS digest, CASE WHEN doc_id >= 10000 THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), 5, '0') END AS padded,
+CASE WHEN doc_id >= 100000 THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), 6, '0') END || '.wav' AS path, CASE WHEN doc_id >= 100000 THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), 6, '0') END AS name FROM documents""",
+    "prediction_dump": f"""WITH {UTT}, b AS (SELECT key, transcription, CAST('0x' || substr(md5(key), 1, 3) AS BIGINT) AS batch FROM utt)
+SELECT key, batch, row_number() OVER (PARTITION BY batch ORDER BY key) - 1 AS "index", md5(transcription) AS ref, substr(transcription, 1, 20) AS hyp FROM b WHERE batch % 50 = 0""",
+    "paired_stems": """SELECT p_partkey AS stem, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN p_partkey || '.wav' END AS left_path, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN p_partkey || '.txt' END AS right_path
+FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 7 <> 0""",
+    "swapped_callers": """SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'b' ELSE 'a' END || file_id AS speaker_a, CASE WHEN file_id % 5 = 0 THEN 'a' ELSE 'b' END || file_id AS speaker_b FROM (SELECT DISTINCT conv_id AS file_id FROM conversations)""",
+    "channel_split": f"""WITH {EMB} SELECT key || '-a' AS file_id, CAST(32 AS INTEGER) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM emb UNION ALL SELECT key || '-b', CAST(32 AS INTEGER), round(CAST(embedding[33] AS DOUBLE), 6) FROM emb""",
+    "call_segments": f"""WITH {EMB} SELECT vec_id AS file_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS channel, CAST(4 AS INTEGER) AS n, round(CAST(embedding[32 * (vec_id % 2) + vec_id % 40 + 1] AS DOUBLE), 6) AS first FROM emb WHERE vec_id % 40 + 4 <= 32""",
+    "task_speech_batches": f"WITH {EMB}, {_TASK}, {_TASK_CODES} SELECT {_BATCH_HEAD}, {_TEXT} FROM ranked JOIN code USING (key) GROUP BY shard_idx, batch_id",
+    "task_speaker_batches": f"WITH {EMB}, {_TASK}, {_TASK_LABELS} SELECT {_BATCH_HEAD}, CAST(20 AS INTEGER) AS width, CAST(sum(label_idx) AS BIGINT) AS label_sum FROM ranked JOIN lab USING (speaker_id) GROUP BY shard_idx, batch_id HAVING count(*) = 8",
+    "task_gender_batches": f"WITH {EMB}, {_TASK} SELECT {_BATCH_HEAD}, CAST(sum(CAST(gender = 'f' AS INTEGER)) AS BIGINT) AS label_sum FROM ranked GROUP BY shard_idx, batch_id",
+    "task_joint_batches": f"WITH {EMB}, {_TASK}, {_TASK_CODES}, {_TASK_LABELS} SELECT {_BATCH_HEAD}, {_TEXT}, CAST(sum(label_idx) AS BIGINT) AS label_sum FROM ranked JOIN code USING (key) JOIN lab USING (speaker_id) GROUP BY shard_idx, batch_id",
+    "batch_rules": f"""WITH {EMB}, b AS (SELECT vec_id // 256 AS s, (row_number() OVER (PARTITION BY vec_id // 256 ORDER BY key) - 1) // 8 AS b FROM emb), k AS (SELECT DISTINCT s, b FROM b)
+SELECT rule, count(*) AS n FROM (SELECT unnest(CASE WHEN b % 5 = 0 THEN ['audio_count', 'key_count', 'id_count', 'id_values'] ELSE ['id_values'] END) AS rule FROM k) GROUP BY rule""",
+    "batch_token_budget": f"""WITH RECURSIVE {UTT}, p AS (SELECT key, num_frames, CAST((row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1) // 256 AS BIGINT) AS shard_idx FROM utt
+), r AS (
+  SELECT key, shard_idx, num_frames AS n, row_number() OVER (PARTITION BY shard_idx ORDER BY num_frames, key) AS i FROM p WHERE num_frames BETWEEN 0 AND 400000
+), walk AS (
+  SELECT shard_idx, i, key, CAST(0 AS BIGINT) AS batch_id, CAST(0 AS BIGINT) AS place FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.shard_idx, r.i, r.key, CASE WHEN (w.place + 2) * r.n > 1600000 THEN w.batch_id + 1 ELSE w.batch_id END, CASE WHEN (w.place + 2) * r.n > 1600000 THEN 0 ELSE w.place + 1 END
+  FROM walk w JOIN r ON r.shard_idx = w.shard_idx AND r.i = w.i + 1
+)
+SELECT shard_idx, key, batch_id, place FROM walk""",
+    "set_checks": """WITH s AS (SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'test' ELSE 'val' END AS role, 'set' || (n_nationkey % 9) AS name, CASE WHEN n_nationkey % 6 <> 0 THEN '/data/' || n_name END AS path FROM nation)
+SELECT role, rule FROM (
+  SELECT role, 'name_twice' AS rule FROM s GROUP BY role, name HAVING count(*) > 1 UNION SELECT role, 'path_twice' FROM s WHERE path IS NOT NULL GROUP BY role, path HAVING count(*) > 1
+  UNION SELECT role, 'incomplete' FROM s WHERE path IS NULL
+)""",
+}

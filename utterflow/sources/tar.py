@@ -103,21 +103,28 @@ class TarWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
-        attempt, done, name, tar = TaskContext.get().taskAttemptId(), [], None, None
-        for row in rows:
-            if row["shard"] != name:
-                if tar:
-                    tar.close()
-                name = row["shard"]
-                temporary = os.path.join(self.path, f".{name}.{attempt}")
-                tar = tarfile.open(temporary, "w:gz" if self.compress else "w")
-                done.append((temporary, os.path.join(self.path, name)))
-            for end, content in (("wav", bytes(row["wav"])), ("json", row["meta"].encode())):
-                info = tarfile.TarInfo(f"{row['member']}.{end}")
-                info.size = len(content)
-                tar.addfile(info, io.BytesIO(content))
-        if tar:
-            tar.close()
+        attempt, done, name, tar, whole = TaskContext.get().taskAttemptId(), [], None, None, False
+        try:
+            for row in rows:
+                if row["shard"] != name:
+                    if tar:
+                        tar.close()
+                    name = row["shard"]
+                    temporary = os.path.join(self.path, f".{name}.{attempt}")
+                    done.append((temporary, os.path.join(self.path, name)))
+                    tar = tarfile.open(temporary, "w:gz" if self.compress else "w")
+                for end, content in (("wav", bytes(row["wav"])), ("json", row["meta"].encode())):
+                    info = tarfile.TarInfo(f"{row['member']}.{end}")
+                    info.size = len(content)
+                    tar.addfile(info, io.BytesIO(content))
+            whole = True
+        finally:
+            if tar:
+                tar.close()
+            if not whole:  # a failed attempt leaves nothing behind
+                for temporary, _ in done:
+                    if os.path.exists(temporary):
+                        os.remove(temporary)
         return _Files(done)
 
     def commit(self, messages) -> None:
@@ -148,7 +155,7 @@ class TarShards(DataSource):
         return "shard string, member string, wav binary, meta string"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return TarWriter(self.options["path"], self.options.get("compress", "false").lower() == "true")
+        return TarWriter(self.options["path"].removeprefix("file://"), self.options.get("compress", "false").lower() == "true")
 
 
 def write_shards(df: DataFrame, plan: DataFrame, path: str, prefix: str, compress: bool = False, seed: int = 1337) -> None:
