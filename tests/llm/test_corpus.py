@@ -566,19 +566,20 @@ def test_language(spark):
 def plain_language(rows, train):
     """Prediction and score of each text from sets of n-grams, without a Bloom filter."""
     fold = lambda t: re.sub(r"[\x00-\x60\x7b-\x7f]+", " ", f" {t.lower()} ").encode()
-    cut = lambda t, n: [fold(t)[k : k + n] for k in range(len(fold(t)) - n + 1)]
+    cut = lambda f: [f[k : k + n] for n in language.SIZES for k in range(len(f) - n + 1)]
     known, n = collections.defaultdict(set), collections.Counter()
     for i, t, g in rows:
         if g is not None and train(i):
             n[g] += 1
-            known[g] |= {x for size in language.SIZES for x in cut(t or "", size)}
+            known[g] |= set(cut(fold(t or "")))
     order = sorted(n, key=lambda g: (-n[g], g))
     out = {}
     for i, t, _ in rows:
         if not any(map(str.isalpha, t or "")):
             out[i] = ("und", 0.0)
             continue
-        c = {g: sum(x in known[g] for size in language.SIZES for x in cut(t, size)) for g in order}
+        own = cut(fold(t))
+        c = {g: sum(x in known[g] for x in own) for g in order}
         best = max(order, key=lambda g: (c[g], -order.index(g)))
         out[i] = (best, c[best] / sum(c.values()) if sum(c.values()) else 1 / len(order))
     return out
@@ -719,7 +720,7 @@ def plain_proximity(rows, items, n_terms=3, span=20):
 def test_proximity(spark):
     rnd = random.Random(15)
     items = [(j, prose(rnd, rnd.choice([1, 2, 6, 12]))) for j in range(10)] + [(50, None), (51, "neverseen alpha1"), (52, "q rare0 rare1")]
-    rows = [(i, prose(rnd, 80)) for i in range(20)] + [(100, None), (101, "rare1 " + "w " * 18 + "rare0 q"), (102, "rare1 " + "w " * 19 + "rare0 q")]
+    rows = [(i, prose(rnd, 80)) for i in range(20)] + [(100, None), (101, "rare1 " + "w " * 17 + "rare0 q"), (102, "rare1 " + "w " * 18 + "rare0 q")]
     for i in range(20, 60):
         w, x = prose(rnd, 60).split(), rnd.choice(items[:10])[1].split()
         for term in rnd.sample(x, len(x)):
