@@ -386,7 +386,7 @@ def test_toxicity_held_out(spark):
 def plain_ftrl(rows):
     """Margins of (text, label) rows after the passes, with dictionaries of features; order as in the fit."""
     z, n = collections.defaultdict(float), collections.defaultdict(float)
-    l1 = toxicity.L1 * len(rows)
+    l1 = toxicity.L1 * min(1, len(rows) / toxicity.L1_ROWS)
     weight = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
     for _ in range(toxicity.EPOCHS):
         for features, y in rows:

@@ -26,8 +26,9 @@ from .kernels import ASCII_LOWER, chunks, mix, span_hashes, word_spans
 DIMENSIONS = 1 << 20
 #: The fit's bound: labelled rows with the least hash of the id.
 TRAIN_ROWS = 12_000
-#: L1 is for each row of the sample, as the gradients that it is held against add up over rows.
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 5e-4, 1.0
+#: L1 is 6, and less in proportion for samples below L1_ROWS, as the gradients that it is held against add up over rows.
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 6.0, 1.0
+L1_ROWS = 2_000
 #: Besides whole words, their first bytes, so that inflected forms share a feature.
 STEMS = (4, 5)
 
@@ -58,7 +59,7 @@ class Ftrl:
 
     def __init__(self, rows: int, dimensions: int = DIMENSIONS):
         self.z, self.n = np.zeros(dimensions + 1), np.zeros(dimensions + 1)
-        self.l1 = L1 * rows
+        self.l1 = L1 * min(1.0, rows / L1_ROWS)
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, n = self.z[at], self.n[at]
