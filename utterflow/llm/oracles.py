@@ -5,6 +5,31 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _MATCH = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+_DAMAGE = _CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+
+
+def _repair_state(q: int) -> str:
+    """Cheapest way on from state q (0 start, 1 after s, 2 after u, 3 after a) at a row, without insertions before it."""
+    extra = "CASE WHEN truncated THEN 5 ELSE 0 END"
+    to, role = (3, "assistant") if q == 2 else (2, "user")
+    keep = lambda initial, t: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {{'c': f{t}.c + {extra}, 's': 'K' || f{t}.s, 't': list_prepend(role || ':' || text, f{t}.t)}} END"
+    options = [f"{{'c': f{q}.c + 2, 's': 'D' || f{q}.s, 't': f{q}.t}}", keep("a" if q == 2 else "u", to)] + [keep("s", 1)] * (q == 0)
+    options.append(f"CASE WHEN NOT gone THEN {{'c': f{to}.c + 1 + {extra}, 's': 'R' || f{to}.s, 't': list_prepend('{role}:' || text, f{to}.t)}} END")
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1] AS b{q}"
+
+
+def _repair_inserted(q: int) -> str:
+    """The same with up to two insertions before the row."""
+    one, two = (3, 2) if q == 2 else (2, 3)
+    a, b = ("assistant", "user") if q == 2 else ("user", "assistant")
+    return (
+        f"list_sort([b{q}, {{'c': b{one}.c + 5, 's': 'I' || b{one}.s, 't': list_prepend('{a}:', b{one}.t)}}, "
+        f"{{'c': b{two}.c + 10, 's': 'II' || b{two}.s, 't': list_prepend('{a}:', list_prepend('{b}:', b{two}.t))}}])[1] AS f{q}"
+    )
+
+
 ORACLE_SQL = {
     "op2_near_duplicates": rf"""
 WITH RECURSIVE w AS (
@@ -141,5 +166,55 @@ SELECT doc_id, size, source_size, target,
     floor(floor(target) / source_size) * size
     + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - place)) END AS BIGINT) AS taken
 FROM placed
+""",
+    "op11_conversations": rf"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, h, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, {_DAMAGE} % 20 AS h FROM conversations)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again
+  FROM (
+    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+    FROM (SELECT * FROM damaged WHERE h > 0 UNION ALL SELECT * FROM damaged WHERE h = 3)
+  )
+), faulty AS (
+  SELECT *, substr(role, 1, 1) AS initial, blank OR again AS gone, NOT blank AND again AS repeated,
+    NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair
+  FROM (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM placed)
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (repeated) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, n + 1 AS i, {{'c': CAST(0 AS BIGINT), 's': '', 't': CAST([] AS VARCHAR[])}} AS f0, {{'c': CAST(10 AS BIGINT), 's': 'II', 't': ['user:', 'assistant:']}} AS f1,
+    {{'c': CAST(5 AS BIGINT), 's': 'I', 't': ['assistant:']}} AS f2, {{'c': CAST(0 AS BIGINT), 's': '', 't': CAST([] AS VARCHAR[])}} AS f3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, i, {', '.join(map(_repair_inserted, range(4)))}
+  FROM (SELECT dp.conv_id, r.i, {', '.join(map(_repair_state, range(4)))} FROM dp JOIN faulty r ON dp.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = dp.i - 1)
+), best AS (
+  SELECT conv_id, f0 FROM dp WHERE i = 1
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(f0.c, 0) AS BIGINT) AS cost,
+  coalesce(f0.s, '') AS audit, sha256(coalesce(array_to_string(f0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
 """,
 }

@@ -9,14 +9,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damaged_and_repaired
 from .decontaminate import contamination, proximity_matches
 from .frames import table
+from .hard_negatives import hard_negatives
 from .host_rules import host_quality
 from .importance import importance_resample
 from .language import fit_language_filters, identify_languages
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .oracles import ORACLE_SQL
+from .simhash import simhash_duplicates
 from .substring_dedup import repeated_spans
 from .tokens import token_counts
 from .toxicity import fit_toxicity, score_toxicity
@@ -79,10 +82,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_near_duplicates, op3_importance, op4_toxicity, op5_token_counts, op6_host_quality, op7_warc, op8_language, op9_mix_sources, op10_decontaminate, benchmark_proximity)} | {"pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_near_duplicates, op3_importance, op4_toxicity, op5_token_counts, op6_host_quality, op7_warc, op8_language, op9_mix_sources, op10_decontaminate, op11_conversations, op12_simhash, op13_hard_negatives, benchmark_proximity)} | {"pipeline": corpus_pipeline.run}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
