@@ -1,3 +1,5 @@
+import hashlib
+import io
 import json
 import math
 import os
@@ -279,7 +281,7 @@ def test_tar_round_trip(spark, tmp_path):
     wav = F.udf(lambda x: tar.wav_bytes(x), "binary")
     out = str(tmp_path / "shards")
     tar.write_shards(df.withColumn("wav", wav("samples")), shards.plan_shards(df, "length_sorted", 5), out, "part")
-    names = sorted(f for f in os.listdir(out))
+    names = sorted(f for f in os.listdir(out) if not f.startswith("."))
     assert names == ["part.000000.tar", "part.000001.tar", "part.000002.partial.tar"]
     with tarfile.open(f"{out}/{names[0]}") as t:
         assert sorted(m.name.split("/")[0] for m in t) == sorted([str(i) for i in range(5)] * 2)
@@ -291,6 +293,62 @@ def test_tar_round_trip(spark, tmp_path):
     assert tables.shard_files(spark, out).count() == 2
     with pytest.raises(ValueError):
         tables.shard_files(spark, out, pattern="*.zip")
+    with pytest.raises(Exception, match="no shard matches"):
+        tar.read_shards(spark, out, pattern="*.zip").count()
+    tar.write_shards(df.withColumn("wav", wav("samples")), shards.plan_shards(df, "random", 5), str(tmp_path / "packed"), "part", compress=True)
+    packed = tar.read_shards(spark, str(tmp_path / "packed"), allow_partial=True)
+    assert packed.count() == 12 and packed.where(F.col("shard").endswith(".tar.gz")).count() == 12
+
+
+class Counted(io.BytesIO):
+    """A file that counts the bytes that are read from it."""
+
+    read_bytes = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.read_bytes += len(out)
+        return out
+
+
+def test_filtered_members_are_not_read(spark, tmp_path):
+    big = bytes(300_000)
+    content = b"".join(tar.member_bytes(f"{i}/ls/{i % 3}/r/{i}.{end}", big if end == "wav" else b"{}") for i in range(30) for end in ("wav", "json"))
+    whole, some = Counted(content + bytes(1024)), Counted(content + bytes(1024))
+    assert len(list(tar.pairs(whole, tar.Wanted()))) == 30 and whole.read_bytes > 30 * len(big)
+    assert [s for s, _, _ in tar.pairs(some, tar.Wanted(speakers=frozenset(["ls/1"])))] == [f"{i}/ls/1/r/{i}" for i in range(1, 30, 3)]
+    assert some.read_bytes < 10 * len(big) + 100_000
+    assert len(list(tar.pairs(none := Counted(content), tar.Wanted(), audio=False))) == 30 and none.read_bytes < 100_000
+    batches = list(tar.batches_of(io.BytesIO(content + bytes(1024)), "s", tar.Wanted(), True))
+    assert len(batches) > 1 and max(b.nbytes for b in batches) < tar.BATCH_BYTES + 2 * len(big)
+    with pytest.raises(ValueError, match="no key"):
+        list(tar.pairs(io.BytesIO(tar.member_bytes("0/x.wav", b"") + bytes(1024)), tar.Wanted(speakers=frozenset(["ls/1"]))))
+    with pytest.raises(ValueError, match="without partner"):
+        list(tar.pairs(io.BytesIO(tar.member_bytes("0/ls/1/r/1.wav", b"") + bytes(1024)), tar.Wanted()))
+    (tmp_path / "a.tar").write_bytes(content + bytes(1024))
+    scan = tar.scan_shards(spark, str(tmp_path)).where(F.col("speaker").isin("ls/1", "ls/2") & (F.col("speaker") != "ls/2") & (F.length("wav") > 0))
+    assert scan.count() == 10 and scan.where("key = 'ls/1/r/4'").count() == 1
+    # what is pushed is no filter of the plan any more
+    plan = tar.scan_shards(spark, str(tmp_path)).where(F.col("speaker").isin("ls/1", "ls/2"))._jdf.queryExecution().executedPlan().toString()
+    assert "IN (ls/1" not in plan.split("PushedFilters")[0]
+
+
+def test_shards_on_a_file_system_of_spark_alone(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shards.link./out", f"file://{tmp_path}/store")
+    path = "viewfs://shards/out/a"
+    df = samples(spark, 12).withColumn("wav", F.encode("key", "UTF-8"))
+    plan = shards.plan_shards(df, "random", 5)
+    for _ in range(2):  # shards of one name are replaced
+        tar.write_shards(df, plan, path, "x")
+        back = tar.read_shards(spark, path, allow_partial=True)
+        assert sorted((r.key, bytes(r.wav).decode()) for r in back.collect()) == sorted((r.key, r.key) for r in df.collect())
+    order = [r.key for r in tar.read_shards(spark, path).where(F.col("shard").contains("000000")).collect()]
+    assert order == sorted((r.key for r in plan.where("shard_idx = 0").collect()), key=lambda k: (hashlib.md5(f"{k}|1337".encode()).hexdigest(), k))
+    broken = df.withColumn("wav", F.when(F.col("num_frames") > 150, F.raise_error(F.lit("no audio")).cast("binary")).otherwise(F.col("wav")))
+    with pytest.raises(Exception, match="no audio"):
+        tar.write_shards(broken, plan, "viewfs://shards/out/b", "x")
+    assert not [f for _, _, names in os.walk(tmp_path / "store/b") for f in names]
 
 
 def test_documents(spark):

@@ -109,9 +109,8 @@ def shard_samples(spark, sf_dir):
 
 @query
 def shard_samples_of_speakers(spark, sf_dir):
-    s = tar.read_shards(spark, _shard_path(spark, sf_dir))
-    men = derived.utterances(spark, sf_dir).where("gender = 'm'").select("speaker_id")
-    return tar.of_speakers(s, men).select("key", "gender")
+    men = [r[0] for r in derived.utterances(spark, sf_dir).where("gender = 'm'").select("speaker_id").distinct().collect()]
+    return tar.read_shards(spark, _shard_path(spark, sf_dir), speakers=men).select("key", "gender")
 
 
 @query

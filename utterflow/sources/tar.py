@@ -1,28 +1,41 @@
 """Tar shards of ``<i>/<key>.wav`` and ``<i>/<key>.json``: a Spark data source and sink.
 
-Reading lets Spark's own file reader fetch the shards, a task per file, and unpacks them
-in bounded batches; audio bytes are decoded only if samples are asked for. Writing
-streams the rows of a shard into one file through a DataSource writer, which names a file
-only when the job commits.
+Reading is a data source with a partition per shard. A task streams the members of its
+shard from the file system in batches of bounded size; filters on key and speaker are
+pushed into it, and it passes over the bytes of members that they leave out. So memory
+follows the largest sample, never the shard.
+
+Writing turns the samples of a shard into stretches of the tar format and places them with
+Spark's text writer, so its commit protocol holds on every file system that Spark has:
+attempts that fail leave nothing, and shards get their names when the job has ended. The
+writer's line separator is a global header without entries, which readers of tar ignore.
 """
 
 from __future__ import annotations
 
 import io
-import os
+import json
+import re
 import tarfile
+import uuid
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from ..functions.keys import find_key, speaker_of
-from ..schemas import SAMPLE_RATE, SHARD_META
+from ..functions.keys import speaker_of
+from ..schemas import DATASETS, SAMPLE_RATE, SHARD_META
+from .storage import Storage, matching, opened, opens
 
-ROWS_PER_BATCH = 256
+#: A batch ends at so many samples or bytes; a stretch of a shard that is written has about as many bytes.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+BLOCK = tarfile.BLOCKSIZE
+
+_KEYS = [re.compile(rf"({d}/\w+/\w+/\w+)", re.ASCII) for d in DATASETS]
 
 
 def wav_bytes(samples: Iterable[float], rate: int = SAMPLE_RATE) -> bytes:
@@ -43,18 +56,47 @@ def wav_samples(data: bytes) -> np.ndarray:
     raise ValueError("no data chunk")
 
 
-def members(data: bytes, speakers: frozenset[str] | None = None) -> Iterator[tuple[str, bytes, str]]:
-    """(stem, wav, json) of a shard's pairs; members of other speakers are skipped unread."""
-    pending: dict[str, dict[str, bytes]] = {}
-    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+# --- reading
+
+def key_of(stem: str) -> str | None:
+    """The first key in a member's name, corpora tried in order."""
+    return next((m[1] for m in (k.search(stem) for k in _KEYS) if m), None)
+
+
+class Wanted:
+    """Keys and speakers that filters ask for; None asks for all."""
+
+    def __init__(self, keys: frozenset[str] | None = None, speakers: frozenset[str] | None = None):
+        self.keys, self.speakers = keys, speakers
+
+    def narrowed(self, column: str, values: frozenset[str]) -> Wanted:
+        both = lambda old: values if old is None else old & values
+        return Wanted(both(self.keys), self.speakers) if column == "key" else Wanted(self.keys, both(self.speakers))
+
+    def has(self, stem: str) -> bool:
+        """Whether to read a member. A speaker can be told by a key alone, so a name without one is an error then."""
+        if self.keys is None and self.speakers is None:
+            return True
+        key = key_of(stem)
+        if key is None and self.speakers is not None:
+            raise ValueError(f"no key in the member name {stem}")
+        key = key or re.sub(r"^\d+/", "", stem)
+        return (self.keys is None or key in self.keys) and (self.speakers is None or "/".join(key.split("/")[:2]) in self.speakers)
+
+
+def pairs(file: BinaryIO, wanted: Wanted, audio: bool = True) -> Iterator[tuple[str, bytes | None, str]]:
+    """(stem, wav, json) of a shard's samples, in order; the bytes of other members are passed over, and of all wavs unless ``audio``."""
+    pending: dict[str, dict[str, bytes | None]] = {}
+    compressed = file.read(2) == b"\x1f\x8b"
+    file.seek(0)
+    with tarfile.open(fileobj=file, mode="r|gz" if compressed else "r:") as tar:
         for m in tar:
+            tar.members = []  # else it keeps all headers
             stem, dot, end = m.name.rpartition(".")
-            if not m.isfile() or not dot or end not in ("wav", "json"):
-                continue
-            if speakers is not None and "/".join(stem.split("/")[-4:-2]) not in speakers:
+            if not m.isfile() or not dot or end not in ("wav", "json") or not wanted.has(stem):
                 continue
             pair = pending.setdefault(stem, {})
-            pair[end] = tar.extractfile(m).read()
+            pair[end] = tar.extractfile(m).read() if audio or end == "json" else None
             if len(pair) == 2:
                 pending.pop(stem)
                 yield stem, pair["wav"], pair["json"].decode()
@@ -62,121 +104,189 @@ def members(data: bytes, speakers: frozenset[str] | None = None) -> Iterator[tup
         raise ValueError(f"members without partner: {sorted(pending)[:3]}")
 
 
-def read_shards(
-    spark: SparkSession, *paths: str, pattern: str = "*.tar*", allow_partial: bool = False, speakers: Iterable[str] | None = None, decode: bool = False,
-) -> DataFrame:
-    """``key, shard, wav`` and the metadata of every sample; ``samples`` too with ``decode``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(paths)).select("path", "content")
-    if not allow_partial:
-        files = files.where(~F.col("path").contains(".partial"))
-    wanted = None if speakers is None else frozenset(speakers)
+def batches_of(file: BinaryIO, shard: str, wanted: Wanted, audio: bool) -> Iterator[pa.RecordBatch]:
+    """The samples of a shard as batches of bounded size."""
+    rows, size = [], 0
+    for stem, wav, meta in pairs(file, wanted, audio):
+        key = key_of(stem) or re.sub(r"^\d+/", "", stem)
+        rows.append((key, "/".join(key.split("/")[:2]), shard, wav, meta))
+        size += len(wav or b"") + len(meta)
+        if len(rows) == BATCH_ROWS or size >= BATCH_BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows: list[tuple] = []
-                for stem, wav, meta in members(content.as_py(), wanted):
-                    rows.append((stem, path, wav, meta, wav_samples(wav) if decode else None))
-                    if len(rows) == ROWS_PER_BATCH:
-                        yield to_batch(rows)
-                        rows = []
-                if rows:
-                    yield to_batch(rows)
-
-    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.string(), pa.list_(pa.float32()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["stem", "shard", "wav", "meta", "samples"])
-
-    raw = files.mapInArrow(run, "stem string, shard string, wav binary, meta string, samples array<float>")
-    key = F.coalesce(find_key(F.col("stem")), F.regexp_replace("stem", r"^\d+/", ""))
-    out = raw.select(key.alias("key"), "shard", "wav", F.from_json("meta", SHARD_META).alias("m"), "samples").select("key", "shard", "wav", "m.*", "samples")
-    return out if decode else out.drop("samples")
-
-
-class TarWriter(DataSourceWriter):
-    """Writes a task's rows (shard, member, wav, meta), sorted by shard, into one tar per shard."""
-
-    def __init__(self, path: str, compress: bool):
-        self.path, self.compress = path, compress
-
-    def write(self, rows) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        os.makedirs(self.path, exist_ok=True)
-        attempt, done, name, tar, whole = TaskContext.get().taskAttemptId(), [], None, None, False
-        try:
-            for row in rows:
-                if row["shard"] != name:
-                    if tar:
-                        tar.close()
-                    name = row["shard"]
-                    temporary = os.path.join(self.path, f".{name}.{attempt}")
-                    done.append((temporary, os.path.join(self.path, name)))
-                    tar = tarfile.open(temporary, "w:gz" if self.compress else "w")
-                for end, content in (("wav", bytes(row["wav"])), ("json", row["meta"].encode())):
-                    info = tarfile.TarInfo(f"{row['member']}.{end}")
-                    info.size = len(content)
-                    tar.addfile(info, io.BytesIO(content))
-            whole = True
-        finally:
-            if tar:
-                tar.close()
-            if not whole:  # a failed attempt leaves nothing behind
-                for temporary, _ in done:
-                    if os.path.exists(temporary):
-                        os.remove(temporary)
-        return _Files(done)
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            for temporary, final in m.files if m else ():
-                os.replace(temporary, final)
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            for temporary, _ in m.files if m else ():
-                if os.path.exists(temporary):
-                    os.remove(temporary)
-
-
-class _Files(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], ["key", "speaker", "shard", "wav", "meta"])
+
+
+class ShardPartition(InputPartition):
+    """One shard."""
+
+
+class ShardReader(DataSourceReader):
+    """A partition per shard, and the filters on key and speaker that it takes over."""
+
+    def __init__(self, options: dict[str, str]):
+        self.paths = json.loads(options["paths"])
+        self.pattern = options.get("pattern", "*.tar*")
+        self.partial = options.get("allow_partial", "false").lower() == "true"
+        self.audio = options.get("audio", "true").lower() == "true"
+        self.wanted = Wanted()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute in (("key",), ("speaker",)):
+                values = f.value if isinstance(f, In) else (f.value,)
+                self.wanted = self.wanted.narrowed(f.attribute[0], frozenset(values))
+            else:
+                yield f
+
+    def partitions(self) -> list[ShardPartition]:
+        found = dict(f for path in self.paths for f in matching(path, self.pattern))
+        shards = sorted(path for path in found if self.partial or ".partial" not in path.rsplit("/", 1)[-1])
+        if not shards:
+            raise ValueError(f"no shard matches {self.pattern} under {self.paths}")
+        return [ShardPartition(path) for path in shards]
+
+    def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
+        with opened(partition.value) as file:
+            yield from batches_of(file, partition.value, self.wanted, self.audio)
 
 
 class TarShards(DataSource):
-    """``df.write.format("tar_shards")``: columns shard, member, wav, meta. The path must be one that all executors mount."""
+    """``spark.read.format("tar_shards")``: options paths (a JSON list), pattern, allow_partial, audio."""
 
     @classmethod
     def name(cls) -> str:
         return "tar_shards"
 
     def schema(self) -> str:
-        return "shard string, member string, wav binary, meta string"
+        return "key string, speaker string, shard string, wav binary, meta string"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return TarWriter(self.options["path"].removeprefix("file://"), self.options.get("compress", "false").lower() == "true")
+    def reader(self, schema) -> DataSourceReader:
+        return ShardReader(self.options)
 
 
-def write_shards(df: DataFrame, plan: DataFrame, path: str, prefix: str, compress: bool = False, seed: int = 1337) -> None:
-    """One tar per shard of ``plan``, its samples (key, wav, metadata) in a seeded order, as ``{prefix}.{idx:06d}[.partial].tar``."""
-    from pyspark.sql import Window
+def scan_shards(spark: SparkSession, *paths: str, pattern: str = "*.tar*", allow_partial: bool = False, audio: bool = True) -> DataFrame:
+    """``key, speaker, shard, wav, meta`` of every sample; equality and IN on key and speaker are pushed into the scan."""
+    if all(opens(p) for p in paths):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(TarShards)
+        options = {"paths": json.dumps(list(paths)), "pattern": pattern, "allow_partial": str(allow_partial), "audio": str(audio)}
+        return spark.read.format("tar_shards").options(**options).load()
+    # a file system that only Spark opens: its reader gives a shard as one value, of at most 2 GB
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(paths)).select("path", "content")
+    files = files if allow_partial else files.where(~F.col("path").contains(".partial"))
 
-    spark = df.sparkSession
-    spark.dataSource.register(TarShards)
-    order = Window.partitionBy("shard_idx").orderBy(F.md5(F.concat_ws("|", "key", F.lit(str(seed)))), "key")
-    size = F.count(F.lit(1)).over(Window.partitionBy("shard_idx"))
-    ranked = df.join(plan, "key").withColumn("_i", F.row_number().over(order) - 1).withColumn("_digits", F.length((size - 1).cast("string")))
-    name = F.concat(F.lit(f"{prefix}."), F.lpad(F.col("shard_idx").cast("string"), 6, "0"), F.when(F.col("partial_shard"), ".partial").otherwise(""), F.lit(".tar.gz" if compress else ".tar"))
-    meta = F.to_json(F.struct("num_frames", "sample_rate", "gender", "transcription", "speaker_id", F.col("key").alias("sample_id"), "language_tag"))
-    number = F.col("_i").cast("string")
-    member = F.concat(F.when(F.length(number) < F.col("_digits"), F.expr("lpad(string(_i), _digits, '0')")).otherwise(number), F.lit("/"), F.col("key"))
-    rows = ranked.select(name.alias("shard"), member.alias("member"), "wav", meta.alias("meta"), "_i").repartition("shard").sortWithinPartitions("shard", "_i").drop("_i")
-    rows.write.format("tar_shards").option("path", path).option("compress", str(compress)).mode("append").save()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from batches_of(io.BytesIO(content.as_buffer()), path, Wanted(), audio)
+
+    return files.mapInArrow(run, TarShards({}).schema())
+
+
+def read_shards(
+    spark: SparkSession, *paths: str, pattern: str = "*.tar*", allow_partial: bool = False, speakers: Iterable[str] | None = None, decode: bool = False,
+) -> DataFrame:
+    """``key, shard, wav`` and the metadata of every sample; ``samples`` too with ``decode``. With ``speakers``, other members are not read."""
+    raw = scan_shards(spark, *paths, pattern=pattern, allow_partial=allow_partial)
+    if speakers is not None:
+        raw = raw.where(F.col("speaker").isin(*speakers))
+    out = raw.select("key", "shard", "wav", F.from_json("meta", SHARD_META).alias("m")).select("key", "shard", "wav", "m.*")
+    if not decode:
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = pa.array([None if w is None else wav_samples(w) for w in batch.column("wav").to_pylist()], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, samples], [*batch.schema.names, "samples"])
+
+    return out.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema), "samples array<float>"]))
 
 
 def of_speakers(df: DataFrame, speakers: DataFrame) -> DataFrame:
-    """Samples whose key's speaker is listed."""
+    """Samples whose key's speaker is in a table, of any size; a list is better given to ``read_shards``."""
     return df.join(speakers.select(F.col("speaker_id").alias("_s")).distinct(), speaker_of(F.col("key")) == F.col("_s"), "left_semi")
 
 
+# --- writing
+
+def _filler() -> bytes:
+    """A global header without entries: one block that readers pass over."""
+    info = tarfile.TarInfo("filler")
+    info.type = tarfile.XGLTYPE
+    return info.tobuf(tarfile.USTAR_FORMAT, "ascii", "strict")
+
+
+def member_bytes(name: str, content: bytes) -> bytes:
+    """Header and content of a member, in whole blocks."""
+    info = tarfile.TarInfo(name)
+    info.size = len(content)
+    return info.tobuf(tarfile.PAX_FORMAT, "utf-8", "surrogateescape") + content + bytes(-len(content) % BLOCK)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shard_idx, partial_shard, number, bytes`` of (shard_idx, partial_shard, member, wav, meta), sorted by shard and place."""
+    shard, number, parts, size = None, 0, [], 0
+
+    def out() -> pa.RecordBatch:
+        values = [pa.array([shard[0]], pa.int64()), pa.array([shard[1]]), pa.array([number], pa.int64()), pa.array([b"".join(parts)], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, ["shard_idx", "partial_shard", "number", "bytes"])
+
+    for batch in batches:
+        for idx, partial, member, wav, meta in zip(*(c.to_pylist() for c in batch.columns)):
+            if (idx, partial) != shard:
+                if shard is not None:
+                    parts.append(bytes(2 * BLOCK))  # the end of an archive
+                    yield out()
+                shard, number, parts, size = (idx, partial), 0, [], 0
+            elif size >= BATCH_BYTES:
+                yield out()
+                number, parts, size = number + 1, [], 0
+            parts += [member_bytes(f"{member}.wav", wav or b""), member_bytes(f"{member}.json", meta.encode())]
+            size += len(parts[-1]) + len(parts[-2])
+    if shard is not None:
+        parts.append(bytes(2 * BLOCK))
+        yield out()
+
+
+def write_shards(df: DataFrame, plan: DataFrame, path: str, prefix: str, compress: bool = False, seed: int = 1337) -> None:
+    """One tar per shard of ``plan``, its samples (key, wav, metadata) in a seeded order, as ``{prefix}.{idx:06d}[.partial].tar``.
+
+    Shards that are there already under the same name are replaced, one after the other, once
+    all have been written; until then readers see none of them, and if the job fails, nothing stays.
+    """
+    spark = df.sparkSession
+    order = Window.partitionBy("shard_idx").orderBy(F.md5(F.concat_ws("|", "key", F.lit(str(seed)))), "key")
+    size = F.count(F.lit(1)).over(Window.partitionBy("shard_idx"))
+    names = df.select("key").join(plan, "key").withColumn("_i", F.row_number().over(order) - 1).withColumn("_digits", F.length((size - 1).cast("string")))
+    meta = F.to_json(F.struct("num_frames", "sample_rate", "gender", "transcription", "speaker_id", F.col("key").alias("sample_id"), "language_tag"))
+    member = F.concat(F.expr("lpad(string(_i), _digits, '0')"), F.lit("/"), F.col("key"))
+    rows = df.join(names, "key").select("shard_idx", "partial_shard", member.alias("member"), "wav", meta.alias("meta"), "_i")
+    dealt = rows.repartition("shard_idx").sortWithinPartitions("shard_idx", "_i").drop("_i")
+    stretches = dealt.mapInArrow(_stretches, "shard_idx long, partial_shard boolean, number long, bytes binary")
+    placed = stretches.sortWithinPartitions("shard_idx", "partial_shard", "number").select("shard_idx", "partial_shard", F.col("bytes").cast("string").alias("value"))
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    storage = Storage(spark, path)
+    try:
+        writer = placed.write.partitionBy("shard_idx", "partial_shard").option("lineSep", _filler().decode("ascii"))
+        (writer.option("compression", "gzip") if compress else writer).text(staging)
+        found: dict[str, str] = {}
+        for file in storage.files(staging):
+            if m := re.search(r"/shard_idx=(\d+)/partial_shard=(\w+)/part-[^/]*$", file):
+                name = f"{prefix}.{int(m[1]):06d}{'.partial' if m[2] == 'true' else ''}.tar{'.gz' if compress else ''}"
+                if name in found:
+                    raise ValueError(f"shard {name} has several parts")
+                found[name] = file
+        for name, file in found.items():
+            storage.move(file, f"{path.rstrip('/')}/{name}")
+    finally:
+        storage.remove(staging)
+
+
+__all__ = ["TarShards", "member_bytes", "of_speakers", "pairs", "read_shards", "scan_shards", "wav_bytes", "wav_samples", "write_shards"]
