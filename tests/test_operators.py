@@ -351,11 +351,23 @@ def test_shards_on_a_file_system_of_spark_alone(spark, tmp_path):
     assert not [f for _, _, names in os.walk(tmp_path / "store/b") for f in names]
 
 
-def test_documents(spark):
+def test_documents(spark, tmp_path):
+    def written(pieces, name):
+        tables.write_document(pieces, str(tmp_path / name))
+        return json.loads((tmp_path / name).read_text())
+
     df = samples(spark, 6)
-    doc = json.loads(vocab.vocabulary_json(vocab.char_vocab(df)).first().value)
+    doc = written(vocab.vocabulary_document(vocab.char_vocab(df)), "vocab.json")
     assert doc["characters"][:5] == ["<blank>", "<s>", "</s>", "<unk>", "|"] and doc["char_to_idx"]["d"] == doc["characters"].index("d") and doc["idx_to_char"]["5"] == doc["characters"][5]
-    assert json.loads(vocab.speaker_map_json(vocab.speaker_map(df)).first().value)["gender"]["ls/1"] == "f"
+    assert doc["char_to_idx"] == {c: i for i, c in enumerate(doc["characters"])} and doc["idx_to_char"] == {str(i): c for i, c in enumerate(doc["characters"])}
+    doc = written(vocab.speaker_map_document(vocab.speaker_map(df)), "speakers.json")
+    assert doc == {"speakers": ["ls/0", "ls/1", "ls/2"], "speaker_to_idx": {"ls/0": 0, "ls/1": 1, "ls/2": 2}, "idx_to_speaker": {"0": "ls/0", "1": "ls/1", "2": "ls/2"}, "gender": {"ls/0": "m", "ls/1": "f", "ls/2": "m"}}
+    odd = spark.createDataFrame([('ls/"\\\n', None), ("ls/é", "f")], "speaker_id string, gender string")
+    doc = written(vocab.speaker_map_document(vocab.speaker_map(odd)), "odd.json")
+    assert doc["speakers"] == ['ls/"\\\n', "ls/é"] and doc["gender"] == {"ls/é": "f"}
+    assert written(vocab.speaker_map_document(vocab.speaker_map(odd.limit(0))), "none.json") == {"speakers": [], "speaker_to_idx": {}, "idx_to_speaker": {}, "gender": {}}
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["none.json", "odd.json", "speakers.json", "vocab.json"]
+    assert json.loads(vocab.speaker_map_json(vocab.speaker_map(df)).orderBy("value").first().value) == {"idx": 0, "speaker_id": "ls/0", "gender": "m"}
     assert sum(json.loads(vocab.distribution_json(vocab.char_distribution(df)).first().value).values()) == pytest.approx(1)
 
 

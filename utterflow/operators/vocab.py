@@ -9,6 +9,7 @@ from ..functions.keys import speaker_number
 from ..functions.text import encode
 from ..materialize import saved
 from ..schemas import BLANK, SPECIAL_TOKENS
+from .documents import Section, document
 from .ordering import prefix
 
 
@@ -69,15 +70,19 @@ def class_prior(vocab: DataFrame, distribution: DataFrame, blank_value: float |
     return joined.agg(F.transform(ordered, lambda s: s["freq"]).alias("prior")), missing
 
 
-def vocabulary_json(vocab: DataFrame) -> DataFrame:
-    """One row ``value``: characters, char_to_idx and idx_to_char as a JSON document."""
-    rows = F.array_sort(F.collect_list(F.struct("idx", "char")))
-    one = vocab.agg(rows.alias("r"))
-    return one.select(F.to_json(F.struct(
-        F.transform("r", lambda s: s["char"]).alias("characters"),
-        F.map_from_entries(F.transform("r", lambda s: F.struct(s["char"], s["idx"]))).alias("char_to_idx"),
-        F.map_from_entries(F.transform("r", lambda s: F.struct(s["idx"].cast("string"), s["char"]))).alias("idx_to_char"),
-    )).alias("value"))
+def vocabulary_document(vocab: DataFrame) -> DataFrame:
+    """Pieces of the document with characters, char_to_idx and idx_to_char."""
+    char, idx = F.col("char"), F.col("idx")
+    return document([Section("characters", vocab, "idx", char), Section("char_to_idx", vocab, "idx", idx, key=char), Section("idx_to_char", vocab, "idx", char, key=idx)])
+
+
+def speaker_map_document(speakers: DataFrame) -> DataFrame:
+    """Pieces of the document with speakers, speaker_to_idx, idx_to_speaker and gender, which leaves out speakers without one."""
+    speaker, idx, known = F.col("speaker_id"), F.col("idx"), speakers.where(F.col("gender").isNotNull())
+    return document([
+        Section("speakers", speakers, "idx", speaker), Section("speaker_to_idx", speakers, "idx", idx, key=speaker),
+        Section("idx_to_speaker", speakers, "idx", speaker, key=idx), Section("gender", known, "idx", F.col("gender"), key=speaker),
+    ])
 
 
 def speaker_map_json(speakers: DataFrame) -> DataFrame:

@@ -216,7 +216,14 @@ def label_encoding(spark, sf_dir):
 
 @query
 def vocabulary_json(spark, sf_dir):
-    return vocab.vocabulary_json(vocab.char_vocab(derived.utterances(spark, sf_dir))).select(F.get_json_object("value", "$.characters").alias("characters"))
+    return vocab.vocabulary_document(saved(vocab.char_vocab(derived.utterances(spark, sf_dir))))
+
+
+@query
+def speaker_map_document(spark, sf_dir):
+    u = derived.utterances(spark, sf_dir)
+    known = u.withColumn("gender", F.when(F.substring("speaker_id", 4, 10).cast("int") % 3 > 0, F.col("gender")))
+    return vocab.speaker_map_document(saved(vocab.speaker_map(known)))
 
 
 @query

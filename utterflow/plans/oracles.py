@@ -110,6 +110,20 @@ flag AS (SELECT g, before < {ratio} * (SELECT count(*) FROM {source}) AS is_spli
 _SPECIALS = "sp AS (SELECT * FROM (VALUES (0, '<blank>'), (1, '<s>'), (2, '</s>'), (3, '<unk>'), (4, '|')) v(idx, char))"
 _CHARS = "ch AS (SELECT unnest(string_split(transcription, '')) AS char FROM utt WHERE transcription <> '')"
 _VOCAB = "voc AS (SELECT idx, char FROM sp UNION ALL SELECT 4 + row_number() OVER (ORDER BY char), char FROM (SELECT DISTINCT char FROM ch WHERE char <> ' '))"
+
+
+def _pieces(**sections: str) -> str:
+    """The pieces of a document whose sections have the rows (idx, v, k)."""
+    parts, marks = [], []
+    for n, (name, rows) in enumerate(sections.items()):
+        opening, closing = ("[", "]") if "NULL AS k" in rows else ("{", "}")
+        entry = "to_json(v)" if opening == "[" else "to_json(CAST(k AS VARCHAR)) || ': ' || to_json(v)"
+        parts.append(f"SELECT {n} AS section, CAST(idx AS BIGINT) AS idx, CASE WHEN idx = min(idx) OVER () THEN '' ELSE ',' END || {entry} AS value FROM ({rows})")
+        last = "}" if n == len(sections) - 1 else ""
+        marks += [f"({n}, -1, '{', ' if n else '{'}\"{name}\": {opening}')", f"({n}, 4611686018427387904, '{closing}{last}')"]
+    return f"piece AS ({' UNION ALL '.join(parts)} UNION ALL SELECT * FROM (VALUES {', '.join(marks)}) m(section, idx, value)) SELECT CAST(section AS INTEGER) AS section, CAST(idx AS BIGINT) AS idx, value FROM piece"
+
+
 _DIST = "dist AS (SELECT char, count(*) / (SELECT count(*) FROM ch) AS freq FROM (SELECT CASE WHEN char = ' ' THEN '|' ELSE char END AS char FROM ch) GROUP BY char UNION ALL SELECT char, 0.0 FROM sp WHERE idx < 4)"
 _SPEAKERS = "row_number() OVER (ORDER BY CAST(regexp_extract(speaker_id, '/(?:id)?(\\d+)$', 1) AS BIGINT), speaker_id) - 1"
 
@@ -175,7 +189,10 @@ SELECT 'samples' AS statistic, CAST(a AS VARCHAR) AS value FROM r UNION ALL SELE
     "class_prior": f"""WITH {UTT}, {_SPECIALS}, {_CHARS}, {_VOCAB}, {_DIST} SELECT CAST(idx AS INTEGER) AS idx, CASE WHEN idx = 0 THEN 0.25 ELSE round(freq, 6) END AS freq FROM voc JOIN dist USING (char)""",
     "speaker_map": f"WITH {UTT} SELECT {_SPEAKERS} AS idx, speaker_id, min(gender) AS gender, count(DISTINCT gender) AS n_genders FROM utt GROUP BY speaker_id",
     "label_encoding": f"WITH {UTT}, m AS (SELECT speaker_id, {_SPEAKERS} AS label FROM utt WHERE gender = 'm' GROUP BY speaker_id) SELECT key, speaker_id, label FROM utt JOIN m USING (speaker_id)",
-    "vocabulary_json": f"WITH {UTT}, {_SPECIALS}, {_CHARS}, {_VOCAB} SELECT to_json(list(char ORDER BY idx)) AS characters FROM voc",
+    "vocabulary_json": f"WITH {UTT}, {_SPECIALS}, {_CHARS}, {_VOCAB}, {_pieces(characters='SELECT idx, char AS v, NULL AS k FROM voc', char_to_idx='SELECT idx, idx AS v, char AS k FROM voc', idx_to_char='SELECT idx, char AS v, idx AS k FROM voc')}",
+    "speaker_map_document": f"""WITH {UTT}, spk AS (
+      SELECT {_SPEAKERS} AS idx, speaker_id, min(gender) FILTER (CAST(substr(speaker_id, 4) AS INTEGER) % 3 > 0) AS gender FROM utt GROUP BY speaker_id
+    ), {_pieces(speakers='SELECT idx, speaker_id AS v, NULL AS k FROM spk', speaker_to_idx='SELECT idx, idx AS v, speaker_id AS k FROM spk', idx_to_speaker='SELECT idx, speaker_id AS v, idx AS k FROM spk', gender='SELECT idx, gender AS v, speaker_id AS k FROM spk WHERE gender IS NOT NULL')}""",
     "encode_text": f"""WITH {UTT}, {_SPECIALS}, ch AS (SELECT unnest(string_split(transcription, '')) AS char FROM utt WHERE transcription <> '' AND language_tag = 'en'), {_VOCAB},
 p AS (SELECT key, unnest(string_split(transcription, '')) AS c, unnest(range(0, length(transcription))) AS i FROM utt WHERE transcription <> ''),
 e AS (SELECT key, string_agg(CAST(CASE WHEN c = ' ' THEN 4 ELSE coalesce(idx, 3) END AS VARCHAR), ' ' ORDER BY i) AS codes FROM p LEFT JOIN voc ON c = char GROUP BY key)

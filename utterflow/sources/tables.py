@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import padded_id
 from ..operators.trials import trial_line
 from ..schemas import MANIFEST, SHARD_PLAN, TRANSCRIPTS
+from .storage import Storage
 
 _TSV = {"sep": "\t", "quote": '"', "escape": "\\", "header": True}
 
@@ -52,9 +55,19 @@ def write_trials(trials: DataFrame, path: str) -> None:
     trials.select(trial_line(trials).alias("value")).write.text(path)
 
 
-def write_document(one_row: DataFrame, path: str) -> None:
-    """A one-row JSON document as a text file."""
-    one_row.coalesce(1).write.text(path)
+def write_document(pieces: DataFrame, path: str) -> None:
+    """One JSON file of the pieces (section, idx, value) of ``operators.documents``.
+
+    Sorting is distributed; one task then streams the sorted pieces, a line each, into the file,
+    which gets its name when it is whole.
+    """
+    staging = f"{path}._staging-{uuid.uuid4().hex}"
+    storage = Storage(pieces.sparkSession, path)
+    try:
+        pieces.orderBy("section", "idx").select("value").coalesce(1).write.text(staging)
+        storage.move(next(f for f in storage.files(staging) if f.rsplit("/", 1)[-1].startswith("part-")), path)
+    finally:
+        storage.remove(staging)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
