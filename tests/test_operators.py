@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import io
 import json
@@ -449,21 +450,37 @@ def test_telemetry(spark):
     assert telemetry.best_layer(spark.createDataFrame([(0.2, "a", 1), (0.1, "a", 2)], "eer double, weights string, layer int")).first() == ("a", 2, 0.1)
 
 
-def test_packed_stream(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "ck")
-    rows = [(i % 2, f"k{i:02d}", 10 + i) for i in range(30)]
-    schema = "shard_idx bigint, key string, num_frames bigint"
-    spark.createDataFrame(rows[:16], schema).coalesce(1).write.parquet(src)
-    spark.createDataFrame(rows[16:] + [(0, None, None), (1, None, None)], schema).coalesce(1).write.mode("append").parquet(src)
-    stream = streams.packed_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), 100, buffer=5)
-    q = stream.writeStream.format("memory").queryName("packs").option("checkpointLocation", out).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table("packs").collect()
-    assert sorted(r.key for r in got) == [k for _, k, _ in rows]
-    packs = {}
-    for r in got:
-        packs.setdefault((r.shard_idx, r.batch_id), []).append(r.num_frames)
-    assert all(len(p) * max(p) <= 100 for p in packs.values())
+def rows_of(spark, folders):
+    return [tuple(r) for r in spark.read.parquet(*folders).collect()] if folders else []
+
+
+def test_packed_stream_equals_the_batch_fold(spark, tmp_path):
+    schema = "shard_idx bigint, key string, num_frames bigint, arrival timestamp"
+    at = lambda s: datetime.datetime.fromtimestamp(1_600_000_000 + s)
+    rnd = random.Random(3)
+    rows = [(i % 2, f"k{i:03d}", rnd.randint(1, 120), at(i)) for i in range(90)] + [(i % 2, f"k{i:03d}", None, at(90)) for i in (90, 91)]
+    src = str(tmp_path / "in")
+    # shard 0 ends with a row of its own, shard 1 when the watermark has passed it
+    for part in (rows[:30], rows[30:60], rows[60:] + [(0, None, None, at(90))], [(7, "z", 1, at(100_000)), (7, None, None, at(100_000))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    for padded in (True, False):
+        stream = streams.packed_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), 100, buffer=5, padded=padded)
+        got = rows_of(spark, streams.settled(stream, "append", str(tmp_path / f"out{padded}"), str(tmp_path / f"ck{padded}")))
+        batch = batching.batch_max_tokens(spark.createDataFrame(rows, schema).where("num_frames is not null"), 100, buffer=5, padded=padded)
+        want = [(r.shard_idx, r.key, r.batch_id, r.place) for r in batch.collect()]
+        assert sorted(r for r in got if r[0] < 2) == sorted(want) and len(want) == sum(1 for r in rows if r[2] and r[2] <= 100)
+
+
+def test_arrivals_of_key(spark, tmp_path):
+    at = lambda m: datetime.datetime.fromtimestamp(1_600_000_000 + 60 * m)
+    src = str(tmp_path / "in")
+    for part in ([("a", at(0)), ("b", at(0)), ("b", at(1))], [("a", at(30)), ("c", at(30))], [("a", at(200)), (None, at(10_000))]):
+        spark.createDataFrame(part, "key string, t timestamp").coalesce(1).write.mode("append").parquet(src)
+    read = lambda: spark.readStream.schema("key string, t timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    got = rows_of(spark, streams.settled(streams.arrivals_of_key(read(), "t"), "append", str(tmp_path / "o"), str(tmp_path / "c")))
+    assert sorted((r[0], r[1], r[3], r[4]) for r in got) == [("a", at(0), 2, 1), ("a", at(200), 1, 0), ("b", at(0), 2, 1), ("c", at(30), 1, 0)]
+    first = rows_of(spark, streams.settled(streams.first_of_key(read(), "t").where("key is not null"), "append", str(tmp_path / "o2"), str(tmp_path / "c2")))
+    assert sorted(r[0] for r in first) == ["a", "b", "c"]  # the watermark has not passed a yet
 
 
 def test_enrich_stream(spark, tmp_path):
@@ -473,3 +490,6 @@ def test_enrich_stream(spark, tmp_path):
         spark.createDataFrame(rows, "key string, text string").write.mode("append").parquet(src)
         streams.enrich_stream(spark.readStream.schema("key string, text string").parquet(src), cache, compute, str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.key, r.text) for r in spark.read.parquet(cache).collect()) == [("a", "X"), ("b", "Y"), ("c", "W")]
+    # a query that starts over finds all keys
+    streams.enrich_stream(spark.readStream.schema("key string, text string").parquet(src), cache, compute, str(tmp_path / "ck2")).awaitTermination()
+    assert spark.read.parquet(cache).count() == 3

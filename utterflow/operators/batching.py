@@ -54,30 +54,55 @@ def batch_fixed(df: DataFrame, n: int, drop_last: bool = False, by: str = "shard
     return out
 
 
+class Heap:
+    """A buffer from which the least item leaves when it is full."""
+
+    def __init__(self, size: int, items: list | None = None):
+        self.size, self.items = size, items or []
+        heapq.heapify(self.items)
+
+    def push(self, item: tuple) -> tuple | None:
+        heapq.heappush(self.items, item)
+        return heapq.heappop(self.items) if len(self.items) == self.size else None
+
+    def rest(self) -> Iterator[tuple]:
+        while self.items:
+            yield heapq.heappop(self.items)
+
+
+class Packing:
+    """Counters of the open batch, which closes before it exceeds the budget."""
+
+    def __init__(self, budget: int, padded: bool, batch: int = 0, n: int = 0, total: int = 0, longest: int = 0):
+        self.budget, self.padded, self.batch, self.n, self.total, self.longest = budget, padded, batch, n, total, longest
+
+    def add(self, length: int) -> tuple[int, int]:
+        """Batch and place of the next sample."""
+        longest = max(self.longest, length)
+        cost = (self.n + 1) * longest if self.padded else self.total + length
+        if cost > self.budget:
+            self.batch, self.n, self.total, self.longest = self.batch + 1, 1, length, length
+        else:
+            self.n, self.total, self.longest = self.n + 1, cost, longest
+        return self.batch, self.n - 1
+
+
 def pack(lengths: list[int], budget: int, buffer: int, padded: bool) -> list[list[int]]:
     """Places of ``lengths`` in batches: the shortest of a buffer goes next, and a batch closes before it exceeds the budget."""
-    heap: list[tuple[int, int]] = []
-    batches: list[list[int]] = [[]]
-    total = longest = 0
-
-    def add(length: int, i: int) -> None:
-        nonlocal total, longest
-        longest = max(longest, length)
-        cost = (len(batches[-1]) + 1) * longest if padded else total + length
-        if cost > budget:
-            batches.append([i])
-            total = longest = length
-        else:
-            batches[-1].append(i)
-            total = cost
+    heap, packing, batches = Heap(buffer), Packing(budget, padded), []
+
+    def add(item: tuple[int, int]) -> None:
+        _, place = packing.add(item[0])
+        if not place:
+            batches.append([])
+        batches[-1].append(item[1])
 
     for i, length in enumerate(lengths):
-        heapq.heappush(heap, (length, i))
-        if len(heap) == buffer:
-            add(*heapq.heappop(heap))
-    while heap:
-        add(*heapq.heappop(heap))
-    return [b for b in batches if b]
+        if left := heap.push((length, i)):
+            add(left)
+    for item in heap.rest():
+        add(item)
+    return batches
 
 
 def batch_max_tokens(
@@ -150,13 +175,3 @@ def zip_cycle(a: DataFrame, b: DataFrame, steps: int, a_idx: str = "idx", b_idx:
     left = a.select(F.col(a_idx).alias("_a"), F.struct(*[c for c in a.columns if c != a_idx]).alias("a"))
     right = b.select(F.col(b_idx).alias("_b"), F.struct(*[c for c in b.columns if c != b_idx]).alias("b"))
     return at.join(left, "_a").join(right, "_b").select("step", "a", "b")
-
-
-def stream_packs(batches: Iterator[pd.DataFrame], budget: int, padded: bool) -> Iterator[pd.DataFrame]:
-    """Packs of frames (key, num_frames) with ``batch_id`` added, each frame packed on its own."""
-    for pdf in batches:
-        ids = [0] * len(pdf)
-        for b, places in enumerate(pack(pdf["num_frames"].tolist(), budget, max(1, len(pdf)), padded)):
-            for i in places:
-                ids[i] = b
-        yield pdf.assign(batch_id=ids)

@@ -13,7 +13,7 @@ from .documents import Section, document
 from .ordering import prefix
 
 
-def _characters(df: DataFrame) -> DataFrame:
+def characters(df: DataFrame) -> DataFrame:
     """``char, n``: the distinct characters of each transcript and how often it has them."""
     rows = df.select("transcription", F.explode(F.array_distinct(F.split("transcription", ""))).alias("char")).where(F.col("char") != "")
     return rows.select("char", (F.length("transcription") - F.length(F.replace("transcription", F.col("char"), F.lit("")))).alias("n"))
@@ -26,14 +26,14 @@ def _specials(df: DataFrame) -> DataFrame:
 
 def char_vocab(df: DataFrame) -> DataFrame:
     """``idx, char``: special tokens, then the distinct characters but the blank by code point."""
-    found = _characters(df).where("char <> ' '").select("char").distinct()
+    found = characters(df).where("char <> ' '").select("char").distinct()
     numbered = prefix(found, [F.col("char")]).select((F.col("idx") + len(SPECIAL_TOKENS)).alias("idx"), "char")
     return _specials(df).unionByName(numbered)
 
 
 def char_distribution(df: DataFrame) -> DataFrame:
     """``char, freq``: shares of all characters; the blank's share is the delimiter's, other special tokens have 0."""
-    counts = _characters(df).groupBy(F.when(F.col("char") == " ", "|").otherwise(F.col("char")).alias("char")).agg(F.sum("n").alias("n"))
+    counts = characters(df).groupBy(F.when(F.col("char") == " ", "|").otherwise(F.col("char")).alias("char")).agg(F.sum("n").alias("n"))
     counts = saved(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     absent = _specials(df).select("char", F.lit(0).cast("bigint").alias("n")).join(counts.select("char"), "char", "left_anti")

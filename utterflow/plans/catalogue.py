@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -510,14 +511,11 @@ def best_run(spark, sf_dir):
     return _rounded(telemetry.best_run(derived.telemetry(spark, sf_dir), "purchase"))
 
 
-def _streamed(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """The final table of a stream over all files that are there now."""
-    import uuid
-
-    name = f"t{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _settled(stream: DataFrame, mode: str) -> DataFrame:
+    """The result, from Parquet, of a stream over all files that are there now."""
+    spark = stream.sparkSession
+    folders = streams.settled(stream, mode, shared_dir(spark), shared_dir(spark))
+    return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
 
 
 def _arriving(spark, sf_dir):
@@ -526,22 +524,82 @@ def _arriving(spark, sf_dir):
     return streams.manifest_stream(spark, path)
 
 
+def _in_files(rows: DataFrame, part) -> str:
+    """The path of a folder with the rows of part 0, 1 and 2 in files that arrive in this order."""
+    path, rows = shared_dir(rows.sparkSession), saved(rows)
+    for k in range(3):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @query
 def stream_stats(spark, sf_dir):
-    return _streamed(spark, streams.running_stats(_arriving(spark, sf_dir)), "complete").drop("speakers")
+    s = _settled(streams.running_stats(_arriving(spark, sf_dir)), "complete")
+    return _rounded(s.drop("speakers", "speaker_sessions", *[c for c in s.columns if re.search(r"_q\d+$", c)]))
+
+
+@query
+def stream_sketches(spark, sf_dir):
+    """Whether the sketched figures of the running statistics lie within their bounds: 2 percent of the rows, 3 percent of the distinct values."""
+    u = saved(derived.utterances(spark, sf_dir))
+    path = shared_dir(spark)
+    u.write.parquet(path)
+    s = _settled(streams.running_stats(streams.manifest_stream(spark, path)), "complete")
+    exact = u.groupBy("language_tag").agg(F.count_distinct("speaker_id").alias("_speakers"), F.count_distinct("speaker_id", "recording_id").alias("_sessions"))
+    both = u.select("language_tag", "num_frames", F.length("transcription").alias("text")).join(s, "language_tag")
+    checks = {}
+    for q in streams.QUANTILES:
+        for column, name in (("num_frames", "frames"), ("text", "transcript")):
+            value = F.col(f"{name}_q{round(100 * q)}")
+            below, upto = F.avg((F.col(column) < value).cast("double")), F.avg((F.col(column) <= value).cast("double"))
+            checks[f"{name}_q{round(100 * q)}"] = (below <= q + 0.02) & (upto >= q - 0.02)
+    ranks = both.groupBy("language_tag").agg(*[c.alias(n) for n, c in checks.items()])
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b)
+    counts = s.join(exact, "language_tag").select("language_tag", near("speakers", "_speakers").alias("speakers"), near("speaker_sessions", "_sessions").alias("speaker_sessions"))
+    return counts.join(ranks, "language_tag")
 
 
 @query
 def stream_char_counts(spark, sf_dir):
-    return _streamed(spark, streams.running_characters(_arriving(spark, sf_dir)), "complete")
+    return _settled(streams.running_characters(_arriving(spark, sf_dir)), "complete")
 
 
 @query
 def stream_dedupe(spark, sf_dir):
-    path = shared_dir(spark)
-    u = derived.utterances(spark, sf_dir).select("key", "speaker_id")
-    u.unionByName(u.where("key like '%7'")).write.parquet(path)
-    return streams.first_of_key(streams.manifest_stream(spark, path, schema=u.schema)).groupBy("speaker_id").count().transform(lambda d: _streamed(spark, d, "complete"))
+    """Samples that arrive a second time after 20 minutes, or again after five hours, as a new session of their key."""
+    u = derived.utterances(spark, sf_dir).select("key", "speaker_id", F.regexp_extract("key", r"(\d+)$", 1).cast("long").alias("n"))
+    at = lambda minutes: F.timestamp_seconds(F.lit(1_600_000_000) + F.col("n") % 60 + 60 * minutes)
+    again = u.where("n % 10 = 7").withColumns({"arrival": at(20), "part": F.lit(1)}).unionByName(u.where("n % 20 = 3").withColumns({"arrival": at(300), "part": F.lit(2)}))
+    end = u.select(F.lit(None).cast("string").alias("key"), F.lit("").alias("speaker_id"), F.lit(0).cast("long").alias("n")).limit(1).withColumns({"arrival": at(10_000), "part": F.lit(2)})
+    rows = u.withColumns({"arrival": at(0), "part": F.lit(0)}).unionByName(again).unionByName(end)
+    stream = streams.manifest_stream(spark, _in_files(rows, F.col("part")), schema=rows.schema, files_per_trigger=1)
+    seen = _settled(streams.arrivals_of_key(stream, "arrival"), "append").where("key is not null")
+    return seen.groupBy(keys.speaker_of(F.col("key")).alias("speaker_id")).agg(F.count(F.lit(1)).alias("firsts"), F.count_distinct("key").alias("keys"), F.sum("duplicates").alias("duplicates"), F.sum(F.unix_timestamp("last_seen") - F.unix_timestamp("first_seen")).alias("seconds"))
+
+
+@query
+def stream_buckets(spark, sf_dir):
+    """Token batches of arriving samples; each shard ends with a row of its own."""
+    u = derived.utterances(spark, sf_dir)
+    plan = shards.plan_shards(u, "random", 256)
+    s = u.select("key", "num_frames").join(plan.select("key", "shard_idx"), "key").withColumns({"arrival": F.timestamp_seconds(F.lit(1_600_000_000)), "part": F.when(F.col("key") < "ls/3", 0).when(F.col("key") < "ls/6", 1).otherwise(2)})
+    ends = s.select("shard_idx").distinct().select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("num_frames"), "shard_idx", F.timestamp_seconds(F.lit(1_600_000_000)).alias("arrival"), F.lit(2).alias("part"))
+    rows = s.unionByName(ends)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = streams.manifest_stream(spark, _in_files(rows, F.col("part")), schema=rows.schema, files_per_trigger=1)
+    return _settled(streams.packed_stream(stream, 1_600_000, buffer=64, padded=True, max_len=400_000), "append")
+
+
+@query
+def stream_enrichment(spark, sf_dir):
+    """Enrichment that ran once over all files, and again from the start, which adds nothing."""
+    d = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    path = _in_files(d.unionByName(d.where("key % 5 = 0")), F.col("key") % 3)
+    cache = shared_dir(spark)
+    compute = lambda rows: rows.select("key", F.md5("text").alias("digest"))
+    for _ in range(2):
+        streams.enrich_stream(streams.manifest_stream(spark, path, schema=d.schema, files_per_trigger=1), cache, compute, shared_dir(spark)).awaitTermination()
+    return spark.read.schema("key long, digest string").parquet(cache).select("key", "digest")
 
 
 @query
@@ -549,7 +607,7 @@ def stream_windows(spark, sf_dir):
     path = shared_dir(spark)
     t = derived.telemetry(spark, sf_dir)
     t.write.parquet(path)
-    w = _streamed(spark, streams.windowed_means(streams.manifest_stream(spark, path, schema=t.schema), "ts", "1 day"), "complete")
+    w = _settled(streams.windowed_means(streams.manifest_stream(spark, path, schema=t.schema), "ts", "1 day"), "complete")
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "metric", F.round("mean", 6).alias("mean"), "n")
 
 

@@ -11,6 +11,7 @@ from ..functions.text import none_if_null, padded_id
 from ..materialize import saved, shared_dir
 from ..operators import asr, batching, calls, manifest, shards, splits, trials, vocab
 from ..sources import tables, tar
+from ..streaming import streams
 from . import derived, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +114,15 @@ def shard_samples_of_speakers(spark, sf_dir):
     return tar.read_shards(spark, _shard_path(spark, sf_dir), speakers=men).select("key", "gender")
 
 
+@query
+def stream_shards(spark, sf_dir):
+    """The samples of shards as a stream of them gives them."""
+    stream = streams.shard_stream(spark, _shard_path(spark, sf_dir), allow_partial=True, shards_per_trigger=4)
+    folders = streams.settled(stream, "append", shared_dir(spark), shared_dir(spark))
+    back = spark.read.schema(stream.schema).parquet(*folders)
+    return back.select("key", "speaker", F.element_at(F.split("shard", "/"), -1).alias("name"), F.decode("wav", "UTF-8").alias("content"), F.get_json_object("meta", "$.num_frames").cast("bigint").alias("num_frames"))
+
+
 @query
 def shard_list(spark, sf_dir):
     files = tables.shard_files(spark, _shard_path(spark, sf_dir), allow_partial=True)

@@ -143,6 +143,26 @@ def _annotations(text: str) -> str:
     return f"trim({out})"
 
 
+_HEAP = """p AS (SELECT key, num_frames, CAST((row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1) // 256 AS BIGINT) AS shard_idx FROM utt
+), r AS (
+  SELECT key, shard_idx, num_frames AS n, row_number() OVER (PARTITION BY shard_idx ORDER BY key) AS i FROM p WHERE num_frames BETWEEN 0 AND 400000
+), heap AS (
+  SELECT DISTINCT shard_idx, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(n BIGINT, i BIGINT, key VARCHAR)[]) AS h, CAST(NULL AS STRUCT(n BIGINT, i BIGINT, key VARCHAR)) AS o FROM r
+  UNION ALL
+  SELECT shard_idx, i, CASE WHEN len(g) = 64 THEN g[2:] ELSE g END, CASE WHEN len(g) = 64 THEN g[1] END
+  FROM (SELECT r.shard_idx, r.i, list_sort(list_append(h, {'n': r.n, 'i': r.i, 'key': r.key})) AS g FROM heap JOIN r ON r.shard_idx = heap.shard_idx AND r.i = heap.i + 1)
+), left_over AS (
+  SELECT shard_idx, unnest(h) AS o FROM heap QUALIFY i = max(i) OVER (PARTITION BY shard_idx)
+), q AS (
+  SELECT shard_idx, o.key AS key, o.n AS n, row_number() OVER (PARTITION BY shard_idx ORDER BY phase, step, o.n, o.i) AS j
+  FROM (SELECT shard_idx, o, 0 AS phase, i AS step FROM heap WHERE o IS NOT NULL UNION ALL SELECT shard_idx, o, 1, 0 FROM left_over)
+), walk AS (
+  SELECT shard_idx, j, key, CAST(0 AS BIGINT) AS batch_id, CAST(0 AS BIGINT) AS place, n AS longest FROM q WHERE j = 1
+  UNION ALL
+  SELECT q.shard_idx, q.j, q.key, CASE WHEN full_ THEN w.batch_id + 1 ELSE w.batch_id END, CASE WHEN full_ THEN 0 ELSE w.place + 1 END, CASE WHEN full_ THEN q.n ELSE greatest(w.longest, q.n) END
+  FROM walk w JOIN q ON q.shard_idx = w.shard_idx AND q.j = w.j + 1, LATERAL (SELECT (w.place + 2) * greatest(w.longest, q.n) > 1600000 AS full_)
+)
+SELECT shard_idx, key, batch_id, place FROM walk"""
 _ASCII_TEXT = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
 _REC_ERRORS = f"WITH {UTT}, {REC}, e AS (SELECT language_tag, key, len(w) AS n, len(list_filter(range(0, len(w)), lambda i: i % 7 = 6)) AS d FROM rec)"
 
@@ -258,9 +278,17 @@ w AS (SELECT *, count(*) OVER x AS n, avg(a) OVER y / avg(a) OVER z AS ra, avg(b
   WINDOW x AS (PARTITION BY run ORDER BY step ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), y AS (PARTITION BY run ORDER BY step ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), z AS (PARTITION BY run ORDER BY step ROWS BETWEEN 10 PRECEDING AND 6 PRECEDING))
 SELECT run, step, round(CASE WHEN n = 10 THEN 2 * exp(ra / 2) / (exp(ra / 2) + exp(rb / 2)) ELSE 1.0 END, 6) AS weight_a, round(CASE WHEN n = 10 THEN 2 * exp(rb / 2) / (exp(ra / 2) + exp(rb / 2)) ELSE 1.0 END, 6) AS weight_b, round(least(a, b) / a, 6) AS min_a FROM w""",
     "best_run": f"WITH {TEL} SELECT run, step, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value, step) AS k FROM tel WHERE metric = 'purchase') WHERE k = 1",
-    "stream_stats": f"WITH {UTT} SELECT language_tag, count(*) AS samples, CAST(sum(num_frames) AS BIGINT) AS frames_total, min(num_frames) AS frames_min, max(num_frames) AS frames_max, CAST(sum(length(transcription)) AS BIGINT) AS transcript_total FROM utt GROUP BY language_tag",
+    "stream_stats": f"""WITH {UTT} SELECT language_tag, count(*) AS samples, count(*) FILTER (gender = 'm') AS samples_m, count(*) FILTER (gender = 'f') AS samples_f,
+  CAST(sum(num_frames) AS BIGINT) AS frames_total, min(num_frames) AS frames_min, max(num_frames) AS frames_max, round(avg(num_frames), 6) AS frames_avg, CAST(sum(length(transcription)) AS BIGINT) AS transcript_total,
+  CAST(min(length(transcription)) AS BIGINT) AS transcript_min, CAST(max(length(transcription)) AS BIGINT) AS transcript_max, round(avg(length(transcription)), 6) AS transcript_avg FROM utt GROUP BY language_tag""",
+    "stream_sketches": "SELECT DISTINCT lang AS language_tag, " + ", ".join(f"true AS {c}" for c in ("speakers", "speaker_sessions", *(f"{n}_q{q}" for n in ("frames", "transcript") for q in (10, 20, 80, 90)))) + " FROM documents",
+    "stream_buckets": f"WITH RECURSIVE {UTT}, {_HEAP}",
+    "batch_max_tokens": f"WITH RECURSIVE {UTT}, {_HEAP}",
+    "stream_enrichment": "SELECT doc_id AS key, md5(text) AS digest FROM documents",
+    "stream_shards": f"""WITH {UTT}, p AS (SELECT *, (row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1) // 128 AS shard_idx, count(*) OVER () AS total FROM utt)
+SELECT key, speaker_id AS speaker, 'train.' || lpad(CAST(shard_idx AS VARCHAR), 6, '0') || CASE WHEN total > 128 AND total % 128 <> 0 AND shard_idx = total // 128 THEN '.partial' ELSE '' END || '.tar' AS name, md5(transcription) AS content, num_frames FROM p""",
     "stream_char_counts": f"WITH {UTT}, {_CHARS} SELECT char, count(*) AS n FROM ch GROUP BY char",
-    "stream_dedupe": f"WITH {UTT} SELECT speaker_id, count(*) AS count FROM utt GROUP BY speaker_id",
+    "stream_dedupe": f"""WITH {UTT} SELECT speaker_id, count(*) + count(*) FILTER (doc_id % 20 = 3) AS firsts, count(*) AS keys, count(*) FILTER (doc_id % 10 = 7) AS duplicates, 1200 * count(*) FILTER (doc_id % 10 = 7) AS seconds FROM utt GROUP BY speaker_id""",
     "stream_windows": f"WITH {TEL} SELECT strftime(ts, '%Y-%m-%d') AS day, metric, round(avg(value), 6) AS mean, count(*) AS n FROM tel GROUP BY ALL",
 }
 
