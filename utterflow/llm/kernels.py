@@ -18,9 +18,9 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 _U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15
+#: Places of a span whose terms come from a table.
+_TABLED = 64
 
 IS_WORD_BYTE = np.ones(256, bool)
 IS_WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
@@ -35,18 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        size = max(n, 1 << 16)
-        table = np.full(size, base, _U64)
-        table[0] = 1
-        table = np.multiply.accumulate(table)
-        if size <= 8 * CHUNK_BYTES:
-            _powers[base] = table
-    return table[:n]
-
-
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) of pieces of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -81,13 +69,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = IS
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _terms(keys: np.ndarray) -> np.ndarray:
+    """A random-looking number for each (place in the span, byte)."""
+    return mix(mix(keys.astype(_U64) * _U64(_BASE) + _U64(1)) + _U64(_BASE))
+
+
+_TERMS = _terms(np.arange(_TABLED << 8))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of a polynomial."""
-    n = len(data)
-    prefix = np.zeros(n + 1, _U64)
-    np.cumsum((data.astype(_U64) + _U64(1)) * _power_table(_BASE, n), out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
-    return mix(value + (ends - starts).astype(_U64))
+    """A 64-bit hash of each byte span.
+
+    Each byte gives a number that depends on the byte and its place in the span and is not
+    linear in either, and the sum of a span's numbers is mixed with its length.
+    """
+    sizes = (ends - starts).astype(np.int64)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+    keys = (place << 8) | data[place + np.repeat(starts, sizes)]
+    terms = _TERMS[np.minimum(keys, len(_TERMS) - 1)]
+    far = np.flatnonzero(keys >= len(_TERMS))
+    terms[far] = _terms(keys[far])
+    total = np.concatenate((np.zeros(1, _U64), np.cumsum(terms, dtype=_U64)))
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(_U64))
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:

@@ -250,7 +250,22 @@ def _cut_specials(data: np.ndarray, offsets: np.ndarray, specials: list[bytes])
     return bounds, np.searchsorted(offsets, bounds[:-1], "right") - 1, special
 
 
-def count_batch(column: pa.Array, vocabulary: Vocabulary, classes: np.ndarray, cache: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A representative of each group of equal spans, and each span's group. Spans of one hash are compared byte by byte."""
+    _, at, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, own = ends - starts, at[back]
+    other = sizes != sizes[own]
+    same = np.flatnonzero(~other)
+    places = np.repeat(np.cumsum(sizes[same]) - sizes[same], sizes[same])
+    inner = np.arange(sizes[same].sum()) - places
+    differs = data[np.repeat(starts[same], sizes[same]) + inner] != data[np.repeat(starts[own[same]], sizes[same]) + inner]
+    other[same[np.repeat(np.arange(len(same)), sizes[same])[differs]]] = True
+    alone = np.flatnonzero(other)
+    back[alone] = len(at) + np.arange(len(alone))
+    return np.concatenate((at, alone)), back
+
+
+def count_batch(column: pa.Array, vocabulary: Vocabulary, classes: np.ndarray, cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and tokens of each text of a string column."""
     n_bytes, n_tokens = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
     for first, end, data, offsets in chunks(column):
@@ -263,13 +278,16 @@ def count_batch(column: pa.Array, vocabulary: Vocabulary, classes: np.ndarray, c
         plain = ~special[segment]
         starts, ends, segment = starts[plain], ends[plain], segment[plain]
         if len(starts):
-            hashes, at, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            known = np.array([cache.get(h, -1) for h in hashes.tolist()], np.int64)
+            at, back = _groups(data, starts, ends)
+            raw = data.tobytes()
+            names = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            known = np.array([cache.get(name, -1) for name in names], np.int64)
             new = np.flatnonzero(known < 0)
             known[new] = vocabulary.count(data, starts[at[new]], ends[at[new]])
-            if len(cache) + len(new) > CACHE_ENTRIES:
+            small = [k for k in new.tolist() if len(names[k]) <= LONG]
+            if len(cache) + len(small) > CACHE_ENTRIES:
                 cache.clear()
-            cache.update(zip(hashes[new].tolist(), known[new].tolist()))
+            cache.update((names[k], int(known[k])) for k in small)
             counts = counts + np.bincount(row[segment], weights=known[back], minlength=end - first).astype(np.int64)
         n_tokens[first:end] = counts
     return n_bytes, n_tokens
