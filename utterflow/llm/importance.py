@@ -90,10 +90,12 @@ def kth_greatest(df: DataFrame, value: str, tie: str, k: int, small: int = 5_000
                 break
             above += counts[p]
         if counts[p] == n:  # the quantiles could not split the range
-            middle = (low + high) / 2
-            upper = rows.where(F.col(value) > middle)
+            middle = low / 2 + high / 2
+            # of two neighbouring floats the middle is one; the greater one is always split off
+            is_upper = F.col(value) > middle if middle < high else F.col(value) >= high
+            upper = rows.where(is_upper)
             n_upper = upper.count()
-            rows, above = (upper, above) if above + n_upper >= k else (rows.where(F.col(value) <= middle), above + n_upper)
+            rows, above = (upper, above) if above + n_upper >= k else (rows.where(~is_upper), above + n_upper)
             continue
         rows = rows.where(F.col(value) >= cuts[p])
         if p + 1 < len(cuts):
