@@ -134,8 +134,8 @@ WITH p AS (
   SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY digest, size) ELSE page_id END AS response FROM p
 )
 SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
-  CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN response <> page_id THEN response END AS refers_to
+  CASE WHEN response IS NULL OR response IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
 FROM r
 """,
     "op9_mix_sources": rf"""

@@ -7,9 +7,10 @@ empty skippable frame, which decoders pass over. So an archive can lie wherever
 can write, and a lost task leaves no half archive.
 
 Cases: a null page is an empty payload; rows with equal payloads of ``min_revisit``
-bytes or more keep one response, that of the greatest page id; rows that repeat a page
-id keep their own records; rows with a null page id are written and read with null; an
-empty table makes no records. Columns besides id, url and payload are ignored; url may
+bytes or more keep one response, that of the greatest page id, and more than one only where
+rows repeat that id; rows that repeat a page id keep their own records; rows with a null
+page id are written and read with null, and revisit the page with the greatest id, or, where
+no page of their payload has an id, are responses; an empty table makes no records. Columns besides id, url and payload are ignored; url may
 be null.
 """
 
@@ -181,10 +182,13 @@ def write_archives(
     large = full.select("id", digest.alias("digest"), F.octet_length("payload").cast("long").alias("size")).where(F.col("size") >= min_revisit)
     large = saved(large)
     first = large.groupBy("digest", "size").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    revisit = saved(large.join(saved(first), ["digest", "size"]).where(F.col("id") != F.col("response")).select("id", "digest", "response").distinct())
+    # a null id is less than any other; pages without any id have none that they could refer to
+    revisit = large.join(saved(first), ["digest", "size"]).where(F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")))
+    revisit = saved(revisit.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "response").distinct())
     samples = [r[0].encode() for r in full.select(F.substring("payload", 1, 100_000)).limit(dictionary_samples).collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary([s for s in samples if s]))
-    dealt = full.withColumn("digest", digest).join(revisit, ["id", "digest"], "left").select("id", "url", "payload", "response")
+    full = full.withColumn("digest", digest)
+    dealt = full.join(revisit, full["id"].eqNullSafe(revisit["_id"]) & (full["digest"] == revisit["_digest"]), "left").select("id", "url", "payload", "response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = dictionary.value
