@@ -357,6 +357,11 @@ def test_kth_greatest(spark):
     for k in (1, 37, 250, 500):
         assert importance.kth_greatest(df, "v", "i", k, small=20) == order[k - 1]
     assert importance.kth_greatest(df, "v", "i", 501) is None
+    # neighbouring floats, whose mean is one of them
+    for v in (1.0, float(np.nextafter(1.0, 2)), -3.5):
+        near = spark.createDataFrame([(v, i) for i in range(600)] + [(float(np.nextafter(v, 9)), i) for i in range(5)], "v double, i bigint")
+        assert importance.kth_greatest(near, "v", "i", 3, small=20) == (float(np.nextafter(v, 9)), 2)
+        assert importance.kth_greatest(near, "v", "i", 6, small=20) == (v, 0)
 
 
 # --- 4
@@ -383,10 +388,9 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(df.limit(3), none).select("score").distinct().first()[0] == 0.5
 
 
-def plain_ftrl(rows):
-    """Margins of (text, label) rows after the passes, with dictionaries of features; order as in the fit."""
+def plain_ftrl(rows, l1):
+    """Weights after the passes over (features, label), with dictionaries of features; order as in the fit."""
     z, n = collections.defaultdict(float), collections.defaultdict(float)
-    l1 = toxicity.L1 * min(1, len(rows) / toxicity.L1_ROWS)
     weight = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
     for _ in range(toxicity.EPOCHS):
         for features, y in rows:
@@ -414,8 +418,15 @@ def test_toxicity_equals_plain_ftrl(spark):
             if (i, y) in pairs:
                 data = (t or "").encode()
                 x = np.append(toxicity.hashed_features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1], toxicity.DIMENSIONS)
-                sample.append((order[i], y, len(x), x.astype(np.int64).tobytes(), x.tolist()))
-    want = plain_ftrl([(x[4], x[1]) for x in sorted(sample)])
+                sample.append((order[i], y, len(x), x.astype(np.int32).tobytes(), x.tolist()))
+    sample = sorted(sample)
+    inner, outer = [(x[4], x[1]) for x in sample if x[0] % toxicity.FOLDS], [(x[4], x[1]) for x in sample if not x[0] % toxicity.FOLDS]
+    losses = []
+    for l1 in toxicity.L1S:
+        v = plain_ftrl(inner, l1)
+        losses.append(sum(np.log1p(np.exp(-(1 if y else -1) * sum(v.get(f, 0) for f in x))) for x, y in outer))
+    assert outer and max(losses) > min(losses)
+    want = plain_ftrl([(x[4], x[1]) for x in sample], toxicity.L1S[int(np.argmin(losses))])
     assert dict(zip(at.tolist(), w)) == pytest.approx(want) and len(want) > 5
     got = toxicity.score_toxicity(df, (at, w)).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
@@ -495,6 +506,10 @@ def test_warc_round_trip(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 5) if revisit else ("response", None))
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    # null ids revisit the greatest id of their payload; without any id, all are responses
+    odd = spark.createDataFrame([(None, "u", same), (None, "v", same), (7, "w", same), (None, "x", "n" * 1200), (None, "y", "n" * 1200)], "page_id bigint, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(odd).collect()), key=repr)
+    assert got == sorted([(7, 1500, "response", None)] + [(None, 1500, "revisit", 7)] * 2 + [(None, 1200, "response", None)] * 2, key=repr)
 
 
 def test_warc_files_are_plain_zstandard(spark, tmp_path):
