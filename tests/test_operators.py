@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from utterflow.functions import keys, signal, text
 from utterflow.operators import asr, batching, calls, manifest, ordering, scoring, shards, splits, stats, telemetry, trials, vocab
-from utterflow.plans.tasks import BatchConfig, check_sets, gender_batches, joint_batches, speaker_batches, speech_batches
+from utterflow.plans.tasks import BatchConfig, check_sets, compose_sets, gender_batches, joint_batches, speaker_batches, speech_batches
 from utterflow.schemas import MANIFEST
-from utterflow.sources import tables, tar
+from utterflow.sources import tables, tar, wav
 from utterflow.streaming import streams
 
 
@@ -420,8 +420,13 @@ def test_text_sources(spark, tmp_path):
     assert (seg.start_s, seg.end_s, seg.channel, seg.text) == (12.3, 15.9, "A", "a: b")
     assert [r.file_id for r in tables.read_id_list(spark, put("ids", "# n\n2001\n\n")).collect()] == [2001]
     assert tables.read_transcript_json(spark, put("t.json", '{"k": {"text": "x", "language": "en", "z": 1}}')).collect() == [("k", "x", "en")]
-    put("audio/spk/rec/u.wav", "x" * 64)
-    assert tables.read_audio_inventory(spark, str(tmp_path / "audio")).select("speaker", "recording", "utterance", "num_frames").first() == ("spk", "rec", "u", 10)
+    whole = wav.wav_file([0.1] * 10, 8000, before=wav.chunk(b"LIST", b"odd") + wav.chunk(b"fact", b"1234"), behind=wav.chunk(b"note", b"x" * 99))
+    (tmp_path / "audio/spk/rec").mkdir(parents=True)
+    (tmp_path / "audio/spk/rec/u.wav").write_bytes(whole)
+    (tmp_path / "audio/other/rec").mkdir(parents=True)
+    (tmp_path / "audio/other/rec/u.wav").write_bytes(b"not audio")
+    known = spark.createDataFrame([("spk",)], "speaker string")
+    assert tables.read_audio_inventory(spark, str(tmp_path / "audio"), known).drop("path").first() == ("spk", "rec", "u", 10, 8000, 1)
     put("head/a.txt", "FILENAME: 4325_b1632_l519\nx")
     put("head/b.txt", "FILENAME: 43_1_2")
     ok, bad = tables.read_call_headers(spark, str(tmp_path / "head"))
@@ -493,3 +498,113 @@ def test_enrich_stream(spark, tmp_path):
     # a query that starts over finds all keys
     streams.enrich_stream(spark.readStream.schema("key string, text string").parquet(src), cache, compute, str(tmp_path / "ck2")).awaitTermination()
     assert spark.read.parquet(cache).count() == 3
+
+
+def test_wav_headers():
+    read = lambda data: wav.wav_header(io.BytesIO(data), len(data))
+    plain = wav.wav_file([0.0] * 7)
+    assert len(plain) == 44 + 14 and read(plain) == (7, 16000, 1)
+    open_ended = plain.replace(b"data" + (14).to_bytes(4, "little"), b"data" + b"\xff" * 4)
+    assert read(open_ended) == (7, 16000, 1) and read(open_ended.replace(b"\xff" * 4, bytes(4))) == (7, 16000, 1)
+    stereo = bytearray(plain)
+    stereo[22], stereo[32] = 2, 4
+    assert read(bytes(stereo)) == (3, 16000, 2)
+    seen = tar.wav_samples(wav.wav_file([0.5, -0.5], before=wav.chunk(b"LIST", b"abc")))
+    assert seen == pytest.approx([0.5, -0.5], abs=1e-4)
+    for bad in (b"", b"RIFF0000WAVE", plain[:36], b"RIFF0000WAVEdata\x00\x00\x00\x00"):
+        with pytest.raises(ValueError):
+            read(bad)
+    long = Counted(wav.wav_file([0.0] * 100_000, before=wav.chunk(b"big ", bytes(50_000))))
+    assert wav.wav_header(long, len(long.getvalue()))[0] == 100_000 and long.read_bytes < 100
+
+
+def test_named_text_files(spark, tmp_path):
+    rows = [(f"a={i % 3}/é %{i % 3}.txt", 9 - i, f"line {9 - i}") for i in range(10)]
+    tables.write_named_text(spark.createDataFrame(rows, "file string, at int, value string").repartition(4), str(tmp_path / "t"))
+    for k in range(3):
+        got = (tmp_path / "t" / f"a={k}" / f"é %{k}.txt").read_text().split("\n")
+        assert got == [f"line {9 - i}" for i in range(9, -1, -1) if i % 3 == k] + [""]
+    assert not [f for f in os.listdir(tmp_path / "t") if "staging" in f]
+
+
+def plain_shuffle(group, keys, buffer, seed, epoch):
+    draw = lambda n: int(hashlib.md5(f"{group}|{epoch}|{seed}|{n}".encode()).hexdigest()[:8], 16)
+    held, out = [], []
+    for n, k in enumerate(keys):
+        if len(held) < buffer:
+            held.append(k)
+        else:
+            at = draw(n) % buffer
+            out.append(held[at])
+            held[at] = k
+    return out + sorted(held, key=lambda k: (hashlib.md5(f"{k}|{epoch}|{seed}".encode()).hexdigest(), k))
+
+
+def test_buffer_shuffle(spark):
+    rows = [(i % 3, f"k{i:03d}") for i in range(100)] + [(9, "only")]
+    df = spark.createDataFrame(rows, "shard_idx bigint, key string").repartition(5)
+    for buffer, seed, epoch in ((1, 0, 0), (7, 1, 2), (1000, 5, 0)):
+        got = {}
+        for r in batching.buffer_shuffle(df, buffer, seed=seed, epoch=epoch).orderBy("shard_idx", "place").collect():
+            got.setdefault(r.shard_idx, []).append(r.key)
+        assert got == {g: plain_shuffle(g, sorted(k for h, k in rows if h == g), buffer, seed, epoch) for g in (0, 1, 2, 9)}
+        for g, keys in got.items():  # a key comes at most ``buffer`` places early
+            assert all(place >= int(sorted(keys).index(k)) - buffer for place, k in enumerate(keys))
+    assert batching.buffer_shuffle(df.limit(0), 5).count() == 0
+    with pytest.raises(ValueError):
+        batching.buffer_shuffle(df, 0)
+
+
+def test_evaluate_sets(spark):
+    e = [("x", "a", [1.0, 0.0]), ("x", "b", [0.9, 0.1]), ("x", "c", [0.0, 1.0]), ("y", "a", [0.0, 1.0]), ("y", "b", [1.0, 0.0]), ("y", "c", [0.0, 0.9])]
+    t = [(s, "a", o, o == "b") for s in "xy" for o in "bc"]
+    emb = spark.createDataFrame(e, "set string, sample_id string, embedding array<double>")
+    trial = spark.createDataFrame(t, "set string, left string, right string, same_speaker boolean")
+    words = spark.createDataFrame([("y", "a b c d", "a x c d"), ("z", "a b", "a b c"), ("x", "q", "")], "set string, ref string, hyp string")
+    sets = spark.createDataFrame([("x", "speaker"), ("y", "joint"), ("z", "speech"), ("none", "joint")], "name string, mode string")
+    got = {r.key: (r.value, r.status) for r in scoring.evaluate_sets(sets, trial, emb, words).collect()}
+    assert len(got) == 4 * 3 + 3
+    assert got["test_eer_x"] == (0.0, "ok") and got["test_eer_y"] == (1.0, "ok") and got["test_wer_y"] == (0.25, "ok") and got["test_wer_z"] == (0.5, "ok")
+    assert got["test_eer_none"] == (None, "no_trials") and got["test_wer_none"] == (None, "no_words")
+    lacking = {r.key: (r.value, r.status) for r in scoring.evaluate_sets(sets, trial, emb.where("not (set = 'x' and sample_id = 'c')"), words, compat=True).collect()}
+    assert lacking["test_eer_x"] == (-1.0, "missing_embeddings") and lacking["test_eer_y"] == (1.0, "ok")
+    # a scorer of one's own
+    class Negative(scoring.CosineScorer):
+        def score(self, left, right, left_norm, right_norm):
+            return 1 - super().score(left, right, left_norm, right_norm)
+
+    turned = {r.key: r.value for r in scoring.evaluate_sets(sets, trial, emb, words, scorer=Negative()).collect()}
+    assert turned["test_eer_x"] == 1.0 and turned["test_eer_y"] == 0.0
+    with pytest.raises(ValueError, match="unknown mode"):
+        scoring.evaluate_sets(spark.createDataFrame([("x", "video")], "name string, mode string"), trial, emb, words)
+
+
+def test_set_composition(spark):
+    of = lambda rows: spark.createDataFrame([(r, i, v) for r, vs in rows.items() for i, v in enumerate(vs)], "role string, place int, value string")
+    sets = compose_sets(of({"test": ["a", "b"], "val": ["c"]}), of({"test": ["/a", "/b"], "val": ["/c", "/d"]}), of({"test": ["t"], "val": ["u"]}))
+    assert sets.where("role = 'val' and place = 1").first()[2:] == (None, "/d", None)
+    assert sorted(map(tuple, check_sets(sets, ("test",)).collect())) == [("test", "name_and_trials_differ"), ("val", "incomplete"), ("val", "name_and_path_differ"), ("val", "trials_not_used")]
+
+
+def test_transcript_errors_by_plain_alignment(spark):
+    """The edit distance against a plain table of costs, all three kinds of error included."""
+    rnd = random.Random(31)
+    rows = []
+    for i in range(60):
+        ref = [rnd.choice("abcde") for _ in range(rnd.randint(0, 30))]
+        hyp = [w for w in ref if rnd.random() > 0.15]
+        for _ in range(rnd.randint(0, 5)):
+            hyp.insert(rnd.randint(0, len(hyp)), rnd.choice("abcdef"))
+        hyp = [rnd.choice("abcdefg") if rnd.random() < 0.15 else w for w in hyp]
+        rows.append((i, " ".join(ref), " ".join(hyp)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    got = {r.i: r.errors for r in asr.pair_errors(spark.createDataFrame(rows, "i int, ref string, hyp string")).collect()}
+    assert got == {i: distance(a.split(), b.split()) for i, a, b in rows}

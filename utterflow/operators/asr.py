@@ -32,9 +32,9 @@ def batch_wer(df: DataFrame, batch: str, by: Sequence[str] = (), ref: str = "ref
     return wer(df, [*by, batch], ref, hyp).groupBy(*by).agg(F.avg("wer").alias("wer_mean"), F.count(F.lit(1)).alias("batches"))
 
 
-def prediction_dump(df: DataFrame, batch: str, order: str, every: int = 5000) -> DataFrame:
-    """Rows of every ``every``-th batch with their place in it, to be written as JSON."""
+def prediction_dump(df: DataFrame, batch: str, order: str, every: int | None = 5000) -> DataFrame:
+    """Rows of every ``every``-th batch with their place in it, to be written as JSON; of batch 0 alone, as in validation, without ``every``."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy(batch).orderBy(order)) - 1
-    return df.where(F.col(batch) % every == 0).withColumn("index", place)
+    return df.where(F.col(batch) == 0 if every is None else F.col(batch) % every == 0).withColumn("index", place)

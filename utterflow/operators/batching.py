@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal import right_pad
 from ..functions.text import none_if_null
 from ..schemas import SAMPLE_RATE
-from .ordering import hash_order
 
 
 def chunk(df: DataFrame, strategy: str, seconds: float = 2.0, rate: int = SAMPLE_RATE, seed: int = 0, epoch: int = 0, key: str = "key", samples: str = "samples") -> DataFrame:
@@ -39,9 +40,58 @@ def chunk(df: DataFrame, strategy: str, seconds: float = 2.0, rate: int = SAMPLE
     return out.withColumn("num_frames", F.size(samples).cast("bigint"))
 
 
-def shuffled(df: DataFrame, key: str = "key", seed: int = 0, epoch: int = 0) -> DataFrame:
-    """All rows in a seeded order."""
-    return df.orderBy(*hash_order(F.col(key), f"{epoch}|{seed}"))
+def _draw(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def buffer_shuffle(df: DataFrame, buffer: int, by: str = "shard_idx", order: Sequence[str] = ("key",), key: str = "key", seed: int = 0, epoch: int = 0) -> DataFrame:
+    """``by, key, place``: the places of the rows of each ``by`` after a shuffle through a buffer of ``buffer`` keys.
+
+    Keys stream past in ``order``; each one beyond the first ``buffer`` takes the slot of a drawn
+    one, which goes out, and the buffer goes out in a seeded order at the end. So a key comes
+    at most ``buffer`` places early and the memory is the buffer. Draws depend on the group,
+    the seed, the epoch and the step alone. Only keys and order columns go through Python.
+    """
+    if buffer <= 0:
+        raise ValueError("a positive buffer is required")
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, key)}
+    names = [by, key, *[c for c in order if c not in (by, key)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, step, out = None, [], 0, []
+
+        def rest() -> None:
+            nonlocal held
+            held.sort(key=lambda k: (hashlib.md5(f"{k}|{epoch}|{seed}".encode()).hexdigest(), k))
+            first = step - len(held)
+            out.extend((group, k, first + n) for n, k in enumerate(held))
+            held = []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*types, pa.int64()))], [by, key, "place"])
+
+        for batch in batches:
+            types = batch.schema.field(0).type, batch.schema.field(1).type
+            for g, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if g != group:
+                    rest()
+                    group, step = g, 0
+                if len(held) < buffer:
+                    held.append(k)
+                else:
+                    at = _draw(f"{g}|{epoch}|{seed}|{step}") % buffer
+                    out.append((g, held[at], step - buffer))
+                    held[at] = k
+                step += 1
+            if out:
+                yield batch_of(out)
+                out = []
+        rest()
+        if out:
+            yield batch_of(out)
+
+    rows = df.select(*names).repartition(by).sortWithinPartitions(by, *order)
+    return rows.mapInArrow(run, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, place bigint")
 
 
 def batch_fixed(df: DataFrame, n: int, drop_last: bool = False, by: str = "shard_idx", order: Sequence[str] = ("key",)) -> DataFrame:

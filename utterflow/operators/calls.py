@@ -9,6 +9,9 @@ from ..functions.signal import frame_span, span_in_audio
 from ..functions.text import clean_sentence_id, padded_id
 from ..schemas import SAMPLE_RATE
 
+#: Calls of a list that is broadcast, at most: some megabytes of ids.
+BROADCAST_CALLS = 200_000
+
 
 def parse_markup(lines: DataFrame, reversed_ids: DataFrame | None = None) -> DataFrame:
     """Tokens ``file_id, line_no, sentence_no, channel, start_s, dur_s, token`` of markup lines (file_id, line_no, value).
@@ -30,15 +33,21 @@ def parse_markup(lines: DataFrame, reversed_ids: DataFrame | None = None) -> Dat
     return out.select("file_id", "line_no", "sentence_no", "channel", "start_s", "dur_s", "token")
 
 
-def swap_channels(df: DataFrame, reversed_ids: DataFrame) -> DataFrame:
+def _wrong(reversed_ids: DataFrame) -> DataFrame:
+    """Listed calls as ``file_id, _wrong``, broadcast if they have been counted as few; longer lists are joined by Spark's own choice."""
     wrong = reversed_ids.select("file_id", F.lit(True).alias("_wrong")).distinct()
+    return F.broadcast(wrong) if wrong.limit(BROADCAST_CALLS + 1).count() <= BROADCAST_CALLS else wrong
+
+
+def swap_channels(df: DataFrame, reversed_ids: DataFrame) -> DataFrame:
+    wrong = _wrong(reversed_ids)
     other = F.when(F.col("channel") == "A", "B").when(F.col("channel") == "B", "A").otherwise(F.col("channel"))
     return df.join(wrong, "file_id", "left").withColumn("channel", F.when(F.col("_wrong"), other).otherwise(F.col("channel"))).drop("_wrong")
 
 
 def swap_speakers(calls: DataFrame, reversed_ids: DataFrame) -> DataFrame:
     """``calls`` (file_id, speaker_a, speaker_b) with the speakers of listed calls exchanged."""
-    wrong = reversed_ids.select("file_id", F.lit(True).alias("_wrong")).distinct()
+    wrong = _wrong(reversed_ids)
     joined = calls.join(wrong, "file_id", "left")
     a, b = F.col("speaker_a"), F.col("speaker_b")
     return joined.select("file_id", F.when(F.col("_wrong"), b).otherwise(a).alias("speaker_a"), F.when(F.col("_wrong"), a).otherwise(b).alias("speaker_b"))

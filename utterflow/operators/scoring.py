@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signal import argmax, center, cosine, length_normalise, norm, to_unit_score
 from ..materialize import saved
+from .asr import wer
 from .ordering import prefix
 
 
@@ -150,6 +151,36 @@ def evaluate(trials: DataFrame, embeddings: DataFrame, compat: bool = False, **o
     return out.withColumns(values | {"status": F.when(whole, F.col("status")).otherwise("missing_embeddings")})
 
 
+def evaluate_sets(sets: DataFrame, trials: DataFrame, embeddings: DataFrame, predictions: DataFrame, compat: bool = False, **options) -> DataFrame:
+    """``key, value, status``: the figures of all test sets (name, mode), named as in ``test_eer_<name>``.
+
+    Mode speaker gives eer, eer_threshold, mdc and mdc_threshold of trials (set, left, right,
+    same_speaker) and embeddings (set, sample_id, embedding), speech gives wer of predictions
+    (set, ref, hyp), and joint gives both. All sets are scored together and figures are
+    grouped by set. A set without its data, or with missing embeddings, has null figures (``compat``: -1).
+    """
+    known = F.col("mode").isin("speaker", "speech", "joint")
+    if not (unknown := sets.where(~F.coalesce(known, F.lit(False)))).isEmpty():
+        raise ValueError(f"unknown mode {unknown.first()['mode']}")
+    named = lambda c: F.concat_ws("\x1f", "set", c)  # noqa: E731  # ids are those of a set
+    speaker = sets.where(F.col("mode") != "speech").select(F.col("name").alias("set"))
+    asked = trials.join(F.broadcast(speaker), "set", "left_semi").select(named("left").alias("left"), named("right").alias("right"), "same_speaker")
+    vectors = embeddings.join(F.broadcast(speaker), "set", "left_semi").select(named("sample_id").alias("sample_id"), "embedding")
+    set_of = lambda c: F.substring_index(c, "\x1f", 1)
+    scores = saved(score_trials(asked, vectors, **options).withColumn("set", set_of("left")))
+    missing = missing_embeddings(asked, vectors).groupBy(set_of("sample_id").alias("set")).agg(F.count(F.lit(1)).alias("_missing"))
+    rates = eer(scores, ["set"], compat).join(min_dcf(scores, ["set"], compat=compat).drop("status"), "set", "full")
+    rates = speaker.join(rates, "set", "left").join(missing, "set", "left")
+    none = F.lit(-1.0) if compat else F.lit(None).cast("double")
+    status = F.when(F.col("_missing") > 0, "missing_embeddings").otherwise(F.coalesce("status", F.lit("no_trials")))
+    figures = lambda df, names, status: df.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"test_{n}_"), "set").alias("key"), F.col(n).alias("value"), status.alias("status")) for n in names])).alias("f")).select("f.*")
+    rates = rates.withColumns({c: F.when(F.col("_missing").isNull(), F.col(c)).otherwise(none) for c in ("eer", "eer_threshold", "mdc", "mdc_threshold")})
+    words = sets.where(F.col("mode") != "speaker").select(F.col("name").alias("set")).join(wer(predictions, ["set"]), "set", "left")
+    return figures(rates, ("eer", "eer_threshold", "mdc", "mdc_threshold"), status).unionByName(
+        figures(words, ("wer",), F.when(F.col("wer").isNull(), F.lit("no_words")).otherwise(F.lit("ok")))
+    )
+
+
 def top1_accuracy(df: DataFrame, by: Sequence[str] = (), prediction: str = "prediction", label: str = "label") -> DataFrame:
     hit = (argmax(F.col(prediction)) == F.col(label)).cast("double")
     return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))

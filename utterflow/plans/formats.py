@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..functions.text import none_if_null, padded_id
 from ..materialize import saved, shared_dir
-from ..operators import asr, batching, calls, manifest, shards, splits, trials, vocab
-from ..sources import tables, tar
+from ..operators import asr, batching, calls, manifest, ordering, shards, splits, trials, vocab
+from ..sources import tables, tar, wav
 from ..streaming import streams
 from . import derived, tasks
 
@@ -156,7 +157,7 @@ def caller_table(spark, sf_dir):
     c = derived.table(spark, sf_dir, "customer")
     rest = [F.lit(f'"v{i}"') for i in range(len(tables.CALLER_COLUMNS) - 3)]
     line = F.concat_ws(", ", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), *rest, F.col("c_nationkey").cast("string"))
-    return tables.read_callers(spark, _lines(c, line)).select("id", "pin", "target", "speaker_partition")
+    return tables.read_callers(spark, _lines(c, line))
 
 
 @query
@@ -175,11 +176,76 @@ def id_list(spark, sf_dir):
 
 @query
 def transcript_json(spark, sf_dir):
-    u = derived.utterances(spark, sf_dir).select("key", F.struct(F.col("transcription").alias("text"), F.col("language_tag").alias("language")).alias("t"), (F.col("num_frames") % 16).alias("part"))
-    docs = u.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "t")))).alias("value"))
+    """Documents of about 64 utterances each, as many as the table needs."""
+    u = derived.utterances(spark, sf_dir).select("key", F.struct(F.col("transcription").alias("text"), F.col("language_tag").alias("language")).alias("t"))
+    docs = u.groupBy(F.pmod(F.xxhash64("key"), F.lit(max(1, u.count() // 64))).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "t")))).alias("value"))
     return tables.read_transcript_json(spark, _lines(docs, F.col("value"), maxRecordsPerFile=1))
 
 
+# --- folders of files: their names carry columns
+
+def _named(df: DataFrame) -> str:
+    path = shared_dir(df.sparkSession)
+    tables.write_named_text(df, path)
+    return path
+
+
+@query
+def utterance_transcripts(spark, sf_dir):
+    """A transcript file per speaker and recording, a line per utterance."""
+    u = keys.decompose(derived.utterances(spark, sf_dir)).select("speaker", "recording", "utterance", F.upper("transcription").alias("text"))
+    name = F.concat_ws("-", "speaker", "recording")
+    line = F.concat_ws(" ", F.concat_ws("-", "speaker", "recording", "utterance"), "text")
+    return tables.read_utterance_transcripts(spark, _named(u.select(F.concat("speaker", F.lit("/"), "recording", F.lit("/"), name, F.lit(".trans.txt")).alias("file"), F.col("utterance").alias("at"), line.alias("value"))))
+
+
+@query
+def session_transcripts(spark, sf_dir):
+    """``speaker/session/transcript.txt``: a conversation is a session of the speaker of its number modulo 10, a turn a line."""
+    c = derived.table(spark, sf_dir, "conversations")
+    name = F.format_string("s%d/c%d/transcript.txt", F.col("conv_id") % 10, "conv_id")
+    line = F.concat(padded_id(F.col("turn"), 6), F.lit("\t"), F.translate("text", "\n\r\t", "   "))
+    return tables.read_session_transcripts(spark, _named(c.select(name.alias("file"), F.col("turn").alias("at"), line.alias("value"))))
+
+
+@query
+def single_transcripts(spark, sf_dir):
+    """``recording/channel/utterance.txt``: a turn is a file, its role the channel."""
+    c = derived.table(spark, sf_dir, "conversations")
+    name = F.format_string("en_%d/%s/%04d.txt", "conv_id", F.when(F.col("role") == "user", "A").otherwise("B"), "turn")
+    return tables.read_single_transcripts(spark, _named(c.select(name.alias("file"), F.lit(0).alias("at"), F.col("text").alias("value"))))
+
+
+@query
+def markup_files(spark, sf_dir):
+    """Markup files of whole calls."""
+    m = derived.markup_lines(spark, sf_dir)
+    path = _named(m.select(F.concat(F.col("file_id").cast("string"), F.lit(".mrk")).alias("file"), F.col("line_no").alias("at"), "value"))
+    return tables.read_markup(spark, path).groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"), F.md5(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]))).alias("digest"))
+
+
+@query
+def call_headers(spark, sf_dir):
+    """Call headers, good ones and bad ones: a conversation is a call."""
+    c = derived.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("n")).distinct()
+    head = F.format_string("FILENAME: %s_b%s_%s", F.when(F.col("n") % 7 == 0, "12").otherwise(padded_id(F.col("n"), 4)), padded_id(F.col("n") + 1, 4), F.concat(F.lit("l"), padded_id(F.col("n") % 1000, 3)))
+    lines = c.select("n", F.posexplode(F.array(head, F.lit("SPEAKER: x"))).alias("at", "value"))
+    ok, bad = tables.read_call_headers(spark, _named(lines.select(F.format_string("sw%d.txt", "n").alias("file"), "at", "value")))
+    return ok.withColumn("bad", F.lit(None).cast("string")).unionByName(bad.select(*[F.lit(None).cast("string").alias(n) for n in ok.columns], F.element_at(F.split("path", "/"), -1).alias("bad")))
+
+
+@query
+def audio_inventory(spark, sf_dir):
+    """Audio files of vectors as samples, some with chunks before and behind the data; the speaker 3 is not listed."""
+    e = derived.embedded(spark, sf_dir)
+    root = shared_dir(spark)
+    name = F.format_string("id%d/r%d/%d.wav", "label", F.col("vec_id") % 5, "vec_id")
+    files = e.select(name.alias("file"), "embedding", (F.col("vec_id") % 3).cast("int").alias("chunks"))
+    wav.write_wavs(files, root)
+    listed = e.where("label <> 3").select(F.format_string("id%d", "label").alias("speaker")).distinct()
+    return tables.read_audio_inventory(spark, root, listed).drop("path")
+
+
 @query
 def result_series(spark, sf_dir):
     n = derived.table(spark, sf_dir, "nation")
@@ -208,6 +274,14 @@ def prediction_dump(spark, sf_dir):
     return spark.read.schema("key string, ref string, hyp string, batch bigint, index bigint").json(path).select("key", "batch", "index", F.md5("ref").alias("ref"), "hyp")
 
 
+@query
+def validation_dump(spark, sf_dir):
+    """The first batch of a validation, batches being of 32 utterances in the order of their keys."""
+    u = derived.utterances(spark, sf_dir).select("key", F.col("transcription").alias("ref"), F.substring("transcription", 1, 20).alias("hyp"))
+    numbered = ordering.prefix(u, [F.col("key")]).withColumn("batch", F.floor(F.col("idx") / 32))
+    return asr.prediction_dump(numbered, "batch", "key", every=None).select("key", "index", F.md5("ref").alias("ref"), "hyp")
+
+
 @query
 def paired_stems(spark, sf_dir):
     p = derived.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stem"), F.concat("p_partkey", F.lit(".wav")).alias("path"))
@@ -307,14 +381,40 @@ def batch_token_budget(spark, sf_dir):
     return batching.batch_max_tokens(s, 1_600_000, max_len=400_000, buffer=1000, padded=True)
 
 
+@query
+def buffer_shuffle(spark, sf_dir):
+    """Places of the utterances of each shard after a shuffle through a buffer of 100."""
+    u = derived.utterances(spark, sf_dir)
+    plan = shards.plan_shards(u, "random", 256)
+    return batching.buffer_shuffle(plan, 100, seed=1337)
+
+
+@query
+def task_buffered_batches(spark, sf_dir):
+    """Batches of the speech task with a shuffle of samples before batching and one of batches behind it."""
+    s = _samples(spark, sf_dir)
+    return _batch_view(tasks.speech_batches(s, _index(s), tasks.BatchConfig(batch_size=8, drop_last=False, shuffle_before=50, shuffle_after=5)), "batch_place")
+
+
 @query
 def set_checks(spark, sf_dir):
     n = derived.table(spark, sf_dir, "nation")
     sets = n.select(
         F.when(F.col("n_regionkey") % 2 == 0, "test").otherwise("val").alias("role"), F.concat(F.lit("set"), (F.col("n_nationkey") % 9).cast("string")).alias("name"),
-        F.when(F.col("n_nationkey") % 6 != 0, F.concat(F.lit("/data/"), "n_name")).alias("path"), F.lit(None).cast("string").alias("trials"), F.lit(False).alias("ignore_tags"),
+        F.when(F.col("n_nationkey") % 6 != 0, F.concat(F.lit("/data/"), "n_name")).alias("path"), F.lit(None).cast("string").alias("trials"),
     )
     return tasks.check_sets(sets)
 
 
+@query
+def set_composition(spark, sf_dir):
+    """Roles whose lists of names, shard folders and trial files have different lengths: a customer's market is a role, its number a place."""
+    c = derived.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("role"), F.col("c_custkey").alias("place"), "c_name")
+    even = (F.col("role") == "BUILDING") | (F.col("place") % 3 > 0)
+    names = c.select("role", "place", F.col("c_name").alias("value"))
+    folders = c.where(F.col("role") != "MACHINERY").select("role", "place", F.concat(F.lit("/shards/"), "c_name").alias("value"))
+    trials_ = c.where(even & (F.col("role") != "HOUSEHOLD")).select("role", "place", F.concat(F.lit("/trials/"), "c_name").alias("value"))
+    return tasks.check_sets(tasks.compose_sets(names, folders, trials_), trial_roles=("BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"))
+
+
 __all__ = ["QUERIES"]

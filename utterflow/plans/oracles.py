@@ -18,16 +18,12 @@ EMB = """emb AS (
   FROM embeddings
 )"""
 TEL = "tel AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS step, event_type AS metric, value, ts FROM events)"
-REC = """rec AS (
-  SELECT key || '#' || p AS key, language_tag, w[p * 20 + 1:p * 20 + 20] AS w
-  FROM (SELECT key, language_tag, string_split(transcription, ' ') AS w, unnest(range(0, CAST(floor((len(string_split(transcription, ' ')) - 1) / 20) AS BIGINT) + 1)) AS p FROM utt)
-  WHERE len(w) > 1
-)"""
+REC = "rec AS (SELECT key, language_tag, CASE WHEN transcription = '' THEN 0 ELSE len(string_split(transcription, ' ')) END AS n FROM utt)"
 TOK = r"""tok AS (
   SELECT conv_id AS file_id, turn * 100000 + i AS line_no, CAST(turn AS INTEGER) AS sentence_no,
     CASE WHEN (role = 'user') = (conv_id % 5 <> 0) THEN 'A' ELSE 'B' END AS channel, turn * 100 + i * 0.5 AS start_s, 0.5 AS dur_s, w AS token
   FROM (SELECT conv_id, turn, role, unnest(w) AS w, unnest(range(0, len(w))) AS i
-        FROM (SELECT conv_id, turn, role, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM conversations WHERE role IN ('user', 'assistant')))
+        FROM (SELECT conv_id, turn, role, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM conversations))
   WHERE w <> '' AND NOT regexp_matches(w, '[\[\]]')
 ), sent AS (
   SELECT file_id, channel, sentence_no, CAST(min(start_s) AS DOUBLE) AS start_s, CAST(arg_max(start_s + dur_s, line_no) AS DOUBLE) AS end_s, string_agg(token, ' ' ORDER BY line_no) AS text
@@ -101,6 +97,13 @@ def _stats(by: str = "") -> str:
 SELECT * FROM plain JOIN speakers {using} JOIN bare {using}"""
 
 
+_STATISTICS = (
+    "samples unique_keys samples_m samples_f samples_other_gender frames_avg frames_min frames_max frames_q10 frames_q20 frames_q80 frames_q90 frames_total seconds_total hours_total "
+    "transcript_min transcript_max transcript_q10 transcript_q20 transcript_q80 transcript_q90 transcript_avg transcript_avg_transcribed transcript_total "
+    "speakers speakers_m speakers_f gender_conflicts speaker_sessions sessions_avg sessions_min sessions_max sessions"
+).split()
+
+
 def _split(source: str, group: str, ratio: str, seed: int) -> str:
     return f"""c AS (SELECT {group} AS g, count(*) AS n FROM {source} GROUP BY 1),
 o AS (SELECT g, n, sum(n) OVER (ORDER BY md5(g || '|{seed}'), g ROWS UNBOUNDED PRECEDING) - n AS before FROM c),
@@ -143,6 +146,22 @@ def _annotations(text: str) -> str:
     return f"trim({out})"
 
 
+def _buffered(items: str, size: int, name: str) -> str:
+    """CTEs ending in ``name`` (g, key, place): the items (g, key, i from 0) of each g, shuffled through a buffer."""
+    draw = f"1 + CAST('0x' || substr(md5(s.g || '|0|1337|' || s.i), 1, 8) AS BIGINT) % {size}"
+    return f"""{name}_walk AS (
+  SELECT DISTINCT g, CAST(-1 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR) AS o FROM {items}
+  UNION ALL
+  SELECT g, i, CASE WHEN slot IS NULL THEN list_append(held, key) ELSE list_concat(list_concat(held[1:slot - 1], [key]), held[slot + 1:]) END, CASE WHEN slot IS NOT NULL THEN held[slot] END
+  FROM (SELECT s.g, s.i, s.key, w.held, CASE WHEN len(w.held) = {size} THEN {draw} END AS slot FROM {name}_walk w JOIN {items} s ON s.g = w.g AND s.i = w.i + 1)
+), {name}_left AS (
+  SELECT g, unnest(held) AS key FROM {name}_walk QUALIFY i = max(i) OVER (PARTITION BY g)
+), {name} AS (
+  SELECT g, key, row_number() OVER (PARTITION BY g ORDER BY phase, i, h, key) - 1 AS place
+  FROM (SELECT g, o AS key, 0 AS phase, i, '' AS h FROM {name}_walk WHERE o IS NOT NULL UNION ALL SELECT g, key, 1, 0, md5(key || '|0|1337') FROM {name}_left)
+)"""
+
+
 _HEAP = """p AS (SELECT key, num_frames, CAST((row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1) // 256 AS BIGINT) AS shard_idx FROM utt
 ), r AS (
   SELECT key, shard_idx, num_frames AS n, row_number() OVER (PARTITION BY shard_idx ORDER BY key) AS i FROM p WHERE num_frames BETWEEN 0 AND 400000
@@ -163,8 +182,7 @@ _HEAP = """p AS (SELECT key, num_frames, CAST((row_number() OVER (ORDER BY md5(k
   FROM walk w JOIN q ON q.shard_idx = w.shard_idx AND q.j = w.j + 1, LATERAL (SELECT (w.place + 2) * greatest(w.longest, q.n) > 1600000 AS full_)
 )
 SELECT shard_idx, key, batch_id, place FROM walk"""
-_ASCII_TEXT = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
-_REC_ERRORS = f"WITH {UTT}, {REC}, e AS (SELECT language_tag, key, len(w) AS n, len(list_filter(range(0, len(w)), lambda i: i % 7 = 6)) AS d FROM rec)"
+_REC_ERRORS = f"WITH {UTT}, {REC}, e AS (SELECT language_tag, key, n, len(list_filter(range(0, n), lambda i: i % 60 IN (10, 30, 50))) AS d FROM rec)"
 
 ORACLE_SQL: dict[str, str] = {
     "sv_eer_mindcf": f"""WITH {EMB}, {_both('emb', '20 * (SELECT count(*) FROM emb)')}, {_SCORED}, one AS (SELECT 1 AS g, * FROM scored), {_rates('one', 'g', '"left", "right"')}
@@ -180,7 +198,7 @@ FROM t JOIN cen a ON a.key = "left" JOIN cen b ON b.key = "right" """,
 SELECT col, count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75, round(max(v), 6) AS max FROM l GROUP BY col""",
     "embedding_center_stats": """SELECT CAST(d AS INTEGER) AS d, round(avg(CAST(x AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST(x AS DOUBLE)), 6) AS std
 FROM (SELECT unnest(embedding) AS x, unnest(range(0, len(embedding))) AS d FROM embeddings) GROUP BY d""",
-    "top1_accuracy": f"""WITH {EMB} SELECT gender, round(avg(CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label AS INTEGER)), 9) AS accuracy, count(*) AS n FROM emb GROUP BY gender""",
+    "top1_accuracy": f"""WITH {EMB} SELECT gender, round(avg(CAST(list_position(embedding, list_max(embedding)) - 1 = vec_id % 64 AS INTEGER)), 9) AS accuracy, count(*) AS n FROM emb GROUP BY gender""",
     "frame_pooling": f"""WITH {EMB} SELECT key, CAST(d % 16 AS INTEGER) AS d, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT key, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS d FROM emb) GROUP BY key, d % 16""",
     "manifest_build": f"WITH {UTT} SELECT * EXCLUDE (doc_id) FROM utt",
     "manifest_keys": f"""WITH {UTT} SELECT key, split_part(key, '/', 1) AS dataset, split_part(key, '/', 2) AS speaker, split_part(key, '/', 3) AS recording, split_part(key, '/', 4) AS utterance,
@@ -202,8 +220,9 @@ SELECT rule, n FROM (
     "corpus_stats": _stats(),
     "corpus_stats_by_lang": _stats("language_tag"),
     "corpus_rollup": f"""WITH {UTT} SELECT language_tag, gender, CAST(GROUPING(language_tag, gender) AS BIGINT) AS level, count(*) AS samples, CAST(sum(num_frames) AS BIGINT) AS frames_total, round(sum(num_frames) / 16000.0 / 3600.0, 6) AS hours_total FROM utt GROUP BY ROLLUP (language_tag, gender)""",
-    "stats_report": f"""WITH {UTT}, r AS (SELECT count(*) AS a, count(DISTINCT speaker_id) AS b, min(num_frames) AS c, max(num_frames) AS d, sum(num_frames) / 16000.0 / 3600.0 AS e FROM utt)
-SELECT 'samples' AS statistic, CAST(a AS VARCHAR) AS value FROM r UNION ALL SELECT 'speakers', CAST(b AS VARCHAR) FROM r UNION ALL SELECT 'frames_min', CAST(c AS VARCHAR) FROM r UNION ALL SELECT 'frames_max', CAST(d AS VARCHAR) FROM r UNION ALL SELECT 'hours_total', format('{{:,.2f}}', e) FROM r""",
+    "stats_report": f"""WITH r AS ({_stats()}) """ + " UNION ALL ".join(
+        f"SELECT '{c}' AS statistic, " + (f"format('{{:,.2f}}', {c})" if "_avg" in c or "_q" in c or c in ("seconds_total", "hours_total") else f"CAST({c} AS VARCHAR)") + " AS value FROM r" for c in _STATISTICS
+    ),
     "char_vocab": f"WITH {UTT}, {_SPECIALS}, {_CHARS}, {_VOCAB} SELECT CAST(idx AS BIGINT) AS idx, char FROM voc",
     "char_distribution": f"WITH {UTT}, {_SPECIALS}, {_CHARS}, {_DIST} SELECT char, round(freq, 6) AS freq FROM dist",
     "class_prior": f"""WITH {UTT}, {_SPECIALS}, {_CHARS}, {_VOCAB}, {_DIST} SELECT CAST(idx AS INTEGER) AS idx, CASE WHEN idx = 0 THEN 0.25 ELSE round(freq, 6) END AS freq FROM voc JOIN dist USING (char)""",
@@ -243,7 +262,7 @@ SELECT path, CAST(i % 7 AS INTEGER) AS worker FROM r WHERE i < (SELECT count(*)
 SELECT "left" || ' ' || "right" || ' ' || CAST(same_speaker AS INTEGER) AS line, same_speaker FROM t""",
     "wer_corpus": f"{_REC_ERRORS} SELECT CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS ref_words, round(sum(d) / sum(n), 6) AS wer FROM e",
     "wer_by_lang": f"{_REC_ERRORS} SELECT language_tag, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS ref_words, round(sum(d) / sum(n), 6) AS wer FROM e GROUP BY language_tag",
-    "wer_batches": f"{_REC_ERRORS} SELECT language_tag, round(avg(r), 6) AS wer_mean, count(*) AS batches FROM (SELECT language_tag, substr(md5(key), 1, 2) AS b, sum(d) / sum(n) AS r FROM e GROUP BY ALL) GROUP BY language_tag",
+    "wer_batches": f"{_REC_ERRORS} SELECT language_tag, round(avg(r), 6) AS wer_mean, count(*) AS batches FROM (SELECT language_tag, substr(md5(key), 1, 2) AS b, sum(d) / nullif(sum(n), 0) AS r FROM e GROUP BY ALL) GROUP BY language_tag",
     "ctc_greedy": f"""WITH {EMB}, f AS (SELECT key, i, list_position(embedding[i * 8 + 1:i * 8 + 8], list_max(embedding[i * 8 + 1:i * 8 + 8])) - 1 AS b FROM (SELECT key, embedding, unnest(range(0, vec_id % 9)) AS i FROM emb)),
 k AS (SELECT key, i, b FROM (SELECT *, lag(b) OVER (PARTITION BY key ORDER BY i) AS p FROM f) WHERE (p IS NULL OR p <> b) AND b <> 0),
 o AS (SELECT key, string_agg(CAST(b AS VARCHAR), ' ' ORDER BY i) AS indices, string_agg(CASE WHEN b >= 4 THEN [' ', 'a', 'b', 'c'][b - 3] ELSE '' END, '' ORDER BY i) AS text FROM k GROUP BY key)
@@ -262,7 +281,7 @@ SELECT step, s_suppkey, p_partkey FROM (SELECT unnest(range(0, 2 * (SELECT count
     "call_sentences": f"""WITH {TOK} SELECT file_id, channel, sentence_no, start_s, end_s, text FROM sent WHERE start_s >= 0 AND end_s - start_s BETWEEN 3 AND 20 AND contains(trim(text), ' ') AND NOT contains(trim(text), '-')""",
     "call_min_sessions": f"""WITH {TOK}, s AS (SELECT DISTINCT file_id % 20 AS speaker_id, file_id AS recording_id FROM tok) SELECT * FROM s WHERE speaker_id IN (SELECT speaker_id FROM s GROUP BY 1 HAVING count(*) >= 3)""",
     "call_cleaning": f"SELECT conv_id, turn, {_clean_call('text')} AS clean FROM conversations",
-    "hub5_normalise": f"SELECT conv_id, turn, sha1({_annotations(_ASCII_TEXT)}) AS digest FROM conversations",
+    "hub5_normalise": f"SELECT conv_id, turn, sha1({_annotations('text')}) AS digest FROM conversations",
     "segment_spans": f"""WITH {TOK}, r AS (SELECT file_id, CAST(max(end_s) * 16000 - 4000 AS BIGINT) AS num_frames FROM sent GROUP BY 1), f AS (SELECT s.*, num_frames, CAST(floor(start_s * 16000) AS BIGINT) AS start_frame, CAST(ceil(end_s * 16000) AS BIGINT) AS end_frame FROM sent s JOIN r USING (file_id))
 SELECT file_id, channel, sentence_no, start_frame, end_frame, start_frame >= 0 AND end_frame > start_frame AND end_frame <= num_frames AS inside FROM f""",
     "file_triplets": """SELECT p_partkey AS file_id, p_partkey || '.wav' AS wav, p_partkey || '.txt' AS txt, p_partkey || '.mrk' AS mrk FROM part WHERE p_size % 5 <> 0""",
@@ -323,7 +342,42 @@ SELECT key, gender FROM p WHERE gender = 'm' AND NOT (total > 128 AND total % 12
 SELECT 'train.' || lpad(CAST(i AS VARCHAR), 6, '0') || CASE WHEN total > 128 AND total % 128 <> 0 AND i = total // 128 THEN '.partial' ELSE '' END || '.tar' AS name FROM (SELECT total, unnest(range(0, (total + 127) // 128)) AS i FROM n)""",
     "librispeech_speakers": """SELECT CAST(s_suppkey AS INTEGER) AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 'train' AS subset, CAST(s_suppkey % 40 + 0.5 AS DOUBLE) AS minutes, s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0""",
     "voxceleb_metadata": """SELECT 'id' || c_custkey AS voxceleb_id, c_name AS vggface_id, CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'f' END AS gender, CAST(c_nationkey AS VARCHAR) AS nationality, 'dev' AS "set", 'vox1' AS dataset FROM customer""",
-    "caller_table": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS pin, 'v0' AS target, CAST(c_nationkey AS VARCHAR) AS speaker_partition FROM customer",
+    "caller_table": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS pin, " + ", ".join(f"'v{i}' AS {n}" for i, n in enumerate(("target", "sex", "birth_year", "dialect_area", "education", "ti", "payment_type", "amt_pd", "con", "remarks", "calls_deleted"))) + ", CAST(c_nationkey AS VARCHAR) AS speaker_partition FROM customer",
+    "utterance_transcripts": f"WITH {UTT} SELECT split_part(key, '/', 2) || '-' || split_part(key, '/', 3) || '-' || split_part(key, '/', 4) AS utterance_id, transcription AS text FROM utt",
+    "session_transcripts": r"SELECT 's' || (conv_id % 10) AS speaker, 'c' || conv_id AS session, lpad(CAST(turn AS VARCHAR), 6, '0') AS utterance, translate(text, chr(10) || chr(13) || chr(9), '   ') AS text FROM conversations",
+    "single_transcripts": r"""SELECT 'en_' || conv_id AS recording, CASE WHEN role = 'user' THEN 'A' ELSE 'B' END AS channel, lpad(CAST(turn AS VARCHAR), 4, '0') AS utterance, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text,
+  'hub5/hub5_en_' || conv_id || CASE WHEN role = 'user' THEN '_A' ELSE '_B' END AS speaker_id FROM conversations""",
+    "markup_files": r"""WITH w AS (
+  SELECT conv_id, turn, role, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM (SELECT conv_id, turn, role, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM conversations)
+), l AS (
+  SELECT CAST(conv_id AS VARCHAR) AS file_id, turn, i, CASE WHEN role = 'user' THEN 'A' ELSE 'B' END || '.' || turn || ' ' || CAST(turn * 100 + i * CAST(0.5 AS DOUBLE) AS VARCHAR) || ' 0.5 ' || w AS value FROM w
+)
+SELECT file_id, count(*) AS lines, md5(string_agg(value, chr(10) ORDER BY turn, i)) AS digest FROM l GROUP BY file_id""",
+    "call_headers": """WITH c AS (SELECT DISTINCT conv_id AS n FROM conversations)
+SELECT lpad(CAST(n AS VARCHAR), 4, '0') AS file_id, lpad(CAST(n + 1 AS VARCHAR), 4, '0') AS speaker_a, '1' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') AS speaker_b, NULL AS bad FROM c WHERE n % 7 <> 0
+UNION ALL SELECT NULL, NULL, NULL, 'sw' || n || '.txt' FROM c WHERE n % 7 = 0""",
+    "audio_inventory": "SELECT 'id' || label AS speaker, 'r' || (vec_id % 5) AS recording, CAST(vec_id AS VARCHAR) AS utterance, CAST(len(embedding) AS BIGINT) AS num_frames, CAST(16000 AS INTEGER) AS sample_rate, CAST(1 AS INTEGER) AS channels FROM embeddings WHERE label <> 3",
+    "validation_dump": f"WITH {UTT} SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS INTEGER) AS index, md5(transcription) AS ref, substr(transcription, 1, 20) AS hyp FROM utt ORDER BY key LIMIT 32",
+    "buffer_shuffle": f"""WITH RECURSIVE {UTT}, item AS (SELECT key, n // 256 AS g, row_number() OVER (PARTITION BY n // 256 ORDER BY key) - 1 AS i FROM (SELECT key, row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1 AS n FROM utt)), {_buffered('item', 100, 'sh')}
+SELECT CAST(g AS BIGINT) AS shard_idx, key, place FROM sh""",
+    "task_buffered_batches": f"""WITH RECURSIVE {EMB}, {_TASK.split('), ranked')[0]}), item AS (SELECT key, shard_idx AS g, row_number() OVER (PARTITION BY shard_idx ORDER BY key) - 1 AS i FROM sam), {_buffered('item', 50, 'sh')},
+b AS (SELECT g, key, place // 8 AS batch_id FROM sh), b_item AS (SELECT DISTINCT g, CAST(batch_id AS VARCHAR) AS key, batch_id AS i FROM b), {_buffered('b_item', 5, 'bsh')}
+SELECT CAST(b.g AS BIGINT) AS shard_idx, CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS batch_size, md5(string_agg(b.key, ',' ORDER BY b.key)) AS keys, min(bsh.place) AS batch_place
+FROM b JOIN bsh ON b.g = bsh.g AND CAST(b.batch_id AS VARCHAR) = bsh.key GROUP BY b.g, batch_id""",
+    "set_composition": """WITH c AS (SELECT c_mktsegment AS role, c_custkey AS place, c_name FROM customer), n AS (
+  SELECT role, count(*) AS names, count(*) FILTER (role <> 'MACHINERY') AS paths, count(*) FILTER ((role = 'BUILDING' OR place % 3 > 0) AND role <> 'HOUSEHOLD') AS trials, role <> 'AUTOMOBILE' AS verified FROM c GROUP BY role
+)
+SELECT role, 'incomplete' AS rule FROM n WHERE paths < names UNION ALL SELECT role, 'name_and_path_differ' FROM n WHERE paths <> names
+UNION ALL SELECT role, 'name_and_trials_differ' FROM n WHERE verified AND trials <> names UNION ALL SELECT role, 'trials_not_used' FROM n WHERE NOT verified AND trials > 0""",
+    "set_evaluation": f"""WITH {EMB}, {UTT}, {_both('emb', '20 * (SELECT count(*) FROM emb)')}, {_SCORED}, sided AS (
+  SELECT 'clean' AS g, * FROM scored UNION ALL SELECT 'both', * FROM scored WHERE md5("left") < '8' UNION ALL SELECT 'gap', * FROM scored WHERE md5("left") >= '8'
+), {_rates('sided', 'g', '"left", "right"')}, {REC}, e AS (
+  SELECT CASE WHEN language_tag = 'en' THEN 'other' ELSE 'both' END AS g, n, len(list_filter(range(0, n), lambda i: i % 60 IN (10, 30, 50))) AS d FROM rec WHERE language_tag IN ('en', 'fr')
+), f AS (
+  SELECT g, unnest([{{'k': 'eer', 'v': eer}}, {{'k': 'eer_threshold', 'v': eer_threshold}}, {{'k': 'mdc', 'v': mdc}}, {{'k': 'mdc_threshold', 'v': mdc_threshold}}]) AS f FROM rates
+)
+SELECT 'test_' || f.k || '_' || g AS key, CASE WHEN g <> 'gap' THEN round(f.v, 9) END AS value, CASE WHEN g = 'gap' THEN 'missing_embeddings' ELSE 'ok' END AS status FROM f
+UNION ALL SELECT 'test_wer_' || g, round(sum(d) / sum(n), 9), 'ok' FROM e GROUP BY g""",
     "reference_segments": """SELECT CAST(conv_id + 0.5 AS DOUBLE) AS start_s, CAST(conv_id + turn + 1.25 AS DOUBLE) AS end_s, CASE WHEN role = 'user' THEN 'A' ELSE 'B' END AS channel, md5(text) || ': ' || turn AS text FROM conversations""",
     "id_list": "SELECT CAST(p_partkey AS INTEGER) AS file_id FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0",
     "transcript_json": f"WITH {UTT} SELECT key, transcription AS text, language_tag AS language FROM utt",
@@ -357,6 +411,6 @@ SELECT shard_idx, key, batch_id, place FROM walk""",
     "set_checks": """WITH s AS (SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'test' ELSE 'val' END AS role, 'set' || (n_nationkey % 9) AS name, CASE WHEN n_nationkey % 6 <> 0 THEN '/data/' || n_name END AS path FROM nation)
 SELECT role, rule FROM (
   SELECT role, 'name_twice' AS rule FROM s GROUP BY role, name HAVING count(*) > 1 UNION SELECT role, 'path_twice' FROM s WHERE path IS NOT NULL GROUP BY role, path HAVING count(*) > 1
-  UNION SELECT role, 'incomplete' FROM s WHERE path IS NULL
+  UNION SELECT role, 'incomplete' FROM s WHERE path IS NULL UNION SELECT role, 'name_and_path_differ' FROM s GROUP BY role HAVING count(name) <> count(path)
 )""",
 }

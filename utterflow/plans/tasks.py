@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,9 @@ class BatchConfig:
     chunk_seconds: float = 2.0
     seed: int = 1337
     epoch: int = 0
+    #: Buffer sizes of the shuffles of samples, before batching, and of batches; None: samples are shuffled whole, batches stay.
+    shuffle_before: int | None = None
+    shuffle_after: int | None = None
     filters: dict = field(default_factory=dict)
 
     def check(self) -> None:
@@ -38,7 +42,11 @@ class BatchConfig:
 def assign_batches(df: DataFrame, config: BatchConfig) -> DataFrame:
     """``df`` (shard_idx, key, num_frames, ...) with ``batch_id``, in an order shuffled by seed and epoch."""
     config.check()
-    df = df.withColumn("_order", F.md5(F.concat_ws("|", "key", F.lit(f"{config.epoch}|{config.seed}"))))
+    if config.shuffle_before is None:
+        df = df.withColumn("_order", F.md5(F.concat_ws("|", "key", F.lit(f"{config.epoch}|{config.seed}"))))
+    else:
+        places = batching.buffer_shuffle(df, config.shuffle_before, seed=config.seed, epoch=config.epoch)
+        df = df.join(places.withColumnRenamed("place", "_order"), ["shard_idx", "key"])
     if config.batch_size is not None:
         out = batching.batch_fixed(df, config.batch_size, bool(config.drop_last), order=("_order", "key"))
     else:
@@ -47,6 +55,15 @@ def assign_batches(df: DataFrame, config: BatchConfig) -> DataFrame:
     return out.drop("_order")
 
 
+def shuffle_batches(batches: DataFrame, config: BatchConfig) -> DataFrame:
+    """``batches`` with ``batch_place``, their places in their shard: by number, or shuffled through a buffer."""
+    if config.shuffle_after is None:
+        return batches.withColumn("batch_place", F.col("batch_id"))
+    names = batches.select("shard_idx", "batch_id").withColumn("key", F.col("batch_id").cast("string"))
+    places = batching.buffer_shuffle(names, config.shuffle_after, order=("batch_id",), seed=config.seed, epoch=config.epoch)
+    return batches.join(places.select("shard_idx", F.col("key").cast("long").alias("batch_id"), F.col("place").alias("batch_place")), ["shard_idx", "batch_id"])
+
+
 def _chunked(df: DataFrame, config: BatchConfig) -> DataFrame:
     out = batching.chunk(df, config.chunk, config.chunk_seconds, seed=config.seed, epoch=config.epoch)
     return out.withColumn("key", F.when(F.col("chunk_idx") > 0, F.concat_ws("#", "key", "chunk_idx")).otherwise(F.col("key"))).drop("chunk_idx")
@@ -54,12 +71,12 @@ def _chunked(df: DataFrame, config: BatchConfig) -> DataFrame:
 
 def speech_batches(df: DataFrame, index: dict[str, int], config: BatchConfig) -> DataFrame:
     kept = filter_samples(df, **config.filters).withColumn("codes", encode_with(F.col("transcription"), index))
-    return batching.collate(assign_batches(kept, config), text="transcription", codes="codes")
+    return shuffle_batches(batching.collate(assign_batches(kept, config), text="transcription", codes="codes"), config)
 
 
 def speaker_batches(df: DataFrame, speakers: DataFrame, config: BatchConfig) -> DataFrame:
     labelled, _ = attach_label(_chunked(df, config), speakers, "speaker_id")
-    return batching.collate(assign_batches(labelled, config), label="label")
+    return shuffle_batches(batching.collate(assign_batches(labelled, config), label="label"), config)
 
 
 def gender_batches(df: DataFrame, config: BatchConfig) -> DataFrame:
@@ -67,17 +84,34 @@ def gender_batches(df: DataFrame, config: BatchConfig) -> DataFrame:
     if config.batch_size is None:
         raise ValueError("gender batches have a fixed size")
     labelled = _chunked(df, config).where(F.col("gender").isin("m", "f")).withColumn("label", (F.col("gender") == "f").cast("bigint"))
-    return batching.collate(assign_batches(labelled, config), label="label")
+    return shuffle_batches(batching.collate(assign_batches(labelled, config), label="label"), config)
 
 
 def joint_batches(df: DataFrame, index: dict[str, int], speakers: DataFrame, config: BatchConfig) -> DataFrame:
     kept, _ = attach_label(filter_samples(df, **config.filters), speakers, "speaker_id")
     kept = kept.withColumn("codes", encode_with(F.coalesce("transcription", F.lit("none")), index))
-    return batching.collate(assign_batches(kept, config), text="transcription", codes="codes", label="label")
+    return shuffle_batches(batching.collate(assign_batches(kept, config), text="transcription", codes="codes", label="label"), config)
+
+
+def compose_sets(names: DataFrame, shards: DataFrame, trials: DataFrame) -> DataFrame:
+    """``role, place, name, path, trials`` of lists (role, place, value) of names, shard folders and trial files, matched by place."""
+    out = names.withColumnRenamed("value", "name")
+    for more, column in ((shards, "path"), (trials, "trials")):
+        out = out.join(more.withColumnRenamed("value", column), ["role", "place"], "full")
+    return out
+
 
+def check_sets(sets: DataFrame, trial_roles: Sequence[str] = ()) -> DataFrame:
+    """``role, rule`` of set tables (role, name, path, trials) that do not fit.
 
-def check_sets(sets: DataFrame) -> DataFrame:
-    """``role, rule`` of set tables (role, name, path, trials, ignore_tags) that do not fit: names or paths twice, test sets without path."""
+    Names or paths that come twice, sets without either, lists of names, paths and, in
+    ``trial_roles``, trials of different lengths, and trials in other roles.
+    """
     twice = lambda c: sets.where(F.col(c).isNotNull()).groupBy("role", c).count().where("count > 1").select("role", F.lit(f"{c}_twice").alias("rule"))
     lacking = sets.where(F.col("path").isNull() | F.col("name").isNull()).select("role", F.lit("incomplete").alias("rule"))
-    return twice("name").unionByName(twice("path")).unionByName(lacking).distinct()
+    sizes = sets.groupBy("role").agg(*[F.count(c).alias(c) for c in ("name", "path", "trials")])
+    verified = F.col("role").isin(*trial_roles) if trial_roles else F.lit(False)
+    differ = lambda a, b: F.when(F.col(a) != F.col(b), F.lit(f"{a}_and_{b}_differ"))
+    rules = F.array(differ("name", "path"), F.when(verified, differ("name", "trials")), F.when(~verified & (F.col("trials") > 0), F.lit("trials_not_used")))
+    lengths = sizes.select("role", F.explode(F.array_compact(rules)).alias("rule"))
+    return twice("name").unionByName(twice("path")).unionByName(lacking).unionByName(lengths).distinct()

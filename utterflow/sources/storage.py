@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from fnmatch import fnmatch
 from typing import BinaryIO
@@ -32,6 +34,19 @@ class Storage:
         if not self.fs.rename(self._path(source), to):
             raise OSError(f"{source} could not be moved to {target}")
 
+    def name_parts(self, staging: str, path: str, pattern: str, name: Callable[[re.Match], str]) -> None:
+        """Move the part files below ``staging`` whose path has ``pattern`` to the names below ``path`` that it gives them."""
+        found: dict[str, str] = {}
+        for file in self.files(staging):
+            if m := re.search(pattern + r"/part-[^/]*$", file):
+                if name(m) in found:
+                    raise ValueError(f"{name(m)} has several parts")
+                found[name(m)] = file
+        for to, file in found.items():
+            target = f"{path.rstrip('/')}/{to}"
+            self.fs.mkdirs(self._path(target).getParent())
+            self.move(file, target)
+
     def remove(self, path: str) -> None:
         """Delete a file or a folder, if there is one."""
         self.fs.delete(self._path(path), True)
@@ -58,6 +73,17 @@ def matching(path: str, pattern: str) -> list[tuple[str, int]]:
 @contextmanager
 def opened(path: str) -> Iterator[BinaryIO]:
     """A file that can be read from any place."""
+    path = re.sub("^file:/(?!/)", "file:///", path)  # as Spark writes local paths
     system, inner = arrow_fs.FileSystem.from_uri(path)
     with system.open_input_file(inner) as f:
         yield f
+
+
+def placed(path: str, content: bytes) -> None:
+    """Write a small file from a task. It gets its name when it is whole, so attempts that fail or run twice do no harm."""
+    system, inner = arrow_fs.FileSystem.from_uri(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    part = f"{inner.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as f:
+        f.write(content)
+    system.move(part, inner)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import padded_id
 from ..operators.trials import trial_line
 from ..schemas import MANIFEST, SHARD_PLAN, TRANSCRIPTS
-from .storage import Storage
+from .storage import Storage, opened, opens
+from .wav import wav_header
 
 _TSV = {"sep": "\t", "quote": '"', "escape": "\\", "header": True}
 
@@ -150,14 +155,43 @@ def read_transcript_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audio_inventory(spark: SparkSession, path: str, speakers: DataFrame | None = None) -> DataFrame:
-    """``speaker, recording, utterance, path, num_frames`` of ``speaker/recording/*.wav``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path).select("path", "length")
+    """``speaker, recording, utterance, path, num_frames, sample_rate, channels`` of ``speaker/recording/*.wav``.
+
+    Figures come from the chunk headers; the samples are not read. Files of speakers that are
+    not listed are not opened.
+    """
+    whole = not opens(path)  # a file system that only Spark opens gives contents as a whole
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    files = files.select("path", "length", _segment(3, F.col("path")).alias("speaker"), *(["content"] if whole else []))
+    if speakers is not None:
+        files = files.join(speakers.select("speaker").distinct(), "speaker", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, length, *content in zip(*(c.to_pylist() for c in batch.columns)):
+                with io.BytesIO(content[0]) if whole else opened(name) as file:
+                    rows.append(wav_header(file, length))
+            figures = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *figures], ["path", "num_frames", "sample_rate", "channels"])
+
+    parsed = files.select("path", "length", *(["content"] if whole else [])).mapInArrow(run, "path string, num_frames long, sample_rate int, channels int")
     at = F.col("path")
-    out = files.select(
-        _segment(3, at).alias("speaker"), _segment(2, at).alias("recording"), F.regexp_replace(_segment(1, at), r"\.wav$", "").alias("utterance"),
-        "path", F.floor((F.col("length") - 44) / 2).cast("bigint").alias("num_frames"),
-    )
-    return out if speakers is None else out.join(speakers.select("speaker").distinct(), "speaker", "left_semi")
+    return parsed.select(_segment(3, at).alias("speaker"), _segment(2, at).alias("recording"), F.regexp_replace(_segment(1, at), r"\.wav$", "").alias("utterance"), "path", "num_frames", "sample_rate", "channels")
+
+
+def write_named_text(df: DataFrame, path: str) -> None:
+    """A text file below ``path`` for each ``file``, a relative name, with the lines ``value`` in the order of ``at``.
+
+    Spark's writer places the lines; files get their names when all are written.
+    """
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    storage = Storage(df.sparkSession, path)
+    try:
+        df.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(staging)
+        storage.name_parts(staging, path, "/file=([^/]*)", lambda m: unquote(m[1]))
+    finally:
+        storage.remove(staging)
 
 
 def read_call_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..functions.keys import speaker_of
-from ..schemas import DATASETS, SAMPLE_RATE, SHARD_META
+from ..schemas import DATASETS, SHARD_META
 from .storage import Storage, matching, opened, opens
+from .wav import wav_file as wav_bytes
 
 #: A batch ends at so many samples or bytes; a stretch of a shard that is written has about as many bytes.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
@@ -38,14 +39,6 @@ BLOCK = tarfile.BLOCKSIZE
 _KEYS = [re.compile(rf"({d}/\w+/\w+/\w+)", re.ASCII) for d in DATASETS]
 
 
-def wav_bytes(samples: Iterable[float], rate: int = SAMPLE_RATE) -> bytes:
-    """PCM16 mono."""
-    body = np.clip(np.rint(np.asarray(samples, np.float64) * 32767), -32768, 32767).astype("<i2").tobytes()
-    head = b"RIFF" + (36 + len(body)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little")
-    head += b"".join(x.to_bytes(n, "little") for x, n in ((1, 2), (1, 2), (rate, 4), (2 * rate, 4), (2, 2), (16, 2)))
-    return head + b"data" + len(body).to_bytes(4, "little") + body
-
-
 def wav_samples(data: bytes) -> np.ndarray:
     at = 12
     while at + 8 <= len(data):
@@ -276,15 +269,8 @@ def write_shards(df: DataFrame, plan: DataFrame, path: str, prefix: str, compres
     try:
         writer = placed.write.partitionBy("shard_idx", "partial_shard").option("lineSep", _filler().decode("ascii"))
         (writer.option("compression", "gzip") if compress else writer).text(staging)
-        found: dict[str, str] = {}
-        for file in storage.files(staging):
-            if m := re.search(r"/shard_idx=(\d+)/partial_shard=(\w+)/part-[^/]*$", file):
-                name = f"{prefix}.{int(m[1]):06d}{'.partial' if m[2] == 'true' else ''}.tar{'.gz' if compress else ''}"
-                if name in found:
-                    raise ValueError(f"shard {name} has several parts")
-                found[name] = file
-        for name, file in found.items():
-            storage.move(file, f"{path.rstrip('/')}/{name}")
+        ending = ".tar.gz" if compress else ".tar"
+        storage.name_parts(staging, path, r"/shard_idx=(\d+)/partial_shard=(\w+)", lambda m: f"{prefix}.{int(m[1]):06d}{'.partial' if m[2] == 'true' else ''}{ending}")
     finally:
         storage.remove(staging)
 

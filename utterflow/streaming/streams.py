@@ -51,7 +51,7 @@ def shard_stream(spark: SparkSession, path: str, pattern: str = "*.tar*", allow_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with opened(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name) as file:
+                with opened(name) as file:
                     yield from batches_of(file, name, wanted, True)
 
     return names.mapInArrow(run, TarShards({}).schema())
