@@ -13,13 +13,19 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, as in tests, under one of this application's own."""
+    """A new folder under ``spark.checkpoint.dir``.
+
+    Only where that is unset and all tasks run in this process's machine, as in tests, it lies
+    under a temporary folder; on a cluster each executor would write to its own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="spark-")
-        base = _own[app]
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        base = _own[context.applicationId]
     return f"{base.rstrip('/')}/utterflow/{uuid.uuid4().hex}"
 
 
@@ -42,8 +48,8 @@ def release(spark: SparkSession) -> None:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``saved`` returned, once everything that was made from it has been saved as well."""
-    spark = df.sparkSession
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    """Delete the folder of a table that ``saved`` returned, once everything that was made from it has been saved as well."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
