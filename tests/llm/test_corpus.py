@@ -228,16 +228,15 @@ def plain_spans(rows, percent=80, min_words=20, seed=10, reach=10, gap=6):
             parts += [(i, a, b, d) for a, b, _ in found]
             found.sort()
             parts += [(i, b, c, d) for (a, b, p), (c, _, q) in zip(found, found[1:]) if 1 <= c - b <= gap and 0 <= q - (p + b - a) <= gap]
-    pars = [(i, a, b, frozenset(tuple(words[i][k : k + 5]) for k in range(a, max(a + 1, b - 4))) if b - a >= 5 else frozenset([tuple(words[i][a:b])])) for i in words for a, b in zip(cuts[i], cuts[i][1:])]
+    pars = [(i, a, b, frozenset(tuple(words[i][k : k + 5]) for k in range(a, max(a + 1, b - 4))) if b - a >= 5 else frozenset([tuple(words[i][a:b])])) for i in words for a, b in zip(cuts[i], cuts[i][1:]) if b - a >= seed]
     ids = {x: sorted(k for k, p in enumerate(pars) if p[3] == x) for x in {p[3] for p in pars}}
     group = grouped(dict(enumerate(ids)), percent)
     together = collections.defaultdict(list)
     for k, x in enumerate(ids):
         together[group[k]].append(x)
     for classes in together.values():
-        if len(classes) > 1:
-            members = sorted(pars[k][:3] for x in classes for k in ids[x])
-            parts += [(*m, members[0][0]) for m in members[1:]]
+        members = sorted(pars[k][:3] for x in classes for k in ids[x])
+        parts += [(*m, members[0][0]) for m in members[1:]]
     out = []
     for i, a, b, d in sorted(parts):
         if out and out[-1][0] == i and a <= out[-1][2]:

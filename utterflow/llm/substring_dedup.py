@@ -1,28 +1,33 @@
-"""Substring deduplication: repeated passages by content-defined seeds, edited paragraphs by MinHash banding.
+"""Substring deduplication: content-defined paragraphs of two sizes, MinHash banding, growth word by word.
 
-A text is cut into paragraphs where the hash of a word pair is the least among its
-neighbours, so the cuts inside a passage depend on the passage alone. Paragraphs whose
+A text is cut into long paragraphs where the hash of a word pair is the least among its
+neighbours, so the cuts inside a passage depend on the passage alone. Long paragraphs whose
 signatures share a band are verified on their exact sets of ``shingle`` words, and of each
-component of paragraphs of Jaccard ``percent`` / 100 or more the first one stays (least
-document, then place).
-
-Paragraphs alone miss the words beside the borders of a passage and short stretches between
-edits. So seeds find exact repeats: a seed is the least of REACH + 1 successive stretches of
-SEED words, so a passage of SEED + REACH words or more brings seeds along wherever it lies.
-Seeds that an earlier place has too, on one alignment, form runs, and runs grow word by word
-on both sides while the words of both places agree, up to REACH words. Two runs with the
-same earlier document and at most GAP words between them, in both documents, are bridged:
+component of paragraphs of Jaccard ``percent`` / 100 or more, equal ones included, the
+first one stays (least document, then place).
+
+Long paragraphs alone miss passages that hold none as a whole, the words beside the borders
+of a passage, and short stretches between edits. So a second size covers the text more
+densely: a short paragraph is SEED words from a content-defined place, the least of
+REACH + 1 successive ones, so a passage of SEED + REACH words or more brings short paragraphs
+along wherever it lies. At a Jaccard of 0.8, sets of so few shingles are similar only if
+they are equal, so one band, the whole paragraph, finds all pairs. Short paragraphs that an
+earlier place has too, on one alignment, form runs, and runs grow word by word on both
+sides while the words of both places agree, up to REACH words. Two runs with the same
+earlier document and at most GAP words between them, in both documents, are bridged:
 their edit distance is at most a fifth of their length. Repeated words are removable where
-they run for ``min_words`` words or more; shorter runs, such as common lines, stay. Every
-word of a repeated passage of SEED + REACH words is covered, but for up to REACH words at a
-border beside a seed that a third, earlier document has in other company.
-
-Cases: a null or blank text has no seeds and no paragraphs; a text of fewer words than a
-shingle is one paragraph, of one shingle; equal texts repeat each other as a whole; rows
+they run for ``min_words`` words or more; shorter runs, such as common lines, stay. Each
+removed word is in a stretch of SEED words or more that one earlier document has, or in a
+similar paragraph or a bridge; neighbouring stretches may have different earlier documents.
+Every word of a repeated passage of SEED + REACH words is covered, but for up to REACH words
+at a border beside a short paragraph that a third, earlier document has in other company.
+
+Cases: a null or blank text has no paragraphs, and a paragraph of fewer than SEED words, as
+at a text's end, is compared with none; equal texts repeat each other as a whole; rows
 that repeat an id, and rows with a null id, are documents of their own (null last); a
 stretch that overlaps its own first place is no repeat; an empty table gives an empty
 result. Whole texts are taken, of up to 2^27 words, and more raise an error; columns
-besides id and text are ignored. Hashes of 64 bits stand for stretches, and of 31 bits
+besides id and text are ignored. Hashes of 64 bits stand for paragraphs, and of 31 bits
 for the words beside a run.
 """
 
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +47,7 @@ from .frames import free_name, numbered, saved, unique_ids
 from .kernels import band_keys, chunks, list_array, shingle_sets, superminhash, window_hashes, word_table
 from .near_dedup import set_fingerprints
 
-#: Words of a seed; a seed is the least of REACH + 1 successive ones; words between two runs that are bridged.
+#: Words of a short paragraph, which is the least of REACH + 1 successive ones; words between two runs that are bridged.
 SEED, REACH, GAP = 10, 10, 6
 #: Words on each side among which a cut is the least: paragraphs have about 2 HALF + 1 words.
 HALF, LONGEST = 31, 256
@@ -78,7 +84,7 @@ def paragraph_starts(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
 
 
 def seed_places(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the seeds: the leftmost least of every REACH + 1 successive stretches of SEED words."""
+    """First words and hashes of the short paragraphs: the leftmost least of every REACH + 1 successive stretches of SEED words."""
     grams = window_hashes(hashes, SEED)
     n = max(0, len(grams) - REACH)
     least = grams[:n].copy()
@@ -105,8 +111,8 @@ def set_classes(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def marks(texts: DataFrame, shingle: int) -> DataFrame:
     """``kind, key, value, n`` of (num, text), flat rows.
 
-    A seed gives (hash, place), a band of a paragraph (band, class), a paragraph (class,
-    place) and its number of words; a place is a document's number and a word's.
+    A short paragraph gives (hash, place), a band of a paragraph (band, class), a long paragraph
+    (class, place) and its number of words; a place is a document's number and a word's.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +127,18 @@ def marks(texts: DataFrame, shingle: int) -> DataFrame:
                 starts, row = paragraph_starts(hashes, bounds)
                 limits = np.append(starts, len(hashes))
                 flat, ends = shingle_sets(hashes, limits, shingle)
-                name = set_classes(flat, ends)
+                long = np.flatnonzero(np.diff(limits) >= SEED)
+                name = set_classes(flat, ends)[long]
                 # equal paragraphs of a chunk have one signature
                 _, once = np.unique(name, return_index=True)
-                sizes = np.diff(ends)[once]
+                sizes = np.diff(ends)[long[once]]
                 inner = np.concatenate(([0], np.cumsum(sizes)))
-                elements = flat[np.arange(inner[-1]) - np.repeat(inner[:-1] - ends[once], sizes)]
+                elements = flat[np.arange(inner[-1]) - np.repeat(inner[:-1] - ends[long[once]], sizes)]
                 bands = band_keys(superminhash(elements, inner, BANDS * ROWS), BANDS, ROWS).reshape(-1).view(np.int64)
                 parts = (
                     (SEED_ROW, seed.view(np.int64), base[seed_row] + at, np.zeros(len(at), np.int32)),
                     (BAND_ROW, bands, np.repeat(name[once], BANDS), np.zeros(len(bands), np.int32)),
-                    (PARAGRAPH_ROW, name, base[row] + starts, np.diff(limits).astype(np.int32)),
+                    (PARAGRAPH_ROW, name, (base[row] + starts)[long], np.diff(limits)[long].astype(np.int32)),
                 )
                 for kind, key, value, n in parts:
                     if len(key):
@@ -168,7 +175,7 @@ def _word(place: str | Column) -> Column:
 
 
 def similar_paragraphs(texts: DataFrame, found: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """``start, stop, kept`` (places): paragraphs in a component of several classes, and the component's first."""
+    """``start, stop, kept`` (places): paragraphs that are not the first of their component, and the first. Equal paragraphs are one class."""
     company = saved(buckets_with_company(found.where(F.col("kind") == BAND_ROW).select(F.col("key").alias("band"), F.col("value").alias("id")).distinct()))
     paragraphs = found.where(F.col("kind") == PARAGRAPH_ROW).select(F.col("key").alias("id"), F.col("value").alias("start"), "n")
 
@@ -179,16 +186,18 @@ def similar_paragraphs(texts: DataFrame, found: DataFrame, percent: int, shingle
 
     linked = saved(linked_components(company, fetch, percent))
     release(texts.sparkSession)
-    placed = saved(paragraphs.join(linked, "id").select("component", "start", (F.col("start") + F.col("n")).alias("stop")))
-    kept = saved(placed.groupBy("component").agg(F.min("start").alias("kept")))
-    return placed.join(kept, "component").where(F.col("start") != F.col("kept")).select("start", "stop", "kept")
+    placed = paragraphs.join(linked, "id", "left").select(F.coalesce("component", "id").alias("component"), "start", (F.col("start") + F.col("n")).alias("stop"))
+    placed = saved(placed)
+    kept = placed.groupBy("component").agg(F.min("start").alias("kept"), F.max("start").alias("_last")).where(F.col("kept") != F.col("_last"))
+    # written first, so that Spark can split the rows of a common paragraph
+    return placed.join(saved(kept.drop("_last")), "component").where(F.col("start") != F.col("kept")).select("start", "stop", "kept")
 
 
 def seed_runs(found: DataFrame) -> DataFrame:
-    """``start, stop, kept`` (places): the runs of seeds that an earlier place has, on one alignment each.
+    """``start, stop, kept`` (places): the runs of short paragraphs that an earlier place has, on one alignment each.
 
     First places come from partial aggregation and are joined back, so no group of equal
-    seeds has to meet in one task.
+    ones has to meet in one task.
     """
     seeds = found.where(F.col("kind") == SEED_ROW).select("key", F.col("value").alias("place"))
     first = seeds.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("_last"))
@@ -319,8 +328,8 @@ def repeated_spans(
 ) -> DataFrame:
     """One row per removable span: id, first_word, n_words, n_paragraphs, kept_doc_ids and, ``with_bytes``, first_byte and end_byte.
 
-    Bytes are of the text in UTF-8 and cost another pass; ``n_paragraphs`` counts the similar
-    paragraphs, 0 where the span is an exact repeat or bridges some. ``kept_doc_ids`` are the
+    Bytes are of the text in UTF-8 and cost another pass; ``n_paragraphs`` counts the long
+    paragraphs in it that are similar or equal to earlier ones, 0 where short ones alone make the span. ``kept_doc_ids`` are the
     documents that keep the earlier places.
     """
     texts, plain = _numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
@@ -351,8 +360,9 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(len(names))
         texts = batch.column(text_at)
-        at = np.flatnonzero(np.array(lists.is_valid()) & np.array(texts.is_valid()))
-        new = texts.to_pylist()
+        wanted = pc.and_(lists.is_valid(), texts.is_valid())
+        at = np.flatnonzero(wanted.to_numpy(zero_copy_only=False))
+        new = []
         for first, end, data, offsets in chunks(texts.take(pa.array(at))):
             _, bounds, word_start, word_end = word_table(data, offsets)
             raw = data.tobytes()
@@ -362,9 +372,9 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                     a = int(bounds[r]) + span["first_word"]
                     parts.append(raw[done : word_start[a]])
                     done = int(word_end[a + span["n_words"] - 1])
-                new[at[first + r]] = b"".join([*parts, raw[done : offsets[r + 1]]]).decode()
+                new.append(b"".join([*parts, raw[done : offsets[r + 1]]]).decode())
         columns = batch.columns[: len(names)]
-        columns[text_at] = pa.array(new, texts.type)
+        columns[text_at] = pc.replace_with_mask(texts, wanted, pa.array(new, texts.type))  # other texts stay as they are in Arrow
         return pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(batches_of(run), docs.schema)
