@@ -261,6 +261,10 @@ def test_manifest_round_trip(spark, tmp_path):
     df = samples(spark, 3).withColumn("transcription", F.lit('say "x" \\ y\tz'))
     tables.write_manifest(df, str(tmp_path / "m"))
     assert sorted(tables.read_manifest(spark, str(tmp_path / "m")).collect()) == sorted(df.collect())
+    many = samples(spark, 200).repartition(7)
+    tables.write_manifest(many, str(tmp_path / "o"))
+    lines = [line.split("\t")[0] for f in sorted((tmp_path / "o").glob("part-*")) for line in f.read_text().splitlines()[1:]]
+    assert lines == sorted(r.key for r in many.collect())  # files follow each other in order
 
 
 def test_violations(spark):
@@ -292,6 +296,8 @@ def test_tar_round_trip(spark, tmp_path):
     assert {r.speaker_id for r in rows} == {"ls/1"} and len(rows) == 4
     assert rows[0].samples == pytest.approx([0, 0.5, -0.5], abs=1e-4) and rows[0].key.startswith("ls/1/")
     assert tables.shard_files(spark, out).count() == 2
+    some = tar.of_speakers(tar.read_shards(spark, out), spark.createDataFrame([("ls/1",), ("ls/1",), ("ls/9",)], "speaker_id string"))
+    assert {r.speaker_id for r in some.collect()} == {"ls/1"} and some.count() == tar.read_shards(spark, out, speakers=["ls/1", "ls/9"]).count()
     with pytest.raises(ValueError):
         tables.shard_files(spark, out, pattern="*.zip")
     with pytest.raises(Exception, match="no shard matches"):
@@ -608,3 +614,10 @@ def test_transcript_errors_by_plain_alignment(spark):
 
     got = {r.i: r.errors for r in asr.pair_errors(spark.createDataFrame(rows, "i int, ref string, hyp string")).collect()}
     assert got == {i: distance(a.split(), b.split()) for i, a, b in rows}
+
+
+def test_check_scores(spark):
+    rows = [(1, 0.5), (0, 0.0), (2, 0.5), (1, None), (0, float("nan")), (None, 0.1), (1, 1.5), (0, -0.1)]
+    df = spark.createDataFrame(rows, "y int, score double")
+    assert scoring.check_scores(df).count() == 6
+    assert scoring.eer(df).first().status == "bad_scores"

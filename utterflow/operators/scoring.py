@@ -123,7 +123,8 @@ def min_dcf(
     g = by or ["_g"]
     base = (scores if by else scores.withColumn("_g", F.lit(1))).withColumns({"pos": F.when(F.col("y") == 1, 1).otherwise(0), "neg": F.when(F.col("y") == 0, 1).otherwise(0)})
     tie = [F.col(trial_no)] if trial_no else [F.col(c) for c in ("left", "right") if c in scores.columns]
-    curve = prefix(base, [F.col("score"), *tie], ["pos", "neg"], by=g)
+    needed = [trial_no] if trial_no else [c for c in ("left", "right") if c in scores.columns]
+    curve = prefix(base.select(*g, "score", *[c for c in needed if c not in g], "pos", "neg"), [F.col("score"), *tie], ["pos", "neg"], by=g)
     totals = _totals(scores, by)
     curve = curve.join(totals, g).where(_status() == "ok")
     fnr = (F.col("before_pos") + F.col("pos")) / F.col("_p")

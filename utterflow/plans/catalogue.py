@@ -114,15 +114,24 @@ def manifest_keys(spark, sf_dir):
     return u.withColumns({"speaker_number": keys.speaker_number(F.col("speaker_id")), "found_key": keys.find_key(F.concat(F.lit("/data/0/"), "path"))}).drop("path", "speaker_id")
 
 
-@query
-def manifest_violations(spark, sf_dir):
+def _dirty(spark, sf_dir):
+    """Utterances of which some have a wrong rate, gender or key, or a path of others."""
     u = derived.utterances(spark, sf_dir)
     n = F.col("num_frames") / 160
-    dirty = u.withColumns({
+    return u.withColumns({
         "sample_rate": F.when(n % 11 == 0, 8000).otherwise(F.col("sample_rate")), "gender": F.when(n % 13 == 0, "x").otherwise(F.col("gender")),
         "key": F.when(n % 17 == 0, F.concat(F.lit("xx"), "key")).otherwise(F.col("key")), "path": F.when(n % 19 == 0, "same.wav").otherwise(F.col("path")),
     })
-    return manifest.validate_manifest(manifest.conform(dirty)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def manifest_violation_rows(spark, sf_dir):
+    return manifest.validate_manifest(manifest.conform(_dirty(spark, sf_dir)))
+
+
+@query
+def manifest_violations(spark, sf_dir):
+    return manifest.validate_manifest(manifest.conform(_dirty(spark, sf_dir))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -272,13 +281,22 @@ def split_orders_by_customer(spark, sf_dir):
     return splits.split_by_group(derived.table(spark, sf_dir, "orders"), "o_custkey", 0.05).groupBy("is_split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"))
 
 
-@query
-def demux_routes(spark, sf_dir):
+def _routed(spark, sf_dir):
     u = derived.utterances(spark, sf_dir)
     speakers = u.select("speaker_id").distinct()
     n = keys.speaker_number(F.col("speaker_id"))
     routes = speakers.where(n % 3 == 0).withColumn("split_idx", F.lit(0)).unionByName(speakers.where(n % 4 == 0).withColumn("split_idx", F.lit(1)))
-    return splits.route(u.select("key", "speaker_id"), routes).groupBy("split_idx").agg(F.count(F.lit(1)).alias("n"))
+    return splits.route(u.select("key", "speaker_id"), routes)
+
+
+@query
+def demux_rows(spark, sf_dir):
+    return _routed(spark, sf_dir).select("key", "speaker_id", "split_idx")
+
+
+@query
+def demux_routes(spark, sf_dir):
+    return _routed(spark, sf_dir).groupBy("split_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -518,8 +536,8 @@ def magnitude_rollup(spark, sf_dir):
 def loss_weight_replay(spark, sf_dir):
     log = derived.telemetry(spark, sf_dir).select("run", "step", (F.col("value") + 1).alias("a"), (F.abs(F.col("value") - 30) + 1).alias("b"))
     out = telemetry.dynamic_weights(log, ["a", "b"], n=5, temperature=2.0)
-    lo = signal.loss_weights([F.col("a"), F.col("b")])
-    return out.select("run", "step", F.round("weight_a", 6).alias("weight_a"), F.round("weight_b", 6).alias("weight_b"), F.round(lo[0], 6).alias("min_a"))
+    lo, hi = (signal.loss_weights([F.col("a"), F.col("b")], kind) for kind in ("min", "max"))
+    return out.select("run", "step", F.round("weight_a", 6).alias("weight_a"), F.round("weight_b", 6).alias("weight_b"), F.round(lo[0], 6).alias("min_a"), F.round(hi[1], 6).alias("max_b"))
 
 
 @query

@@ -243,6 +243,13 @@ st AS (SELECT step, sum(n) AS n FROM r GROUP BY step HAVING count(*) = 2), o AS
 pick AS (SELECT s FROM r JOIN o USING (step) WHERE before < 0.3 * (SELECT count(*) FROM utt))
 SELECT key, speaker_id IN (SELECT s FROM pick) AS is_split FROM utt""",
     "split_orders_by_customer": f"""WITH {_split('orders', 'o_custkey', '0.05', 1337).replace("g || '|1337'", "CAST(g AS VARCHAR) || '|1337'")} SELECT is_split, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN flag ON o_custkey = g GROUP BY is_split""",
+    "demux_rows": f"""WITH {UTT}, n AS (SELECT key, speaker_id, CAST(split_part(speaker_id, '/', 2) AS INTEGER) AS k FROM utt) SELECT key, speaker_id, CAST(CASE WHEN k % 4 = 0 THEN 1 WHEN k % 3 = 0 THEN 0 END AS INTEGER) AS split_idx FROM n""",
+    "manifest_violation_rows": f"""WITH {UTT}, d AS (
+  SELECT num_frames // 160 AS n, CASE WHEN num_frames // 160 % 17 = 0 THEN 'xx' || key ELSE key END AS key, CASE WHEN num_frames // 160 % 19 = 0 THEN 'same.wav' ELSE path END AS path FROM utt
+)
+SELECT 'sample_rate' AS rule, key, path AS detail FROM d WHERE n % 11 = 0 UNION ALL SELECT 'gender', key, path FROM d WHERE n % 13 = 0
+UNION ALL SELECT 'key_format', key, path FROM d WHERE n % 17 = 0 UNION ALL SELECT 'speaker_id', key, path FROM d WHERE n % 17 = 0
+UNION ALL SELECT 'duplicate_path', min(key), CAST(count(*) AS VARCHAR) FROM d GROUP BY path HAVING count(*) > 1""",
     "demux_routes": f"""WITH {UTT}, n AS (SELECT CAST(split_part(speaker_id, '/', 2) AS INTEGER) AS k FROM utt) SELECT CAST(CASE WHEN k % 4 = 0 THEN 1 WHEN k % 3 = 0 THEN 0 END AS INTEGER) AS split_idx, count(*) AS n FROM n GROUP BY 1""",
     "split_overlap": f"WITH {UTT}, {_split('utt', 'speaker_id', '0.2', 1337)}, f AS (SELECT recording_id, is_split FROM utt JOIN flag ON speaker_id = g) SELECT recording_id FROM f WHERE is_split INTERSECT SELECT recording_id FROM f WHERE NOT is_split",
     "shard_random": f"""WITH {UTT}, p AS (SELECT key, CAST((row_number() OVER (ORDER BY md5(key || '|1337'), key) - 1) // 128 AS BIGINT) AS shard_idx FROM utt), n AS (SELECT shard_idx, count(*) AS n FROM p GROUP BY 1)
@@ -295,7 +302,7 @@ SELECT run, metric, CAST(ceil(step / 1000) * 1000 AS BIGINT) AS at_step, round(m
     "loss_weight_replay": f"""WITH {TEL}, l AS (SELECT run, step, value + 1 AS a, abs(value - 30) + 1 AS b FROM tel),
 w AS (SELECT *, count(*) OVER x AS n, avg(a) OVER y / avg(a) OVER z AS ra, avg(b) OVER y / avg(b) OVER z AS rb FROM l
   WINDOW x AS (PARTITION BY run ORDER BY step ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), y AS (PARTITION BY run ORDER BY step ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), z AS (PARTITION BY run ORDER BY step ROWS BETWEEN 10 PRECEDING AND 6 PRECEDING))
-SELECT run, step, round(CASE WHEN n = 10 THEN 2 * exp(ra / 2) / (exp(ra / 2) + exp(rb / 2)) ELSE 1.0 END, 6) AS weight_a, round(CASE WHEN n = 10 THEN 2 * exp(rb / 2) / (exp(ra / 2) + exp(rb / 2)) ELSE 1.0 END, 6) AS weight_b, round(least(a, b) / a, 6) AS min_a FROM w""",
+SELECT run, step, round(CASE WHEN n = 10 THEN 2 * exp(ra / 2) / (exp(ra / 2) + exp(rb / 2)) ELSE 1.0 END, 6) AS weight_a, round(CASE WHEN n = 10 THEN 2 * exp(rb / 2) / (exp(ra / 2) + exp(rb / 2)) ELSE 1.0 END, 6) AS weight_b, round(least(a, b) / a, 6) AS min_a, round(greatest(a, b) / b, 6) AS max_b FROM w""",
     "best_run": f"WITH {TEL} SELECT run, step, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value, step) AS k FROM tel WHERE metric = 'purchase') WHERE k = 1",
     "stream_stats": f"""WITH {UTT} SELECT language_tag, count(*) AS samples, count(*) FILTER (gender = 'm') AS samples_m, count(*) FILTER (gender = 'f') AS samples_f,
   CAST(sum(num_frames) AS BIGINT) AS frames_total, min(num_frames) AS frames_min, max(num_frames) AS frames_max, round(avg(num_frames), 6) AS frames_avg, CAST(sum(length(transcription)) AS BIGINT) AS transcript_total,
