@@ -1,3 +1,4 @@
+import collections
 import datetime
 import hashlib
 import io
@@ -8,6 +9,7 @@ import random
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -621,3 +623,15 @@ def test_check_scores(spark):
     df = spark.createDataFrame(rows, "y int, score double")
     assert scoring.check_scores(df).count() == 6
     assert scoring.eer(df).first().status == "bad_scores"
+
+
+def test_characters(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "CHARACTER_BYTES", 7)
+    texts = ["abc a", None, "", "été 😀😀", "x" * 50, " \t\n", "é"]
+    want = collections.Counter("".join(t or "" for t in texts))
+    rows = spark.createDataFrame([(t,) for t in texts], "transcription string").repartition(3)
+    got = {r.char: r.n for r in vocab.characters(rows).groupBy("char").agg(F.sum("n").alias("n")).collect()}
+    assert got == want
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["transcription"]).slice(1)
+    assert dict(zip(*(c.to_pylist() for c in next(vocab._counted(iter([batch]))).columns))) == want - collections.Counter("abc a")
+    assert vocab.characters(rows.limit(0)).count() == 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +17,31 @@ from .documents import Section, document
 from .ordering import prefix
 
 
+#: Bytes of text whose characters are counted at once.
+CHARACTER_BYTES = 4 << 20
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).cast(pa.large_string()).drop_null()
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+        counts, first = np.zeros(0x110000, np.int64), 0
+        while first < len(texts):
+            end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHARACTER_BYTES, "right")) - 1)
+            text = str(memoryview(texts.buffers()[2])[offsets[first] : offsets[end]] if texts.buffers()[2] else b"", "utf-8")
+            counts += np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32), minlength=len(counts))
+            first = end
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in found.tolist()], pa.string()), pa.array(counts[found])], ["char", "n"])
+
+
 def characters(df: DataFrame) -> DataFrame:
-    """``char, n``: the distinct characters of each transcript and how often it has them."""
-    rows = df.select("transcription", F.explode(F.array_distinct(F.split("transcription", ""))).alias("char")).where(F.col("char") != "")
-    return rows.select("char", (F.length("transcription") - F.length(F.replace("transcription", F.col("char"), F.lit("")))).alias("n"))
+    """``char, n``: how often each batch of transcripts has each of its characters.
+
+    A count over code points in Arrow batches; a batch gives a row per distinct character,
+    where splitting texts would give one per character and text.
+    """
+    return df.select("transcription").mapInArrow(_counted, "char string, n bigint")
 
 
 def _specials(df: DataFrame) -> DataFrame:
