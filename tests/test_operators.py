@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from utterflow.functions import keys, signal, text
 from utterflow.operators import asr, batching, calls, manifest, ordering, scoring, shards, splits, stats, telemetry, trials, vocab
@@ -342,6 +343,27 @@ def test_filtered_members_are_not_read(spark, tmp_path):
     assert "IN (ls/1" not in plan.split("PushedFilters")[0]
 
 
+def test_shard_above_two_gigabytes_streams(tmp_path):
+    """Batches stay small however large the shard; its audio is a hole in the file."""
+    path, size, n = tmp_path / "big.000000.tar", 1 << 20, 2_200
+    with open(path, "wb") as f:
+        for i in range(n):
+            info = tarfile.TarInfo(f"{i:04d}/ls/{i % 2}/r/{i}.wav")
+            info.size = size
+            f.write(info.tobuf(tarfile.PAX_FORMAT))
+            f.seek(size, 1)
+            f.write(tar.member_bytes(f"{i:04d}/ls/{i % 2}/r/{i}.json", b"{}"))
+        f.write(bytes(2 * tar.BLOCK))
+    assert path.stat().st_size > 1 << 31
+    reader = tar.ShardReader({"paths": json.dumps([f"file://{tmp_path}"])})
+    assert list(reader.pushFilters([EqualTo(("speaker",), "ls/1"), EqualTo(("shard",), "x")])) == [EqualTo(("shard",), "x")]
+    (part,) = reader.partitions()
+    rows = largest = 0
+    for batch in reader.read(part):
+        rows, largest = rows + batch.num_rows, max(largest, batch.nbytes)
+    assert rows == n / 2 and largest < tar.BATCH_BYTES + 2 * size
+
+
 def test_shards_on_a_file_system_of_spark_alone(spark, tmp_path):
     (tmp_path / "store").mkdir()
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shards.link./out", f"file://{tmp_path}/store")
