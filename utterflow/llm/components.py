@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..materialize import discard, release
 from .frames import saved
 
 #: Levels of hubs that one round takes.
@@ -62,8 +63,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close).where(alike).select(*pairs.columns).distinct()
 
 
-def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, id, n, rest``: the elements of each set's prefix that a set of another component has too.
+def prefix_keys(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``key, id, n, rest``, and the tables that it is made from: the elements of each set's prefix that a set of another component has too.
 
     Elements are ordered from those of one component, then from rare to common among ``sets``
     (row, id, component, n, set). Two sets of Jaccard t share one of the n - ceil(t n) + 1
@@ -78,7 +79,7 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     length = F.size("shared") - F.ceil(F.col("n") * percent / 100) + 1
     first = F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int"))
     placed = shared.select("id", "n", F.size("shared").alias("m"), F.posexplode(first).alias("at", "e"))
-    return placed.select(F.col("e.key").alias("key"), "id", "n", (F.col("m") - F.col("at")).alias("rest")).distinct()
+    return placed.select(F.col("e.key").alias("key"), "id", "n", (F.col("m") - F.col("at")).alias("rest")).distinct(), [flat, often]
 
 
 def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -94,9 +95,17 @@ def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], Data
     retires the hubs. Pairs with too few elements left from the key on are passed over; their
     first common element decides. So a group of near copies costs a few comparisons for each member,
     and members that no hub has reached are compared with each other in the last rounds.
-    Every pair that shares a band is linked, or compared, or can't be similar.
+    Every pair that shares a band is linked, or compared, or can't be similar. The result is a
+    saved table; the others that it took are deleted.
     """
     sets = saved(fetch_sets(company.select("id").distinct()).withColumn("row", F.monotonically_increasing_id()))
+    out = _linked(company, sets, percent)
+    discard(sets)
+    release(sets.sparkSession)
+    return out
+
+
+def _linked(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hub = company.groupBy("id").agg(F.min("center").alias("b")).where(F.col("id") != F.col("b"))
     found = saved(similar_pairs(hub.select(F.col("id").alias("a"), "b"), sets, percent))
     now = saved(connected_components(found))
@@ -107,11 +116,16 @@ def linked_components(company: DataFrame, fetch_sets: Callable[[DataFrame], Data
         return now
     level = F.floor(-F.log2((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) + 1) / float(1 << 40))).cast("int")
     known = ids.join(now, "id", "left").select("id", _own().alias("component"))
-    rows = saved(prefix_keys(sets.join(known, "id"), percent).withColumn("level", level))
+    keys, used = prefix_keys(sets.join(known, "id"), percent)
+    rows = held = saved(keys.withColumn("level", level))
+    for table in used:
+        discard(table)
     while True:
         rows = rows.join(now, "id", "left").select("key", "id", "n", "rest", "level", _own().alias("component"))
         keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("top")).where("lo <> hi")
         rows = saved(rows.join(saved(keys.select("key", "top")), "key"))
+        discard(held)
+        held = rows
         if rows.isEmpty():
             return now
         hub = F.col("level") > F.col("top") - LEVELS

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..materialize import discard
 from .components import batches_of, buckets_with_company, linked_components
 from .frames import saved
 from .kernels import band_keys, chunks, list_array, mix, shingle_sets, superminhash, word_table
@@ -88,6 +89,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # of rows that repeat an id, the sets of all are verified under that id
     linked = linked_components(company, lambda ids: text_sets(texts.join(ids, "id", "left_semi"), shingle), percent).withColumnRenamed("id", "rep")
+    discard(company)
     found = member.select("id", "rep").distinct().join(linked, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     found = found.groupBy("id").agg(F.min("component").alias("component"))
     out = sketch.select("id", "n_shingles").join(found, "id", "left")

@@ -184,13 +184,16 @@ def similar_paragraphs(texts: DataFrame, found: DataFrame, percent: int, shingle
         wanted = one.groupBy(_doc("start").alias("num")).agg(F.collect_list(_word("start")).alias("starts"))
         return paragraph_sets(texts.join(wanted, "num"), shingle)
 
-    linked = saved(linked_components(company, fetch, percent))
-    release(texts.sparkSession)
+    linked = linked_components(company, fetch, percent)
+    discard(company)
     placed = paragraphs.join(linked, "id", "left").select(F.coalesce("component", "id").alias("component"), "start", (F.col("start") + F.col("n")).alias("stop"))
     placed = saved(placed)
     kept = placed.groupBy("component").agg(F.min("start").alias("kept"), F.max("start").alias("_last")).where(F.col("kept") != F.col("_last"))
     # written first, so that Spark can split the rows of a common paragraph
-    return placed.join(saved(kept.drop("_last")), "component").where(F.col("start") != F.col("kept")).select("start", "stop", "kept")
+    out = saved(placed.join(saved(kept.drop("_last")), "component").where(F.col("start") != F.col("kept")).select("start", "stop", "kept"))
+    discard(placed)
+    release(texts.sparkSession)
+    return out
 
 
 def seed_runs(found: DataFrame) -> DataFrame:
@@ -285,8 +288,7 @@ def bridges(runs: DataFrame) -> DataFrame:
 def _repeats(texts: DataFrame, percent: int, min_words: int, shingle: int) -> DataFrame:
     """``num, first_word, n_words, n_paragraphs, of`` of the removable spans of (num, text)."""
     found = saved(marks(texts, shingle))
-    similar = saved(similar_paragraphs(texts, found, percent, shingle))
-    release(texts.sparkSession)
+    similar = similar_paragraphs(texts, found, percent, shingle)
     runs = saved(seed_runs(found))
     discard(found)
     release(texts.sparkSession)
