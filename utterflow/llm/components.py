@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u")
         small = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = saved(small.distinct())
+        before, now = now, saved(small.distinct())
+        discard(before)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -123,8 +124,10 @@ def _linked(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     while True:
         rows = rows.join(now, "id", "left").select("key", "id", "n", "rest", "level", _own().alias("component"))
         keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("top")).where("lo <> hi")
-        rows = saved(rows.join(saved(keys.select("key", "top")), "key"))
+        keys = saved(keys.select("key", "top"))
+        rows = saved(rows.join(keys, "key"))
         discard(held)
+        discard(keys)
         held = rows
         if rows.isEmpty():
             return now
@@ -138,7 +141,9 @@ def _linked(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not merged.isEmpty():
             moved = now.join(merged, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
             fresh = merged.join(now, merged["component"] == now["id"], "left_anti").select(F.col("component").alias("id"), F.col("_to").alias("component"))
-            now = saved(moved.unionByName(fresh))
+            before, now = now, saved(moved.unionByName(fresh))
+            discard(before)
+        discard(merged)
         rows = rows.where(~hub).select("key", "id", "n", "rest", "level")
 
 
