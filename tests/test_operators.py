@@ -18,7 +18,7 @@ from utterflow.functions import keys, signal, text
 from utterflow.operators import asr, batching, calls, manifest, ordering, scoring, shards, splits, stats, telemetry, trials, vocab
 from utterflow.plans.tasks import BatchConfig, check_sets, compose_sets, gender_batches, joint_batches, speaker_batches, speech_batches
 from utterflow.schemas import MANIFEST
-from utterflow.sources import tables, tar, wav
+from utterflow.sources import storage, tables, tar, wav
 from utterflow.streaming import streams
 
 
@@ -557,6 +557,36 @@ def test_named_text_files(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path / "t") if "staging" in f]
 
 
+def test_named_text_files_are_written_in_parallel(spark, tmp_path):
+    rows = spark.range(300).select(F.format_string("d%d/%d.txt", F.col("id") % 7, "id").alias("file"), F.lit(0).alias("at"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("value"))
+    run = storage.place_files
+
+    def counted(batches, path):
+        from pyspark import TaskContext
+
+        for batch in run(batches, path):
+            with open(f"{tmp_path}/task{TaskContext.get().partitionId()}", "w") as f:
+                f.write(str(batch.column(0)[0]))
+            yield batch
+
+    tables.place_files = counted
+    try:
+        tables.write_named_text(rows.coalesce(1), str(tmp_path / "t"))
+    finally:
+        tables.place_files = run
+    tasks = [f for f in os.listdir(tmp_path) if f.startswith("task")]
+    assert len(tasks) == 4 and sum(int((tmp_path / f).read_text()) for f in tasks) == 300
+    assert (tmp_path / "t" / "d0" / "0.txt").read_text() == "0\n" and (tmp_path / "t" / "d1" / "1.txt").read_text() == "\n"
+    # files that are there are replaced, others stay
+    tables.write_named_text(rows.where("id < 2").withColumn("value", F.lit("new")), str(tmp_path / "t"))
+    assert (tmp_path / "t" / "d0" / "0.txt").read_text() == "new\n" and (tmp_path / "t" / "d2" / "2.txt").read_text() == "2\n"
+    assert sum(len(files) for _, _, files in os.walk(tmp_path / "t")) == 300
+    bad = rows.unionByName(rows.limit(1).withColumn("file", F.lit(None).cast("string")))
+    with pytest.raises(Exception, match="a file has no name"):
+        tables.write_named_text(bad, str(tmp_path / "u"))
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith("task")) == ["t"]
+
+
 def plain_shuffle(group, keys, buffer, seed, epoch):
     draw = lambda n: int(hashlib.md5(f"{group}|{epoch}|{seed}|{n}".encode()).hexdigest()[:8], 16)
     held, out = [], []

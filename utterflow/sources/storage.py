@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from fnmatch import fnmatch
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import SparkSession
 
@@ -21,10 +22,12 @@ class Storage:
         self.fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def files(self, path: str) -> Iterator[str]:
-        """All files below a folder."""
-        found = self.fs.listFiles(self._path(path), True)
-        while found.hasNext():
-            yield found.next().getPath().toString()
+        """All files below a folder. Names only: Hadoop's own walk asks for permissions too, which on a local disk starts a process per file."""
+        for status in self.fs.listStatus(self._path(path)):
+            if status.isDirectory():
+                yield from self.files(status.getPath().toString())
+            else:
+                yield status.getPath().toString()
 
     def move(self, source: str, target: str) -> None:
         """Give a file a name, in place of a file that has it."""
@@ -42,11 +45,28 @@ class Storage:
                 if name(m) in found:
                     raise ValueError(f"{name(m)} has several parts")
                 found[name(m)] = file
+        made: set[str] = set()
         for to, file in found.items():
             target = f"{path.rstrip('/')}/{to}"
-            self.fs.mkdirs(self._path(target).getParent())
+            folder = target.rsplit("/", 1)[0]
+            if folder not in made:
+                self.fs.mkdirs(self._path(folder))
+                made.add(folder)
             self.move(file, target)
 
+    def settle(self, source: str, target: str) -> None:
+        """Give the files below a folder their names below another: at once if that is not there yet, else beside what it has."""
+        to = self._path(target)
+        if not self.fs.exists(to):
+            self.fs.mkdirs(to.getParent())
+            if not self.fs.rename(self._path(source), to):
+                raise OSError(f"{source} could not be moved to {target}")
+        elif self.fs.isDirectory(to) and self.fs.isDirectory(self._path(source)):
+            for status in self.fs.listStatus(self._path(source)):
+                self.settle(status.getPath().toString(), f"{target.rstrip('/')}/{status.getPath().getName()}")
+        else:
+            self.move(source, target)
+
     def remove(self, path: str) -> None:
         """Delete a file or a folder, if there is one."""
         self.fs.delete(self._path(path), True)
@@ -87,3 +107,35 @@ def placed(path: str, content: bytes) -> None:
     with system.open_output_stream(part) as f:
         f.write(content)
     system.move(part, inner)
+
+
+def place_files(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """In a task, write (file, piece) rows, the pieces of a file following each other, to files below ``path``; their number.
+
+    A file is streamed under a hidden name beside ``path`` and gets its own when it is whole.
+    """
+    system, root = arrow_fs.FileSystem.from_uri(path)
+    part, made, n = f"{root}-parts/{uuid.uuid4().hex}", set(), 0
+    system.create_dir(f"{root}-parts", recursive=True)
+    name, out = None, None
+
+    def close() -> None:
+        out.close()
+        folder = f"{root}/{name}".rsplit("/", 1)[0]
+        if folder not in made:
+            system.create_dir(folder, recursive=True)
+            made.add(folder)
+        system.move(part, f"{root}/{name}")
+
+    for batch in batches:
+        for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if file is None:
+                raise ValueError("a file has no name")
+            if file != name:
+                if out:
+                    close()
+                name, out, n = file, system.open_output_stream(part, buffer_size=1 << 20), n + 1
+            out.write(piece)
+    if out:
+        close()
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import padded_id
 from ..operators.trials import trial_line
 from ..schemas import MANIFEST, SHARD_PLAN, TRANSCRIPTS
-from .storage import Storage, opened, opens
+from .storage import Storage, opened, opens, place_files
 from .wav import wav_header
 
 _TSV = {"sep": "\t", "quote": '"', "escape": "\\", "header": True}
@@ -183,13 +183,22 @@ def read_audio_inventory(spark: SparkSession, path: str, speakers: DataFrame | N
 def write_named_text(df: DataFrame, path: str) -> None:
     """A text file below ``path`` for each ``file``, a relative name, with the lines ``value`` in the order of ``at``.
 
-    Spark's writer places the lines; files get their names when all are written.
+    Files get their names when all are written. Tasks stream them by Arrow's file systems; on one that only Spark has, its
+    writer places the lines. Files cost more than their bytes, so small partitions are not merged.
     """
-    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
-    storage = Storage(df.sparkSession, path)
+    spark = df.sparkSession
+    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "at")
+    staging = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex}"
+    storage = Storage(spark, path)
     try:
-        df.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(staging)
-        storage.name_parts(staging, path, "/file=([^/]*)", lambda m: unquote(m[1]))
+        if opens(path):
+            pieces = dealt.select("file", F.encode(F.concat(F.coalesce("value", F.lit("")), F.lit("\n")), "UTF-8"))
+            n = pieces.mapInArrow(lambda batches: place_files(batches, f"{staging}/out"), "n long").agg(F.sum("n")).first()[0]
+            if n:
+                storage.settle(f"{staging}/out", path)
+        else:
+            dealt.select("file", "value").write.partitionBy("file").text(staging)
+            storage.name_parts(staging, path, "/file=([^/]*)", lambda m: unquote(m[1]))
     finally:
         storage.remove(staging)
 
