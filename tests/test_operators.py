@@ -587,6 +587,14 @@ def test_named_text_files_are_written_in_parallel(spark, tmp_path):
     assert sorted(f for f in os.listdir(tmp_path) if not f.startswith("task")) == ["t"]
 
 
+def test_manifest_keeps_empty_strings_apart_from_nulls(spark, tmp_path):
+    rows = [("ls/1/2/3", "/a", 1, 16000, "ls/1", "ls/2", "m", "en", ""), ("ls/1/2/4", "/b", 1, 16000, "ls/1", "ls/2", "m", "", None), ("ls/1/2/5", "/c", 1, 16000, "ls/1", "ls/2", None, None, "x")]
+    tables.write_manifest(spark.createDataFrame(rows, MANIFEST), str(tmp_path / "m"))
+    back = tables.read_manifest(spark, str(tmp_path / "m"))
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    assert back.where("transcription = ''").count() == 1 and back.where("transcription is null").count() == 1
+
+
 def plain_shuffle(group, keys, buffer, seed, epoch):
     draw = lambda n: int(hashlib.md5(f"{group}|{epoch}|{seed}|{n}".encode()).hexdigest()[:8], 16)
     held, out = [], []

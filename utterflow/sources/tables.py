@@ -10,6 +10,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import padded_id
 from ..operators.trials import trial_line
@@ -17,6 +18,8 @@ from ..schemas import MANIFEST, SHARD_PLAN, TRANSCRIPTS
 from .storage import Storage, opened, opens, place_files
 from .wav import wav_header
 
+#: What the reader of tables gives for ``""``, which it would take for null else.
+_EMPTY = "\0"
 _TSV = {"sep": "\t", "quote": '"', "escape": "\\", "header": True}
 
 
@@ -30,8 +33,9 @@ def _matching(df: DataFrame, pattern: str) -> Column:
 
 
 def read_manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """One or several manifests as one frame."""
-    return spark.read.schema(MANIFEST).options(**_TSV).csv(list(paths))
+    """One or several manifests as one frame. A field without anything is null, a quoted one without anything the empty string."""
+    lines = spark.read.schema(MANIFEST).options(**_TSV, emptyValue=_EMPTY).csv(list(paths))
+    return lines.select(*[F.when(F.col(f.name) == _EMPTY, "").otherwise(F.col(f.name)).alias(f.name) if f.dataType == StringType() else f.name for f in MANIFEST])
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
