@@ -18,6 +18,7 @@ from pyspark.sql.datasource import EqualTo
 import oracle
 from utterflow.functions import keys, signal, text
 from utterflow.operators import asr, batching, calls, manifest, ordering, scoring, shards, splits, stats, telemetry, trials, vocab
+from utterflow.plans import catalogue
 from utterflow.plans.catalogue import QUERIES
 from utterflow.plans.oracles import ORACLE_SQL
 from utterflow.plans.tasks import BatchConfig, check_sets, compose_sets, gender_batches, joint_batches, speaker_batches, speech_batches
@@ -607,6 +608,20 @@ def test_worker_shards_of_long_numbers(spark, tmp_path):
     oracle.assert_equal(QUERIES["worker_shards"](spark, str(tmp_path)), con, ORACLE_SQL["worker_shards"])
 
 
+def test_large_parts_arrive_in_several_files(spark, monkeypatch):
+    rows = spark.range(0, 3000, numPartitions=6).select(F.when(F.col("id") < 2990, F.format_string("%05d", "id")).alias("key"), F.md5(F.col("id").cast("string")).alias("text"), (F.col("id") % 2 * 2).alias("part"))
+    held = lambda path: sorted((os.path.getmtime(f"{path}/{f}"), sorted(r[0] or "~" for r in spark.read.parquet(f"{path}/{f}").select("key").collect())) for f in os.listdir(path) if f.startswith("part-"))
+    monkeypatch.setattr(catalogue, "ARRIVING_BYTES", 20_000)
+    for order in (None, F.col("key").asc_nulls_last()):
+        path = catalogue._in_files(rows, F.col("part"), order)
+        files = [keys for _, keys in held(path) if keys]
+        assert len(files) >= 6 and sum(map(len, files)) == 3000 and max(map(len, files)) < 1000
+        if order is not None:
+            assert all(a[-1] <= b[0] for half in (files[: len(files) // 2], files[len(files) // 2 :]) for a, b in zip(half, half[1:]))
+    monkeypatch.undo()
+    assert sum(len(keys) > 0 for _, keys in held(catalogue._in_files(rows, F.col("part")))) == 2
+
+
 def plain_shuffle(group, keys, buffer, seed, epoch):
     draw = lambda n: int(hashlib.md5(f"{group}|{epoch}|{seed}|{n}".encode()).hexdigest()[:8], 16)
     held, out = [], []

@@ -67,6 +67,13 @@ class Storage:
         else:
             self.move(source, target)
 
+    def has(self, path: str) -> bool:
+        return self.fs.exists(self._path(path))
+
+    def size(self, path: str) -> int:
+        """Bytes of all files below a folder."""
+        return self.fs.getContentSummary(self._path(path)).getLength()
+
     def remove(self, path: str) -> None:
         """Delete a file or a folder, if there is one."""
         self.fs.delete(self._path(path), True)
