@@ -116,7 +116,7 @@ def placed(path: str, content: bytes) -> None:
     system.move(part, inner)
 
 
-def place_files(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def place_files(batches: Iterator[pa.RecordBatch], path: str, compression: str | None = None) -> Iterator[pa.RecordBatch]:
     """In a task, write (file, piece) rows, the pieces of a file following each other, to files below ``path``; their number.
 
     A file is streamed under a hidden name beside ``path`` and gets its own when it is whole.
@@ -141,7 +141,7 @@ def place_files(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
             if file != name:
                 if out:
                     close()
-                name, out, n = file, system.open_output_stream(part, buffer_size=1 << 20), n + 1
+                name, out, n = file, system.open_output_stream(part, compression=compression, buffer_size=1 << 20), n + 1
             out.write(piece)
     if out:
         close()

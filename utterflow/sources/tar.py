@@ -5,10 +5,10 @@ shard from the file system in batches of bounded size; filters on key and speake
 pushed into it, and it passes over the bytes of members that they leave out. So memory
 follows the largest sample, never the shard.
 
-Writing turns the samples of a shard into stretches of the tar format and places them with
-Spark's text writer, so its commit protocol holds on every file system that Spark has:
-attempts that fail leave nothing, and shards get their names when the job has ended. The
-writer's line separator is a global header without entries, which readers of tar ignore.
+Writing turns the samples of a shard into stretches of the tar format, which the task streams
+into a hidden file; shards get their names when the job has ended, and attempts that fail
+leave nothing. On a file system that only Spark opens, Spark's text writer places the
+stretches; its line separator is a global header without entries, which readers of tar ignore.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from ..functions.keys import speaker_of
 from ..schemas import DATASETS, SHARD_META
-from .storage import Storage, matching, opened, opens
+from .storage import Storage, matching, opened, opens, place_files
 from .wav import wav_file as wav_bytes
 
 #: A batch ends at so many samples or bytes; a stretch of a shard that is written has about as many bytes.
@@ -262,15 +262,26 @@ def write_shards(df: DataFrame, plan: DataFrame, path: str, prefix: str, compres
     member = F.concat(F.expr("lpad(string(_i), _digits, '0')"), F.lit("/"), F.col("key"))
     rows = df.join(names, "key").select("shard_idx", "partial_shard", member.alias("member"), "wav", meta.alias("meta"), "_i")
     dealt = rows.repartition("shard_idx").sortWithinPartitions("shard_idx", "_i").drop("_i")
-    stretches = dealt.mapInArrow(_stretches, "shard_idx long, partial_shard boolean, number long, bytes binary")
-    placed = stretches.sortWithinPartitions("shard_idx", "partial_shard", "number").select("shard_idx", "partial_shard", F.col("bytes").cast("string").alias("value"))
-    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    staging = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex}"
     storage = Storage(spark, path)
+    ending = ".tar.gz" if compress else ".tar"
+    name = lambda idx, partial: f"{prefix}.{idx:06d}{'.partial' if partial else ''}{ending}"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (pa.RecordBatch.from_arrays([pa.array([name(s.column(0)[0].as_py(), s.column(1)[0].as_py())]), s.column(3)], ["file", "piece"]) for s in _stretches(batches))
+        yield from place_files(named, f"{staging}/out", "gzip" if compress else None)
+
     try:
+        if opens(path):
+            n = dealt.mapInArrow(place, "n long").agg(F.sum("n")).first()[0]
+            if n:
+                storage.settle(f"{staging}/out", path)
+            return
+        stretches = dealt.mapInArrow(_stretches, "shard_idx long, partial_shard boolean, number long, bytes binary")
+        placed = stretches.sortWithinPartitions("shard_idx", "partial_shard", "number").select("shard_idx", "partial_shard", F.col("bytes").cast("string").alias("value"))
         writer = placed.write.partitionBy("shard_idx", "partial_shard").option("lineSep", _filler().decode("ascii"))
         (writer.option("compression", "gzip") if compress else writer).text(staging)
-        ending = ".tar.gz" if compress else ".tar"
-        storage.name_parts(staging, path, r"/shard_idx=(\d+)/partial_shard=(\w+)", lambda m: f"{prefix}.{int(m[1]):06d}{'.partial' if m[2] == 'true' else ''}{ending}")
+        storage.name_parts(staging, path, r"/shard_idx=(\d+)/partial_shard=(\w+)", lambda m: name(int(m[1]), m[2] == "true"))
     finally:
         storage.remove(staging)
 
