@@ -622,6 +622,23 @@ def test_large_parts_arrive_in_several_files(spark, monkeypatch):
     assert sum(len(keys) > 0 for _, keys in held(catalogue._in_files(rows, F.col("part")))) == 2
 
 
+def test_edit_distance_of_long_sequences():
+    random.seed(3)
+    for n, errors, words in ((700, 0, 50), (700, 30, 9), (900, 400, 300), (600, 900, 3), (1500, 70, 97)):
+        x = [str(random.randrange(words)) for _ in range(n)]
+        y = list(x)
+        for _ in range(errors):
+            at = random.randrange(len(y))
+            y[at : at + random.randrange(2)] = [str(random.randrange(words))] * random.randrange(2)
+        want = edit(x, y)
+        assert text.edit_distance(x, y) == text.edit_distance(y, x) == want
+        for band in (1, 7, 64, max(want, 1), 2000):  # exact within the band, never too small
+            got = text._banded(x, y, band)
+            assert got == want if want <= band else got > band
+    x = [str(i) for i in range(700)]
+    assert text.edit_distance(x, x[300:]) == 300 and text.edit_distance(x[600:], x) == 600 and text.edit_distance(x, ["z"] * 5) == 700 and text.edit_distance([], x) == 700
+
+
 def plain_shuffle(group, keys, buffer, seed, epoch):
     draw = lambda n: int(hashlib.md5(f"{group}|{epoch}|{seed}|{n}".encode()).hexdigest()[:8], 16)
     held, out = [], []
