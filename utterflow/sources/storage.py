@@ -67,6 +67,10 @@ class Storage:
         else:
             self.move(source, target)
 
+    def staging(self, path: str) -> str:
+        """A new folder for what will be at ``path``: beside it, or inside if it is there, as the root of a bucket or mount always is."""
+        return f"{path.rstrip('/')}{'/' if self.has(path) else '.'}_staging-{uuid.uuid4().hex}"
+
     def has(self, path: str) -> bool:
         return self.fs.exists(self._path(path))
 

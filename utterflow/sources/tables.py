@@ -192,8 +192,8 @@ def write_named_text(df: DataFrame, path: str) -> None:
     """
     spark = df.sparkSession
     dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "at")
-    staging = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex}"
     storage = Storage(spark, path)
+    staging = storage.staging(path)
     try:
         if opens(path):
             pieces = dealt.select("file", F.encode(F.concat(F.coalesce("value", F.lit("")), F.lit("\n")), "UTF-8"))

@@ -17,7 +17,6 @@ import io
 import json
 import re
 import tarfile
-import uuid
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
@@ -262,8 +261,8 @@ def write_shards(df: DataFrame, plan: DataFrame, path: str, prefix: str, compres
     member = F.concat(F.expr("lpad(string(_i), _digits, '0')"), F.lit("/"), F.col("key"))
     rows = df.join(names, "key").select("shard_idx", "partial_shard", member.alias("member"), "wav", meta.alias("meta"), "_i")
     dealt = rows.repartition("shard_idx").sortWithinPartitions("shard_idx", "_i").drop("_i")
-    staging = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex}"
     storage = Storage(spark, path)
+    staging = storage.staging(path)
     ending = ".tar.gz" if compress else ".tar"
     name = lambda idx, partial: f"{prefix}.{idx:06d}{'.partial' if partial else ''}{ending}"
 
