@@ -95,6 +95,15 @@ def test_prefix(spark):
     assert ordering.prefix(df.limit(0), [F.col("i")], ["v"]).count() == 0
 
 
+def test_prefix_keeps_ranges_apart(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 7).alias("v"), F.lit("a").alias("g")).repartition(3)
+    plain = ordering.prefix(df, [F.desc("id")], ranges=16)
+    for rows in (plain, ordering.prefix(df, [F.desc("id")], ["v"], ranges=16), ordering.prefix(df, [F.desc("id")], ["v"], by=["g"], ranges=16)):
+        assert rows.where(F.col("idx") != 3999 - F.col("id")).count() == 0 and rows.count() == 4000
+    summed = ordering.prefix(df, [F.desc("id")], ["v"], ranges=16)
+    assert max(r["count"] for r in summed.groupBy(F.spark_partition_id()).count().collect()) < 1000
+
+
 def roc(y, s):
     best, x0, y0 = None, 0.0, 0.0
     p, q = sum(y), len(y) - sum(y)
@@ -217,6 +226,19 @@ def test_shards(spark):
     assert shards.equal_shards_per_worker(files, 3).count() == 6
 
 
+def test_parts():
+    assert [ordering.parts(n) for n in (0, 1, 1 << 17, (1 << 17) + 1, 36_000_000, 216_000_000, 1 << 32)] == [1, 1, 1, 2, 200, 200, 2048]
+
+
+def test_shard_lineitem_deals_parts_of_a_fixed_size(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "PART_ROWS", (500, 1000))
+    dir_ = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{dir_}/lineitem.parquet").count()
+    df = QUERIES["shard_lineitem"](spark, dir_)
+    assert df.rdd.getNumPartitions() == -(-rows // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    oracle.assert_equal(df, oracle.connect(dir_), ORACLE_SQL["shard_lineitem"])
+
+
 def all_pairs(members, limit, kind):
     """The round-robin loop over generators, greatest key first."""
     import itertools

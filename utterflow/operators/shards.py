@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import hash_order, prefix
+from ..materialize import saved
+from .ordering import hash_order, parts, prefix
 
 STRATEGIES = ("random", "length_sorted", "single_shard")
 
@@ -15,19 +16,20 @@ def plan_shards(df: DataFrame, strategy: str, samples_per_shard: int = 5000, see
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     if strategy == "single_shard":
-        placed = df.select(key, F.lit(0).cast("bigint").alias("shard_idx"))
-    else:
-        order = hash_order(F.col(key), seed) if strategy == "random" else [F.col(length), F.col(key)]
-        placed = prefix(df.select(key, length), order).select(key, F.floor(F.col("idx") / samples_per_shard).cast("bigint").alias("shard_idx"))
-    total = df.count()
+        return df.select(F.col(key).alias("key"), F.lit(0).cast("bigint").alias("shard_idx"), F.lit(False).alias("partial_shard"))
+    rows = saved(df.select(key, length))  # counted, sampled for ranges and dealt to them
+    total = rows.count()
+    order = hash_order(F.col(key), seed) if strategy == "random" else [F.col(length), F.col(key)]
+    placed = prefix(rows, order, ranges=parts(total)).select(F.col(key).alias("key"), F.floor(F.col("idx") / samples_per_shard).cast("bigint").alias("shard_idx"))
     partial = F.lit(False)
-    if strategy != "single_shard" and total > samples_per_shard and total % samples_per_shard:
+    if total > samples_per_shard and total % samples_per_shard:
         partial = F.col("shard_idx") == total // samples_per_shard
-    return placed.select(F.col(key).alias("key"), "shard_idx", partial.alias("partial_shard"))
+    return placed.withColumn("partial_shard", partial)
 
 
 def equal_shards_per_worker(shards: DataFrame, workers: int, order: str = "path") -> DataFrame:
     """``shards`` with ``worker``, so that all workers get as many; what is left over is dropped."""
-    n = shards.count() // workers * workers
-    numbered = prefix(shards, [F.col(order)])
+    total = shards.count()
+    n = total // workers * workers
+    numbered = prefix(shards, [F.col(order)], ranges=parts(total))
     return numbered.where(F.col("idx") < n).withColumn("worker", (F.col("idx") % workers).cast("int")).drop("idx")
