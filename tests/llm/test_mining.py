@@ -220,6 +220,12 @@ def test_simhash_of_a_small_table(spark):
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in queries.op12_simhash(spark, SMALL).collect())) == sorted(want)
 
 
+def test_anchors_are_not_broadcast(spark):
+    """Spark sizes the anchors, 61 a fingerprint, like the fingerprints that they are made of."""
+    fps = frames.saved(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    assert "Broadcast" not in simhash.fingerprint_links(fps)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3])
 def test_anchors_cover_all_neighbours(distance):
     rng = np.random.default_rng(distance)

@@ -172,7 +172,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     at_home = distinct.select("fp").mapInArrow(batches_of(homes), "anchor long, a long")
     reaching = distinct.select("fp").mapInArrow(reach, "anchor long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return at_home.join(reaching, "anchor").where(near).select("a", "b")
+    # Spark takes both sides for as large as the fingerprints, so it would broadcast one; neither has a bound
+    return at_home.join(reaching.hint("merge"), "anchor").where(near).select("a", "b")
 
 
 def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3) -> DataFrame:
